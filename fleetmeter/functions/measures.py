@@ -34,6 +34,16 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Round half up. Ten digits are settled first, so noise from the order of a sum does not decide a tie."""
+    return F.round(F.round(value, 10), digits)
+
+
+def rounded_even(value: Column | str, digits: int) -> Column:
+    """Round half to even, with the same protection as ``rounded``."""
+    return F.bround(F.round(value, 10), digits)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A number as text with exactly ``digits`` decimals."""
-    return F.round(value, digits).cast(f"decimal(28,{digits})").cast("string")
+    return rounded(value, digits).cast(f"decimal(28,{digits})").cast("string")

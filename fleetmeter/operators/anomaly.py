@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import count_where, ratio, total
+from ..functions.measures import count_where, ratio, rounded_even, total
 from ..functions.times import between, day_of, instant, is_weekend, last
 from .comparison import performance_comparison
 from .governance import calendar_days
@@ -49,10 +49,10 @@ def credit_anomalies(hm: DataFrame) -> DataFrame:
         .select(
             "warehouse_name",
             "day_ts",
-            F.bround(x, 2).alias("daily_credits"),
-            F.bround(expected, 2).alias("expected_credits"),
+            rounded_even(x, 2).alias("daily_credits"),
+            rounded_even(expected, 2).alias("expected_credits"),
             std.alias("rolling_std"),
-            F.bround(F.when(std == 0, F.lit(0.0)).otherwise(ratio(x - expected, std)), 2).alias("z_score"),
+            rounded_even(F.when(std == 0, F.lit(0.0)).otherwise(ratio(x - expected, std)), 2).alias("z_score"),
             F.dayofmonth("day_ts").alias("day_of_month"),
             F.dayofmonth(F.last_day("day_ts")).alias("days_in_month"),
             month_end.alias("is_month_end"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import ADAPTIVE, STANDARD, UNSUPPORTED_SIZES, is_multi_cluster, recommendation_band
-from ..functions.measures import capped, count_where, ratio
+from ..functions.measures import capped, count_where, ratio, rounded, rounded_even
 from ..functions.times import instant, last, moment
 from .cost import FALLBACK_CREDIT_PRICE
 from .rollups import hourly_metering, hourly_query_metrics
@@ -82,11 +82,11 @@ def assessment_sql(
             "warehouse_size",
             "active_hours",
             F.lit(lookback * 24).alias("total_hours"),
-            F.round(F.col("active_hours") / F.lit(hours) * 100, 1).alias("utilization_pct"),
-            F.round("total_credits", 2).alias("total_credits"),
-            F.round("credit_cv", 3).alias("variability_score"),
+            rounded(F.col("active_hours") / F.lit(hours) * 100, 1).alias("utilization_pct"),
+            rounded("total_credits", 2).alias("total_credits"),
+            rounded("credit_cv", 3).alias("variability_score"),
             queued.alias("total_queued_queries"),
-            F.round(score, 1).alias("adaptive_score"),
+            rounded(score, 1).alias("adaptive_score"),
             recommendation_band(score).alias("recommendation"),
         )
         .orderBy(F.desc_nulls_first("adaptive_score"), "warehouse_name")
@@ -113,14 +113,14 @@ def assessment_scores(hm: DataFrame, hq: DataFrame, days_back: int, inventory: D
         F.sum("query_count").alias("total_queries"),
         F.avg("latency_stddev").alias("latency_stddev"),
     )
-    variability = F.coalesce(F.bround(ratio(F.col("std_credits"), F.col("avg_credits")), 3), F.lit(0.0))
+    variability = F.coalesce(rounded_even(ratio(F.col("std_credits"), F.col("avg_credits")), 3), F.lit(0.0))
     return (
         usage.join(activity, "warehouse_name", "left")
         .fillna(0, ["queued_queries", "complex_queries", "total_queries", "latency_stddev"])
         .withColumn("variability", variability)
         .withColumn(
             "adaptive_score",
-            F.bround(
+            rounded_even(
                 readiness_score(
                     F.col("variability"), F.col("active_hours"), F.col("queued_queries"), F.col("total_credits"),
                     days_back * 24,
@@ -150,10 +150,10 @@ def assessment_windowless(metering: DataFrame, queries: DataFrame, as_of: str |
         .select(
             "warehouse_name",
             "active_hours",
-            F.round("_total", 2).alias("total_credits_14d"),
-            F.round("_cv", 3).alias("variability"),
+            rounded("_total", 2).alias("total_credits_14d"),
+            rounded("_cv", 3).alias("variability"),
             "queued_queries",
-            F.round(
+            rounded(
                 readiness_score(
                     F.col("_cv"), F.col("active_hours"), F.col("queued_queries"), F.col("_total"), lookback * 24
                 ),
@@ -184,7 +184,7 @@ def fleet_kpis(inventory: DataFrame) -> DataFrame:
         adaptive.alias("adaptive"),
         (everything - adaptive).alias("standard"),
         count_where(is_multi_cluster()).alias("multi_cluster"),
-        F.coalesce(F.bround(ratio(adaptive, everything) * 100, 1), F.lit(0.0)).alias("adoption_pct"),
+        F.coalesce(rounded_even(ratio(adaptive, everything) * 100, 1), F.lit(0.0)).alias("adoption_pct"),
     )
 
 
@@ -280,7 +280,10 @@ def scenario_projection(
     days_back: int,
     price: float = FALLBACK_CREDIT_PRICE,
 ) -> DataFrame:
-    """Every standard pool under every scenario; the factors are unfolded per row, nothing is cross joined."""
+    """Every standard pool under every scenario; the factors are unfolded per row, nothing is cross joined.
+
+    Figures are not rounded: at one decimal the products sit on rounding boundaries.
+    """
     scenarios = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("factor")) for n, f in SCENARIOS])
     saved = F.col("total_credits") - F.col("_projected")
     return (
@@ -291,9 +294,9 @@ def scenario_projection(
             "warehouse_name",
             "scenario",
             F.col("total_credits").alias("current_credits"),
-            F.bround("_projected", 1).alias("projected_credits"),
-            F.bround(saved, 1).alias("credits_saved"),
-            F.coalesce(F.bround(ratio(saved, F.col("total_credits")) * 100, 1), F.lit(0.0)).alias("savings_pct"),
+            F.col("_projected").alias("projected_credits"),
+            saved.alias("credits_saved"),
+            F.coalesce(ratio(saved, F.col("total_credits")) * 100, F.lit(0.0)).alias("savings_pct"),
             (saved * price * 365 / max(days_back, 1)).alias("annual_savings_usd"),
             (F.col("scenario") == scenario_default(F.col("utilization_pct"))).alias("is_default"),
         )

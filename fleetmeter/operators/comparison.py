@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_per_warehouse
 from ..functions.labels import period
-from ..functions.measures import count_where, ratio, seconds, total
+from ..functions.measures import count_where, ratio, rounded, seconds, total
 from ..functions.times import between, day_of, hour_of, instant, last
 from ..sources.readers import warehouse_filter
 
@@ -81,7 +81,7 @@ def daily_savings(comparison: DataFrame) -> DataFrame:
             "day_ts",
             F.col("_credits").alias("actual_credits"),
             "baseline_daily_credits",
-            F.round((1 - ratio(F.col("_credits"), F.col("baseline_daily_credits"))) * 100, 1).alias("savings_pct"),
+            rounded((1 - ratio(F.col("_credits"), F.col("baseline_daily_credits"))) * 100, 1).alias("savings_pct"),
         )
         .orderBy("warehouse_name", "day_ts")
     )
@@ -118,11 +118,11 @@ def before_after(metering: DataFrame, events: DataFrame, days: int = 30) -> Data
         .filter(F.col("_pre_days") > 0)
         .select(
             "warehouse_name",
-            F.round(pre, 2).alias("pre_credits_30d"),
-            F.round(post, 2).alias("post_credits_30d"),
-            F.round(ratio(pre, F.col("_pre_days")), 2).alias("pre_daily_avg"),
-            F.when(F.col("_post_days") > 0, F.round(ratio(post, F.col("_post_days")), 2)).alias("post_daily_avg"),
-            F.round(ratio(pre - post, pre) * 100, 1).alias("savings_pct"),
+            rounded(pre, 2).alias("pre_credits_30d"),
+            rounded(post, 2).alias("post_credits_30d"),
+            rounded(ratio(pre, F.col("_pre_days")), 2).alias("pre_daily_avg"),
+            F.when(F.col("_post_days") > 0, rounded(ratio(post, F.col("_post_days")), 2)).alias("post_daily_avg"),
+            rounded(ratio(pre - post, pre) * 100, 1).alias("savings_pct"),
         )
         .orderBy(F.desc_nulls_first("savings_pct"), "warehouse_name")
     )
@@ -170,12 +170,12 @@ def latency_before_after(
     )
     return figures.select(
         "warehouse_name",
-        F.round("_pre", 2).alias("pre_avg_latency_sec"),
-        F.round("_post", 2).alias("post_avg_latency_sec"),
-        F.round((1 - ratio(F.col("_post"), F.col("_pre"))) * 100, 1).alias("latency_improvement_pct"),
-        F.round("_pre_queue", 2).alias("pre_avg_queue_sec"),
-        F.round("_post_queue", 2).alias("post_avg_queue_sec"),
-        F.round((1 - ratio(F.col("_post_queue"), F.col("_pre_queue"))) * 100, 1).alias("queue_reduction_pct"),
+        rounded("_pre", 2).alias("pre_avg_latency_sec"),
+        rounded("_post", 2).alias("post_avg_latency_sec"),
+        rounded((1 - ratio(F.col("_post"), F.col("_pre"))) * 100, 1).alias("latency_improvement_pct"),
+        rounded("_pre_queue", 2).alias("pre_avg_queue_sec"),
+        rounded("_post_queue", 2).alias("post_avg_queue_sec"),
+        rounded((1 - ratio(F.col("_post_queue"), F.col("_pre_queue"))) * 100, 1).alias("queue_reduction_pct"),
     )
 
 

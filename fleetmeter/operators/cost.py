@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import ADAPTIVE, STANDARD
-from ..functions.measures import fixed, mean, ratio, seconds, total
+from ..functions.measures import fixed, mean, ratio, rounded, rounded_even, seconds, total
 from ..functions.times import day_of, floor_to, hour_of, instant, last, moment
 from ..sources.readers import warehouse_filter
 from .rollups import cost_centers
@@ -111,8 +111,8 @@ def tag_attribution(
         .select(
             "cost_center",
             "warehouse_name",
-            F.round("_total", 2).alias("total_credits"),
-            F.round(F.col("_total") * F.lit(float(price)), 2).alias("estimated_cost_usd"),
+            rounded("_total", 2).alias("total_credits"),
+            rounded(F.col("_total") * F.lit(float(price)), 2).alias("estimated_cost_usd"),
         )
         .orderBy(F.desc("total_credits"), "cost_center", "warehouse_name")
     )
@@ -146,7 +146,7 @@ def credit_price(
     ).agg(F.max(F.struct("date", "effective_rate")).getField("effective_rate").alias("credit_price"))
     derived = currency.filter(
         (F.col("usage_type") == "compute") & F.col("usage_date").between(start, today) & (F.col("usage") > 0)
-    ).agg(F.round(ratio(F.sum("usage_in_currency"), F.sum("usage")), 2).alias("credit_price"))
+    ).agg(rounded(ratio(F.sum("usage_in_currency"), F.sum("usage")), 2).alias("credit_price"))
     spark = rates.sparkSession
     default = spark.range(1).select(F.lit(float(fallback)).alias("credit_price"))
     candidates = (
@@ -180,8 +180,8 @@ def idle_waste(hm: DataFrame, hq: DataFrame) -> DataFrame:
 
 def idle_waste_priced(idle: DataFrame, price: float = FALLBACK_CREDIT_PRICE) -> DataFrame:
     return idle.withColumn(
-        "idle_pct", F.bround(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1)
-    ).withColumn("wasted_usd", F.bround(F.col("idle_credits") * F.lit(float(price)), 2))
+        "idle_pct", rounded_even(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1)
+    ).withColumn("wasted_usd", rounded_even(F.col("idle_credits") * F.lit(float(price)), 2))
 
 
 def savings_projection(
@@ -204,7 +204,7 @@ def savings_projection(
     return fleet.select(
         "total_credits",
         "idle_credits",
-        F.coalesce(F.bround(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1), F.lit(0.0)).alias("idle_pct"),
+        F.coalesce(rounded_even(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1), F.lit(0.0)).alias("idle_pct"),
         "standard_credits",
         saved.alias("projected_savings_credits"),
         (saved * F.lit(float(price))).alias("projected_savings_usd"),
@@ -261,7 +261,7 @@ def idle_ratio(
     return active.groupBy("warehouse_name").agg(
         F.count(F.lit(1)).alias("active_hours"),
         F.lit(days * 24).alias("total_hours"),
-        F.round((1 - F.count(F.lit(1)) / F.lit(hours)) * 100, 1).alias("idle_pct"),
+        rounded((1 - F.count(F.lit(1)) / F.lit(hours)) * 100, 1).alias("idle_pct"),
     )
 
 
@@ -303,9 +303,9 @@ def monthly_savings_report(daily_savings: DataFrame, as_of: str | datetime) -> D
     return (
         rows.groupBy("warehouse_name")
         .agg(
-            F.round(base, 0).alias("baseline_credits"),
-            F.round(actual, 0).alias("actual_credits"),
-            F.round(base - actual, 0).alias("credits_saved"),
+            rounded(base, 0).alias("baseline_credits"),
+            rounded(actual, 0).alias("actual_credits"),
+            rounded(base - actual, 0).alias("credits_saved"),
             F.concat(fixed(F.avg("savings_pct"), 1), F.lit("%")).alias("avg_savings"),
         )
         .orderBy(F.desc("credits_saved"), "warehouse_name")

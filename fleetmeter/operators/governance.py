@@ -73,11 +73,6 @@ def is_legal_move(previous: Column, status: Column) -> Column:
     return F.coalesce(legal, F.lit(False))
 
 
-def latest_by_status(status: str, column: str) -> Column:
-    """``column`` of the newest event with ``status``."""
-    return F.max(F.when(F.col("status") == status, F.struct("event_time", "event_id", column))).getField(column)
-
-
 def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Current state of every request after its status events, with the count of illegal moves.
 
@@ -113,8 +108,8 @@ def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
         review.getField("actor").alias("reviewed_by"),
         review.getField("event_time").alias("reviewed_at"),
         review.getField("notes").alias("review_notes"),
-        latest_by_status("EXECUTED", "event_time").alias("executed_at"),
-        latest_by_status("ROLLED_BACK", "event_time").alias("rollback_at"),
+        F.max(F.when(F.col("status") == "EXECUTED", F.col("event_time"))).alias("executed_at"),
+        F.max(F.when(F.col("status") == "ROLLED_BACK", F.col("event_time"))).alias("rollback_at"),
     )
     return (
         requests.select("request_id", "warehouse_name", "created_at", "requested_by")
@@ -138,7 +133,7 @@ def calendar_days(calendar: DataFrame, first: date, last: date) -> DataFrame:
     end = F.least(F.col("end_date"), F.lit(last))
     names = F.when(
         F.upper(F.trim("affected_warehouses")) == "ALL", F.array(F.lit(None).cast("string"))
-    ).otherwise(F.transform(F.split("affected_warehouses", ","), F.trim))
+    ).otherwise(F.transform(F.split("affected_warehouses", ","), lambda name: F.trim(name)))
     return (
         calendar.filter(start <= end)
         .withColumn("day", F.explode(F.sequence(start, end)))

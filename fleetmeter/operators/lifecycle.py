@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import ADAPTIVE, STANDARD, health_status
-from ..functions.measures import fixed, ratio, total
+from ..functions.measures import fixed, ratio, rounded, total
 from ..functions.times import instant, last
 from .cost import capture_baseline
 
@@ -46,7 +46,7 @@ def health_check(log: DataFrame, metering: DataFrame, as_of: str | datetime, day
             F.datediff(today, F.to_date("migrated_at")).cast("double").alias("days_since_migration"),
             "baseline_credits_7d",
             current.alias("current_credits_7d"),
-            F.round((change - 1) * 100, 1).alias("credit_change_pct"),
+            rounded((change - 1) * 100, 1).alias("credit_change_pct"),
             health_status(change).alias("status"),
         )
     )
@@ -72,7 +72,7 @@ def conditional_rollback(
             "warehouse_name",
             (F.col("baseline_credits_7d") / 7 / 24).alias("baseline_hourly"),
             hourly.alias("current_hourly"),
-            F.round("_change", 1).alias("credit_change_pct"),
+            rounded("_change", 1).alias("credit_change_pct"),
             F.when(F.col("_change") > threshold_pct, "ROLLBACK").otherwise("NO ACTION").alias("decision"),
             F.when(
                 F.col("_change") > threshold_pct,

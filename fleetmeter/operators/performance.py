@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import (
     ADAPTIVE, RESUME_EVENTS, SUSPEND_EVENTS, first_match, load_window, matches_any, pool_type,
 )
-from ..functions.measures import count_where, ratio, seconds, total
+from ..functions.measures import count_where, ratio, rounded, seconds, total
 from ..functions.quantiles import percentile_of_large_groups
 from ..functions.times import hour_of, last, minutes_between, since_midnight
 from ..sources.readers import warehouse_filter
@@ -105,18 +105,18 @@ def latency_by_pool_type(
     ).select(pool_type().alias("wh_type"), "total_elapsed_time", "queued_overload_time")
     figures = [
         F.count(F.lit(1)).alias("total_queries"),
-        F.round(seconds(F.avg("total_elapsed_time")), 2).alias("avg_latency_sec"),
-        F.round(seconds(F.avg("queued_overload_time")), 2).alias("avg_queue_sec"),
+        rounded(seconds(F.avg("total_elapsed_time")), 2).alias("avg_latency_sec"),
+        rounded(seconds(F.avg("queued_overload_time")), 2).alias("avg_queue_sec"),
     ]
     if not exact:
         p95 = F.percentile_approx("total_elapsed_time", 0.95, accuracy)
-        return rows.groupBy("wh_type").agg(*figures, F.round(seconds(p95), 2).alias("p95_latency_sec"))
+        return rows.groupBy("wh_type").agg(*figures, rounded(seconds(p95), 2).alias("p95_latency_sec"))
     p95 = percentile_of_large_groups(rows, ["wh_type"], "total_elapsed_time", 0.95, "_p95")
     return (
         rows.groupBy("wh_type")
         .agg(*figures)
         .join(p95, "wh_type", "left")
-        .withColumn("p95_latency_sec", F.round(seconds(F.col("_p95")), 2))
+        .withColumn("p95_latency_sec", rounded(seconds(F.col("_p95")), 2))
         .drop("_p95")
     )
 
@@ -143,7 +143,7 @@ def failure_detail(
         rows.groupBy("warehouse_name", "error_code", "error_message")
         .agg(
             F.count(F.lit(1)).alias("failed_queries"),
-            F.round(F.sum("total_elapsed_time") / F.lit(3600000.0), 4).alias("wasted_hours"),
+            rounded(F.sum("total_elapsed_time") / F.lit(3600000.0), 4).alias("wasted_hours"),
         )
         .orderBy(F.desc("failed_queries"), "warehouse_name", "error_code", "error_message")
         .limit(n)
@@ -229,7 +229,7 @@ def tag_share(
         _recent(queries, as_of, names, days=days)
         .groupBy("warehouse_name")
         .agg(F.count(F.lit(1)).alias("total_queries"), count_where(tagged).alias("agent_queries"))
-        .withColumn("agent_pct", F.round(ratio(F.col("agent_queries"), F.col("total_queries")) * 100, 1))
+        .withColumn("agent_pct", rounded(ratio(F.col("agent_queries"), F.col("total_queries")) * 100, 1))
     )
 
 

@@ -453,6 +453,8 @@ def _seed_sla_sql() -> str:
     def text(v):
         if v is None:
             return "NULL"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return "'" + v + "'" if isinstance(v, str) else repr(v)
 
     rows = ", ".join("(" + ", ".join(text(v) for v in row) + ", TRUE)" for row in WORKLOAD_SLA)
