@@ -1,7 +1,7 @@
 """Hourly rollups: the shared base of nearly every report.
 
-``*_by_hour`` aggregate whatever rows they are given and serve the incremental and streaming jobs as well; the
-functions with ``as_of`` add the look-back. Sums, counts and percentiles all combine map-side, so a hot warehouse
+``*_measures`` are shared by batch and stream. ``*_by_hour`` aggregate whatever rows they are given (the incremental
+jobs use them); the functions with ``as_of`` add the look-back. Sums, counts and percentiles all combine map-side, so a hot warehouse
 reaches the shuffle as one partial row per hour and task.
 """
 
@@ -38,10 +38,16 @@ def query_measures() -> list[Column]:
     ]
 
 
+def metering_measures() -> list[Column]:
+    return [total("credits_used").alias("credits")]
+
+
+def event_measures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("event_count")]
+
+
 def metering_by_hour(metering: DataFrame) -> DataFrame:
-    return metering.groupBy("warehouse_name", hour_of(metering).alias("hour_ts")).agg(
-        total("credits_used").alias("credits")
-    )
+    return metering.groupBy("warehouse_name", hour_of(metering).alias("hour_ts")).agg(*metering_measures())
 
 
 def queries_by_hour(queries: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def queries_by_hour(queries: DataFrame) -> DataFrame:
 
 def events_by_hour(events: DataFrame) -> DataFrame:
     return events.groupBy("warehouse_name", hour_of(events, "timestamp").alias("hour_ts"), "event_name").agg(
-        F.count(F.lit(1)).alias("event_count")
+        *event_measures()
     )
 
 

@@ -185,11 +185,11 @@ SLA_CATALOGUE = {
 }
 
 
-def _spark(columns: dict[str, str]) -> list:
+def spark_columns(columns: dict[str, str]) -> list:
     return [F.expr(e.format(TS="TIMESTAMP_NTZ", STR="STRING")).alias(n) for n, e in columns.items()]
 
 
-def _sql(columns: dict[str, str]) -> str:
+def sql_columns(columns: dict[str, str]) -> str:
     return ", ".join(f"{e.format(TS='TIMESTAMP', STR='VARCHAR')} AS {n}" for n, e in columns.items())
 
 
@@ -206,24 +206,24 @@ def _users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metering(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(METERING))
+    return events(spark, sf).select(spark_columns(METERING))
 
 
 def query_history(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(QUERY_HISTORY))
+    return events(spark, sf).select(spark_columns(QUERY_HISTORY))
 
 
 def load_history(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(LOAD_HISTORY))
+    return events(spark, sf).select(spark_columns(LOAD_HISTORY))
 
 
 def events_history(spark: SparkSession, sf: str) -> DataFrame:
-    converted = _users(spark, sf).filter("user_id % 3 = 0").select(_spark(CONVERSION_ROWS))
-    return events(spark, sf).select(_spark(EVENT_ROWS)).unionByName(converted)
+    converted = _users(spark, sf).filter("user_id % 3 = 0").select(spark_columns(CONVERSION_ROWS))
+    return events(spark, sf).select(spark_columns(EVENT_ROWS)).unionByName(converted)
 
 
 def raw_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    used = _users(spark, sf).select(_spark(INVENTORY))
+    used = _users(spark, sf).select(spark_columns(INVENTORY))
     return used.unionByName(spark.createDataFrame(UNUSED, ", ".join(f"{c} STRING" for c in INVENTORY)))
 
 
@@ -368,14 +368,18 @@ def usage_in_currency_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(AUDIT_LOG)).withColumn("event_detail", F.parse_json("event_detail"))
+    return events(spark, sf).select(spark_columns(AUDIT_LOG)).withColumn("event_detail", F.parse_json("event_detail"))
 
 
 def migration_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(REQUESTS))
+    return events(spark, sf).select(spark_columns(REQUESTS))
 
 
 def request_events(spark: SparkSession, sf: str) -> DataFrame:
+    return request_events_of(events(spark, sf))
+
+
+def request_events_of(source: DataFrame) -> DataFrame:
     """Status events per request; paths by number, one of them executing without approval."""
 
     def move(n, status, hours, actor, notes, when):
@@ -391,7 +395,7 @@ def request_events(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     reviewer, note, none = "concat('m', event_id % 7)", "concat('note ', event_id % 11)", "CAST(NULL AS STRING)"
-    return events(spark, sf).select(
+    return source.select(
         F.expr(REQUESTS["request_id"].format(STR="STRING")).alias("request_id"),
         F.inline(
             F.array_compact(
@@ -407,7 +411,7 @@ def request_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sla_breach_log(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(_spark(SLA_BREACHES))
+    return events(spark, sf).select(spark_columns(SLA_BREACHES))
 
 
 def sla_catalogue(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,22 +420,22 @@ def sla_catalogue(spark: SparkSession, sf: str) -> DataFrame:
         events(spark, sf)
         .groupBy(F.expr("user_id % 200").alias("class_no"))
         .agg(F.max("value").alias("max_value"))
-        .select(_spark(SLA_CATALOGUE))
+        .select(spark_columns(SLA_CATALOGUE))
     )
 
 
 def regulatory_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders")).select(_spark(CALENDAR))
+        table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders")).select(spark_columns(CALENDAR))
     )
 
 
 def orders_metering(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(_spark(ORDERS_METERING))
+    return table(spark, sf, "orders").select(spark_columns(ORDERS_METERING))
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(_spark(ACCOUNTS))
+    return table(spark, sf, "customer").select(spark_columns(ACCOUNTS))
 
 
 def regions_from_suppliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,7 +504,7 @@ def _inventory_sql() -> str:
     }
     columns = {renamed.get(n, n): e for n, e in INVENTORY.items()}
     unused = " UNION ALL ".join("SELECT " + ", ".join(f"'{v}'" for v in row) for row in UNUSED)
-    return f"SELECT {_sql(columns)} FROM (SELECT DISTINCT user_id FROM events) UNION ALL {unused}"
+    return f"SELECT {sql_columns(columns)} FROM (SELECT DISTINCT user_id FROM events) UNION ALL {unused}"
 
 
 USERS = "(SELECT DISTINCT user_id FROM events)"
@@ -508,11 +512,11 @@ RID = REQUESTS["request_id"].format(STR="VARCHAR")
 
 #: SQL of every view, in dependency order. ``hm``, ``hq``, ``he`` are the 30-day hourly rollups.
 SQL_VIEWS: dict[str, str] = {
-    "metering": f"SELECT {_sql(METERING)} FROM events",
-    "query_history": f"SELECT {_sql(QUERY_HISTORY)} FROM events",
-    "load_history": f"SELECT {_sql(LOAD_HISTORY)} FROM events",
-    "events_history": f"SELECT {_sql(EVENT_ROWS)} FROM events UNION ALL "
-    f"SELECT {_sql(CONVERSION_ROWS)} FROM {USERS} WHERE user_id % 3 = 0",
+    "metering": f"SELECT {sql_columns(METERING)} FROM events",
+    "query_history": f"SELECT {sql_columns(QUERY_HISTORY)} FROM events",
+    "load_history": f"SELECT {sql_columns(LOAD_HISTORY)} FROM events",
+    "events_history": f"SELECT {sql_columns(EVENT_ROWS)} FROM events UNION ALL "
+    f"SELECT {sql_columns(CONVERSION_ROWS)} FROM {USERS} WHERE user_id % 3 = 0",
     "inventory": _inventory_sql(),
     "migration_log": _log_sql(),
     "tag_references": f"""
@@ -540,8 +544,8 @@ SQL_VIEWS: dict[str, str] = {
       SELECT CAST(ts AS DATE) AS usage_date, 'compute' AS usage_type, CAST(sum({CREDITS}) AS DOUBLE) AS usage,
              CAST(sum({CREDITS}) AS DOUBLE) * (2 + day(CAST(ts AS DATE)) % 3 * 0.25) AS usage_in_currency
       FROM events GROUP BY CAST(ts AS DATE)""",
-    "audit_log": f"SELECT {_sql(AUDIT_LOG)} FROM events",
-    "migration_requests": f"SELECT {_sql(REQUESTS)} FROM events",
+    "audit_log": f"SELECT {sql_columns(AUDIT_LOG)} FROM events",
+    "migration_requests": f"SELECT {sql_columns(REQUESTS)} FROM events",
     "request_events": f"""
       SELECT {RID} AS request_id, 1 AS event_id, 'APPROVED' AS status, ts + INTERVAL 1 HOUR AS event_time,
              concat('m', event_id % 7) AS actor, concat('note ', event_id % 11) AS notes
@@ -550,13 +554,13 @@ SQL_VIEWS: dict[str, str] = {
       FROM events WHERE event_id % 5 = 2
       UNION ALL SELECT {RID}, 3, 'EXECUTED', ts + INTERVAL 25 HOUR, 'ops', NULL FROM events WHERE event_id % 5 IN (3, 4)
       UNION ALL SELECT {RID}, 4, 'ROLLED_BACK', ts + INTERVAL 26 HOUR, 'ops', NULL FROM events WHERE event_id % 5 = 4""",
-    "sla_breach_log": f"SELECT {_sql(SLA_BREACHES)} FROM events",
-    "sla_catalogue": f"SELECT {_sql(SLA_CATALOGUE)} FROM (SELECT user_id % 200 AS class_no, max(value) AS max_value "
+    "sla_breach_log": f"SELECT {sql_columns(SLA_BREACHES)} FROM events",
+    "sla_catalogue": f"SELECT {sql_columns(SLA_CATALOGUE)} FROM (SELECT user_id % 200 AS class_no, max(value) AS max_value "
     "FROM events GROUP BY user_id % 200)",
     "workload_sla": _seed_sla_sql(),
-    "regulatory_calendar": f"SELECT {_sql(CALENDAR)} FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)",
-    "orders_metering": f"SELECT {_sql(ORDERS_METERING)} FROM orders",
-    "accounts": f"SELECT {_sql(ACCOUNTS)} FROM customer",
+    "regulatory_calendar": f"SELECT {sql_columns(CALENDAR)} FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)",
+    "orders_metering": f"SELECT {sql_columns(ORDERS_METERING)} FROM orders",
+    "accounts": f"SELECT {sql_columns(ACCOUNTS)} FROM customer",
     "regions": _region_sql(),
     "supplier_regions": "SELECT " + _by_mod("s_suppkey", 3, ["'AWS'", "'AZURE'", "'GCP'"]) + """ AS cloud_provider,
              lower(n_name) AS region, n_name AS region_display, max(s_suppkey) % 2 = 0 AS adaptive_ga,

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from ..functions.times import HOUR, instant, moment
-from ..operators.rollups import events_by_hour, metering_by_hour, queries_by_hour, with_cost_center
+from ..operators.rollups import (
+    event_measures, events_by_hour, metering_by_hour, metering_measures, queries_by_hour, query_measures, with_cost_center,
+)
 from ..session import shared_dir
 from . import schemas
 from .readers import read_or_empty
@@ -30,13 +32,14 @@ RETENTION_DAYS = 31
 
 @dataclass(frozen=True)
 class HourlyTable:
-    """One stored rollup: its schema, merge keys, source time column and the aggregate that feeds it."""
+    """One stored rollup: schema, merge keys, source time column, and the aggregate (and its measures) that feed it."""
 
     name: str
     schema: StructType
     keys: tuple[str, ...]
     time_column: str
     aggregate: Callable[[DataFrame], DataFrame]
+    measures: Callable[[], list[Column]]
 
     @property
     def stored_schema(self) -> StructType:
@@ -44,13 +47,16 @@ class HourlyTable:
 
 
 METERING = HourlyTable(
-    "hourly_metering", schemas.HOURLY_METERING, ("warehouse_name", "hour_ts"), "start_time", metering_by_hour
+    "hourly_metering", schemas.HOURLY_METERING, ("warehouse_name", "hour_ts"), "start_time", metering_by_hour,
+    metering_measures,
 )
 QUERIES = HourlyTable(
-    "hourly_queries", schemas.HOURLY_QUERIES, ("warehouse_name", "hour_ts"), "start_time", queries_by_hour
+    "hourly_queries", schemas.HOURLY_QUERIES, ("warehouse_name", "hour_ts"), "start_time", queries_by_hour,
+    query_measures,
 )
 EVENTS = HourlyTable(
-    "hourly_events", schemas.HOURLY_EVENTS, ("warehouse_name", "hour_ts", "event_name"), "timestamp", events_by_hour
+    "hourly_events", schemas.HOURLY_EVENTS, ("warehouse_name", "hour_ts", "event_name"), "timestamp", events_by_hour,
+    event_measures,
 )
 TABLES = (METERING, QUERIES, EVENTS)
 
@@ -223,12 +229,16 @@ def refresh(
     source: DataFrame,
     as_of: str | datetime,
     tags: DataFrame | None = None,
+    rebuild_from: datetime | None = None,
 ) -> datetime:
     """One scheduled run for one table: re-read the open window, aggregate, upsert, prune. Returns the window start.
 
-    Running it twice leaves the same rows. Metering takes ``tags`` for its cost centre.
+    Running it twice leaves the same rows. Metering takes ``tags`` for its cost centre. ``rebuild_from`` widens the
+    window, for example to repair days after a run was killed while it swapped them.
     """
     mark = watermark(spark, path, table)
+    if rebuild_from is not None:
+        mark = min(mark, rebuild_from + LATENESS)
     start = window_start(mark, as_of)
     updates = table.aggregate(incremental_window(source, table.time_column, mark, as_of))
     if tags is not None:
