@@ -3,7 +3,8 @@
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. That is right for (warehouse, hour)
 groups, but a report with two groups over the whole table would put the table's distinct values into two tasks.
 Here the values are counted first, then the two order statistics around the wanted rank are located: first in
-coarse value buckets, then inside the bucket. No task ever holds more than one bucket.
+coarse value buckets, then inside the bucket. No task ever holds more than one bucket, and the raw rows are read and
+shuffled once: other sums of the same groups ride along with the counts.
 """
 
 from __future__ import annotations
@@ -13,39 +14,58 @@ from pyspark.sql import functions as F
 
 
 def percentile_of_large_groups(
-    df: DataFrame, keys: list[str], value: str, fraction: float, name: str, bucket_width: float = 1000.0
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    fraction: float,
+    name: str,
+    sums: dict[str, Column] | None = None,
+    bucket_width: float = 1000.0,
 ) -> DataFrame:
-    """One row per ``keys`` with the interpolated percentile of ``value`` (NULL values are ignored).
+    """One row per ``keys`` with the interpolated percentile of ``value`` as ``name`` (NULL values are ignored).
 
-    ``bucket_width`` is in the unit of ``value``; it bounds the distinct values one sort has to order.
+    ``sums`` maps output names to aggregates (sums or counts) that add up over parts of a group; they cover all rows.
+    ``bucket_width`` is in the unit of ``value`` and bounds the distinct values one sort has to order.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.floor(F.col(value) / F.lit(bucket_width)).alias("_bucket"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = dict(sums or {})
+    counted = df.groupBy(
+        *keys, F.floor(F.col(value) / F.lit(bucket_width)).alias("_bucket"), F.col(value).alias("_value")
+    ).agg(F.count(F.lit(1)).alias("_n"), *[part.alias(n) for n, part in carried.items()])
+
+    by_bucket = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_bucket"))
+    group = Window.partitionBy(*keys)
+    values_in = F.when(F.col("_bucket").isNotNull(), F.col("_bucket_n")).otherwise(0)
     buckets = (
         counted.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_bucket_n"))
-        .withColumn("_before", F.sum("_bucket_n").over(by_bucket) - F.col("_bucket_n"))
-        .withColumn("_total", F.sum("_bucket_n").over(Window.partitionBy(*keys)))
-        .withColumn("_rank", (F.col("_total") - 1) * F.lit(float(fraction)))
+        .agg(F.sum("_n").alias("_bucket_n"), *[F.sum(n).alias(n) for n in carried])
+        .withColumn("_before", F.sum(values_in).over(by_bucket) - values_in)
+        .withColumn("_rank", (F.sum(values_in).over(group) - 1) * F.lit(float(fraction)))
+        .select("*", *[F.sum(n).over(group).alias(f"_all_{n}") for n in carried])
     )
     low, high = F.floor("_rank"), F.ceil("_rank")
 
     def holds(rank: Column, start: str, count: str) -> Column:
         return (rank >= F.col(start)) & (rank < F.col(start) + F.col(count))
 
-    wanted = buckets.filter(holds(low, "_before", "_bucket_n") | holds(high, "_before", "_bucket_n"))
+    # NULL values alone: the group keeps its row, without a percentile
+    only_nulls = (F.col("_rank") < 0) & F.col("_bucket").isNull()
+    wanted = buckets.filter(
+        only_nulls
+        | (F.col("_bucket").isNotNull() & (holds(low, "_before", "_bucket_n") | holds(high, "_before", "_bucket_n")))
+    ).drop("_bucket_n", *carried)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(wanted, [*keys, "_bucket"]).withColumn(
-        "_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n")
+    parts = counted.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_value", "_n"
     )
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ranked = parts.join(wanted, same).withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
     ends = ranked.groupBy(*keys).agg(
         F.first("_rank").alias("_rank"),
         F.max(F.when(holds(low, "_start", "_n"), F.col("_value"))).cast("double").alias("_low"),
         F.max(F.when(holds(high, "_start", "_n"), F.col("_value"))).cast("double").alias("_high"),
+        *[F.first(f"_all_{n}").alias(n) for n in carried],
     )
     weight = F.col("_rank") - F.floor("_rank")
-    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * weight).alias(name))
+    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * weight).alias(name), *carried)

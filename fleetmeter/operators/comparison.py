@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_per_warehouse
@@ -63,19 +63,19 @@ def performance_comparison(queries: DataFrame, log: DataFrame, days_before: int
 
 
 def daily_savings(comparison: DataFrame) -> DataFrame:
-    """POST days against the mean PRE day. ``comparison`` is the output of ``credit_comparison``."""
+    """POST days against the mean PRE day. ``comparison`` is the output of ``credit_comparison``.
+
+    One scan: the mean is taken over the warehouse's daily rows, which the kept days bound.
+    """
     daily = comparison.groupBy("warehouse_name", "period", day_of(comparison, "hour_ts").alias("day_ts")).agg(
         F.sum("credits").alias("_credits")
     )
-    # PRE days aggregate and POST days stay rows, both from the one daily rollup
-    before = (
-        daily.filter(F.col("period") == "PRE")
-        .groupBy("warehouse_name")
-        .agg(F.avg("_credits").alias("baseline_daily_credits"))
-    )
+    warehouse = Window.partitionBy("warehouse_name")
+    before = F.when(F.col("period") == "PRE", F.col("_credits"))
     return (
-        daily.filter(F.col("period") == "POST")
-        .join(before, "warehouse_name")
+        daily.withColumn("baseline_daily_credits", F.avg(before).over(warehouse))
+        .withColumn("_pre_days", F.count(F.when(F.col("period") == "PRE", F.lit(1))).over(warehouse))
+        .filter((F.col("period") == "POST") & (F.col("_pre_days") > 0))
         .select(
             "warehouse_name",
             "day_ts",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
+from ..functions.joins import join_spread
 from ..functions.measures import count_where
 from ..functions.times import instant
 from ..sources import seeds
@@ -77,44 +78,42 @@ def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Current state of every request after its status events, with the count of illegal moves.
 
     ``requests`` has one row per request; ``events`` has request_id, event_id, event_time, status, actor, notes. An
-    illegal move is applied, as an unguarded update would, and counted. To find the state before each event, days are
-    compared first inside and then across (request, day), so no task orders the whole history of one request.
+    illegal move is applied, as an unguarded update would, and counted. The state before each event is looked up inside
+    its hour first; only an hour's first event needs the state the previous active hour ended with. So no task orders
+    the whole history of one request.
     """
-    day = events.withColumn("_day", F.to_date("event_time"))
-    moves = Window.partitionBy("request_id", "_day").orderBy("event_time", "event_id")
-    in_day = day.withColumn("_before", F.lag("status").over(moves))
-    day_end = (
-        day.groupBy("request_id", "_day")
+    hourly = events.withColumn("_hour", F.date_trunc("hour", "event_time"))
+    moves = Window.partitionBy("request_id", "_hour").orderBy("event_time", "event_id")
+    hour_end = (
+        hourly.groupBy("request_id", "_hour")
         .agg(F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("_last"))
-        .withColumn("_yesterday", F.lag("_last").over(Window.partitionBy("request_id").orderBy("_day")))
-        .select("request_id", "_day", "_yesterday")
-    )
-    # one first event per (request, day) needs the previous day's last state
-    opening = (
-        in_day.filter(F.col("_before").isNull())
-        .join(day_end, ["request_id", "_day"])
-        .select("request_id", "status", F.coalesce("_yesterday", F.lit(INITIAL_STATUS)).alias("_before"))
-    )
-    later = in_day.filter(F.col("_before").isNotNull()).select("request_id", "status", "_before")
-    illegal = (
-        opening.unionByName(later)
-        .groupBy("request_id")
-        .agg(count_where(~is_legal_move(F.col("_before"), F.col("status"))).alias("illegal_moves"))
+        .withColumn("_entry", F.lag("_last").over(Window.partitionBy("request_id").orderBy("_hour")))
+        .select("request_id", "_hour", "_entry")
     )
+    before = F.coalesce("_before", "_entry", F.lit(INITIAL_STATUS))
     reviewed = F.col("status").isin("APPROVED", "REJECTED")
     review = F.max(F.when(reviewed, F.struct("event_time", "event_id", "actor", "notes")))
-    state = events.groupBy("request_id").agg(
-        F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("_status"),
-        review.getField("actor").alias("reviewed_by"),
-        review.getField("event_time").alias("reviewed_at"),
-        review.getField("notes").alias("review_notes"),
-        F.max(F.when(F.col("status") == "EXECUTED", F.col("event_time"))).alias("executed_at"),
-        F.max(F.when(F.col("status") == "ROLLED_BACK", F.col("event_time"))).alias("rollback_at"),
+
+    def newest(status: str) -> Column:
+        return F.max(F.when(F.col("status") == status, F.col("event_time")))
+
+    state = (
+        hourly.withColumn("_before", F.lag("status").over(moves))
+        .join(hour_end, ["request_id", "_hour"])
+        .groupBy("request_id")
+        .agg(
+            F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("_status"),
+            review.getField("actor").alias("reviewed_by"),
+            review.getField("event_time").alias("reviewed_at"),
+            review.getField("notes").alias("review_notes"),
+            newest("EXECUTED").alias("executed_at"),
+            newest("ROLLED_BACK").alias("rollback_at"),
+            count_where(~is_legal_move(before, F.col("status"))).alias("illegal_moves"),
+        )
     )
     return (
         requests.select("request_id", "warehouse_name", "created_at", "requested_by")
         .join(state, "request_id", "left")
-        .join(illegal, "request_id", "left")
         .select(
             "request_id", "warehouse_name", "created_at", "requested_by",
             F.coalesce("_status", F.lit(INITIAL_STATUS)).alias("status"),
@@ -150,18 +149,30 @@ def active_blackouts(calendar: DataFrame, as_of: str | datetime) -> DataFrame:
 
 
 def blackout_violations(requests: DataFrame, calendar: DataFrame, first: date, last: date) -> DataFrame:
-    """Requests executed ``first``..``last`` on a blackout day that covers their warehouse, one row per window."""
+    """Requests executed ``first``..``last`` on a blackout day that covers their warehouse.
+
+    One row per request, with the number of windows and the first by name: windows are folded per (day, warehouse)
+    before the join, so overlapping windows do not multiply the requests of a day.
+    """
     executed = requests.withColumn("day", F.to_date("executed_at")).filter(
         F.col("day").between(F.lit(first), F.lit(last))
     ).select("request_id", "warehouse_name", "executed_at", "day")
-    days = calendar_days(calendar.filter(F.col("event_type") == "BLACKOUT"), first, last).select(
-        "event_name", "day", F.col("warehouse_name").alias("_only")
-    )
-    everywhere = executed.join(days.filter(F.col("_only").isNull()).drop("_only"), "day")
-    listed = executed.join(
-        days.filter(F.col("_only").isNotNull()).withColumnRenamed("_only", "warehouse_name"), ["day", "warehouse_name"]
+    days = calendar_days(calendar.filter(F.col("event_type") == "BLACKOUT"), first, last).distinct()
+    everywhere = days.filter(F.col("warehouse_name").isNull()).groupBy("day").agg(
+        F.count(F.lit(1)).alias("_all"), F.min("event_name").alias("_all_first")
+    )
+    listed = days.filter(F.col("warehouse_name").isNotNull()).groupBy("day", "warehouse_name").agg(
+        F.count(F.lit(1)).alias("_listed"), F.min("event_name").alias("_listed_first")
+    )
+    covered = join_spread(executed, everywhere, ["day"], "request_id", "left")
+    covered = join_spread(covered, listed, ["day", "warehouse_name"], "request_id", "left")
+    return covered.filter(F.col("_all").isNotNull() | F.col("_listed").isNotNull()).select(
+        "request_id",
+        "warehouse_name",
+        "executed_at",
+        (F.coalesce("_all", F.lit(0)) + F.coalesce("_listed", F.lit(0))).alias("blackout_windows"),
+        F.least("_all_first", "_listed_first").alias("first_window"),
     )
-    return everywhere.unionByName(listed).select("request_id", "warehouse_name", "executed_at", "event_name").distinct()
 
 
 def calendar_upcoming(calendar: DataFrame, as_of: str | datetime) -> DataFrame:

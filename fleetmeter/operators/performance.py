@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import (
@@ -23,6 +23,17 @@ WORKLOAD_RULES = [("AGENT", AGENT_PATTERNS), ("ML_BATCH", ML_PATTERNS)]
 ETL_PATTERN = "%etl_pipeline%"
 
 
+def load_sums() -> dict[str, Column]:
+    """Sums that ride along with an exact percentile."""
+    return {
+        "_rows": F.count(F.lit(1)),
+        "_timed": F.count("total_elapsed_time"),
+        "_elapsed": F.sum("total_elapsed_time"),
+        "_queue": F.sum("queued_overload_time"),
+        "_queue_rows": F.count("queued_overload_time"),
+    }
+
+
 def _recent(queries: DataFrame, as_of: str | datetime, names: Iterable[str] | None, **span: float) -> DataFrame:
     rows = queries.filter(last(queries, "start_time", as_of, **span) & F.col("warehouse_name").isNotNull())
     return warehouse_filter(rows, names)
@@ -73,7 +84,7 @@ def performance_by_pool_type(queries: DataFrame, as_of: str | datetime, days: in
 def adaptive_vs_standard(queries: DataFrame, as_of: str | datetime, days: int = 7) -> DataFrame:
     """Daily averages by pool type, for warehouses that ran at least one adaptive query in the window.
 
-    One scan: the warehouses are picked from the daily rows, not from the queries.
+    One scan: the warehouses are picked from the daily rows (at most two per day), not from the queries.
     """
     rows = queries.filter(
         since_midnight(queries, "start_time", as_of, days) & F.col("warehouse_name").isNotNull()
@@ -87,8 +98,13 @@ def adaptive_vs_standard(queries: DataFrame, as_of: str | datetime, days: int =
         F.avg("queued_provisioning_time").alias("avg_queued_provisioning_time_ms"),
         F.count(F.lit(1)).alias("query_count"),
     )
-    converted = daily.filter(F.col("warehouse_type") == ADAPTIVE).select("warehouse_name").distinct()
-    return daily.join(converted, "warehouse_name", "left_semi").select(daily.columns).orderBy("ds", "warehouse_name")
+    any_adaptive = F.max(F.col("warehouse_type") == ADAPTIVE).over(Window.partitionBy("warehouse_name"))
+    return (
+        daily.withColumn("_converted", any_adaptive)
+        .filter(F.col("_converted"))
+        .drop("_converted")
+        .orderBy("ds", "warehouse_name")
+    )
 
 
 def latency_by_pool_type(
@@ -103,21 +119,17 @@ def latency_by_pool_type(
         & (F.col("execution_status") == "SUCCESS")
         & F.col("warehouse_name").isNotNull()
     ).select(pool_type().alias("wh_type"), "total_elapsed_time", "queued_overload_time")
-    figures = [
-        F.count(F.lit(1)).alias("total_queries"),
-        rounded(seconds(F.avg("total_elapsed_time")), 2).alias("avg_latency_sec"),
-        rounded(seconds(F.avg("queued_overload_time")), 2).alias("avg_queue_sec"),
-    ]
     if not exact:
         p95 = F.percentile_approx("total_elapsed_time", 0.95, accuracy)
-        return rows.groupBy("wh_type").agg(*figures, rounded(seconds(p95), 2).alias("p95_latency_sec"))
-    p95 = percentile_of_large_groups(rows, ["wh_type"], "total_elapsed_time", 0.95, "_p95")
-    return (
-        rows.groupBy("wh_type")
-        .agg(*figures)
-        .join(p95, "wh_type", "left")
-        .withColumn("p95_latency_sec", rounded(seconds(F.col("_p95")), 2))
-        .drop("_p95")
+        found = rows.groupBy("wh_type").agg(p95.cast("double").alias("_p95"), *[c.alias(n) for n, c in load_sums().items()])
+    else:
+        found = percentile_of_large_groups(rows, ["wh_type"], "total_elapsed_time", 0.95, "_p95", load_sums())
+    return found.select(
+        "wh_type",
+        F.col("_rows").alias("total_queries"),
+        rounded(seconds(ratio(F.col("_elapsed"), F.col("_timed"))), 2).alias("avg_latency_sec"),
+        rounded(seconds(F.col("_p95")), 2).alias("p95_latency_sec"),
+        rounded(seconds(ratio(F.col("_queue"), F.col("_queue_rows"))), 2).alias("avg_queue_sec"),
     )
 
 
@@ -251,17 +263,13 @@ def workload_classes(
         "queued_overload_time",
     )
     keys = ["warehouse_name", "workload_type"]
-    p95 = percentile_of_large_groups(rows, keys, "total_elapsed_time", 0.95, "_p95")
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("queries"),
-            seconds(F.avg("total_elapsed_time")).alias("avg_latency_sec"),
-            seconds(F.sum("queued_overload_time")).alias("total_queue_sec"),
-        )
-        .join(p95, keys, "left")
-        .withColumn("p95_sec", seconds(F.col("_p95")))
-        .drop("_p95")
+    found = percentile_of_large_groups(rows, keys, "total_elapsed_time", 0.95, "_p95", load_sums())
+    return found.select(
+        *keys,
+        F.col("_rows").alias("queries"),
+        seconds(ratio(F.col("_elapsed"), F.col("_timed"))).alias("avg_latency_sec"),
+        seconds(F.col("_p95")).alias("p95_sec"),
+        seconds(F.col("_queue")).alias("total_queue_sec"),
     )
 
 

@@ -385,10 +385,12 @@ def active_blackouts(spark, sf):
 
 @query(
     "blackout_violations",
-    """SELECT request_id, warehouse_name, executed_at, event_name
+    """SELECT request_id, any_value(warehouse_name) AS warehouse_name, any_value(executed_at) AS executed_at,
+              count(*) AS blackout_windows, min(event_name) AS first_window
        FROM migration_requests JOIN regulatory_calendar
          ON CAST(executed_at AS DATE) BETWEEN start_date AND end_date AND event_type = 'BLACKOUT'
-        AND (affected_warehouses = 'ALL' OR list_contains(string_split(affected_warehouses, ', '), warehouse_name))""",
+        AND (affected_warehouses = 'ALL' OR list_contains(string_split(affected_warehouses, ', '), warehouse_name))
+       GROUP BY request_id""",
 )
 def blackout_violations(spark, sf):
     return governance.blackout_violations(
