@@ -3,8 +3,9 @@
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. That is right for (warehouse, hour)
 groups, but a report with two groups over the whole table would put the table's distinct values into two tasks.
 Here the values are counted first, then the two order statistics around the wanted rank are located: first in
-coarse value buckets, then inside the bucket. No task ever holds more than one bucket, and the raw rows are read and
-shuffled once: other sums of the same groups ride along with the counts.
+coarse value buckets, then inside the bucket. No task ever holds more than one bucket. Other sums of the same groups
+ride along with the counts, so the raw rows are read twice in all: once for the bucket totals, once for the values of
+the wanted buckets.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def percentile_of_large_groups(
         counted.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_bucket_n"), *[F.sum(n).alias(n) for n in carried])
         .withColumn("_before", F.sum(values_in).over(by_bucket) - values_in)
-        .withColumn("_rank", (F.sum(values_in).over(group) - 1) * F.lit(float(fraction)))
+        .withColumn("_values", F.sum(values_in).over(group))
+        .withColumn("_rank", (F.col("_values") - 1) * F.lit(float(fraction)))
         .select("*", *[F.sum(n).over(group).alias(f"_all_{n}") for n in carried])
     )
     low, high = F.floor("_rank"), F.ceil("_rank")
@@ -48,7 +50,7 @@ def percentile_of_large_groups(
         return (rank >= F.col(start)) & (rank < F.col(start) + F.col(count))
 
     # NULL values alone: the group keeps its row, without a percentile
-    only_nulls = (F.col("_rank") < 0) & F.col("_bucket").isNull()
+    only_nulls = (F.col("_values") == 0) & F.col("_bucket").isNull()
     wanted = buckets.filter(
         only_nulls
         | (F.col("_bucket").isNotNull() & (holds(low, "_before", "_bucket_n") | holds(high, "_before", "_bucket_n")))
