@@ -37,12 +37,12 @@ def refreshed(spark, sf, table, source, tags=None):
 
 
 @query(
-    "merge_upsert_metering",
+    "merge_upsert",
     f"""SELECT warehouse_name, hour_ts, {r('credits')}, tag_cost_center
         FROM hm LEFT JOIN (SELECT object_name AS warehouse_name, max(tag_value) AS tag_cost_center FROM tag_references
                            WHERE domain = 'WAREHOUSE' AND tag_name = 'COST_CENTER' GROUP BY 1) USING (warehouse_name)""",
 )
-def merge_upsert_metering(spark, sf):
+def merge_upsert(spark, sf):
     """Two incremental refreshes give what one full computation gives."""
     return refreshed(spark, sf, store.METERING, v.metering(spark, sf), v.tag_references(spark, sf))
 

@@ -14,6 +14,8 @@ RUNTIME_DEFAULTS = {
     # Exact percentiles aggregate per (warehouse, hour): thousands of small groups per task. The default of
     # 128 groups would send nearly every such task to the sort-based path.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Column expressions otherwise record their Python call site, which costs more than building the plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
