@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.times import instant, moment
 from ..operators import lifecycle, rollups, sla
 from ..session import shared_dir
 from ..sources import schemas, seeds, store
-from ..sources.readers import read_or_empty
+from ..sources.readers import read_or_empty, resolve_source
 from . import views as v
 from .anomaly_jobs import LATENCY, QUEUE, breach_sql
 from .cost_jobs import HQ_COLUMNS, NOW, he, hm, hq
@@ -57,6 +59,21 @@ def merge_upsert_events(spark, sf):
     return refreshed(spark, sf, store.EVENTS, v.events_history(spark, sf))
 
 
+@query("source_resolver_staged", f"SELECT warehouse_name, hour_ts, {r('credits')} FROM hm WHERE hour_ts >= {NOW} - INTERVAL 14 DAY")
+def source_resolver_staged(spark, sf):
+    """A deployed hourly table answers instead of the raw scan, restricted to the look-back."""
+    path = new_folder(spark, "staged")
+    store.refresh(spark, path, store.METERING, v.metering(spark, sf), AS_OF)
+    store.load(spark, path, store.METERING).createOrReplaceTempView("fleetmeter_staged_hourly_metering")
+    since = instant(AS_OF) - timedelta(days=14)
+    return resolve_source(
+        spark,
+        "fleetmeter_staged_hourly_metering",
+        lambda: hm(spark, sf),
+        lambda staged: staged.filter(F.col("hour_ts") >= moment(staged, "hour_ts", since)),
+    ).select("warehouse_name", "hour_ts", "credits")
+
+
 @query(
     "incremental_window",
     f"""SELECT warehouse_name, date_trunc('hour', start_time) AS hour_ts, {r('CAST(sum(credits_used) AS DOUBLE)', 'credits')}

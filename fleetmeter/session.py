@@ -14,6 +14,9 @@ RUNTIME_DEFAULTS = {
     # Exact percentiles aggregate per (warehouse, hour): thousands of small groups per task. The default of
     # 128 groups would send nearly every such task to the sort-based path.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+}
+#: Settings fixed at start-up.
+STATIC_DEFAULTS = {
     # Column expressions otherwise record their Python call site, which costs more than building the plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -24,7 +27,7 @@ def build(app_name: str = "fleetmeter", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_DEFAULTS, **conf}.items():
+    for key, value in {**STATIC_DEFAULTS, **RUNTIME_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

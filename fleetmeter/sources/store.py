@@ -3,7 +3,8 @@
 A table is a folder of Parquet files partitioned by ``day`` (the date of ``hour_ts``) and sorted by hour and
 warehouse inside, so look-backs prune whole days and row groups. Plain Parquet has no MERGE: an upsert rewrites only the
 days it touches, through dynamic partition overwrite, after a reliable checkpoint has cut the new rows loose from
-the files they replace. One writer per table is assumed, as with the scheduled refresh.
+the files they replace. One writer per table is assumed, as with the scheduled refresh. Checkpoint files of finished
+runs go away with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
 from __future__ import annotations
@@ -240,7 +241,9 @@ def refresh(
     if rebuild_from is not None:
         mark = min(mark, rebuild_from + LATENESS)
     start = window_start(mark, as_of)
-    updates = table.aggregate(incremental_window(source, table.time_column, mark, as_of))
+    window = incremental_window(source, table.time_column, mark, as_of)
+    # a NULL name would never match its stored row, so a second run would store it twice
+    updates = table.aggregate(window.filter(F.col("warehouse_name").isNotNull()))
     if tags is not None:
         updates = with_cost_center(updates, tags)
     merge_upsert(spark, path, table, updates, start, as_of)

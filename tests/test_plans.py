@@ -8,7 +8,7 @@ import __spark_entry__ as entry_point
 from fleetmeter.operators import comparison
 from fleetmeter.plans import views
 
-WRITING = ("stream", "merge", "append", "seed", "incremental", "retention", "late")
+WRITING = ("stream", "merge", "append", "seed", "incremental", "retention", "late", "source_resolver_staged")
 PLAIN = sorted(n for n in entry_point.queries() if not n.startswith(WRITING))
 
 
@@ -61,3 +61,30 @@ def test_look_back_and_columns_reach_the_scan(spark, sf):
 )
 def test_scans_per_report(spark, sf, name, scans):
     assert plan(entry_point.queries()[name](spark, sf)).count("FileScan parquet") == scans
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holds every row, broadcasting is off: no task gets more than a fraction of it."""
+    from pyspark.sql import functions as F
+
+    from fleetmeter.functions.joins import join_spread
+
+    off = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    on = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        facts = spark.range(16000).select(F.lit("HOT").alias("warehouse_name"), "id")
+        dim = spark.createDataFrame([("HOT", 1)], "warehouse_name STRING, x INT")
+        joined = join_spread(facts, dim, ["warehouse_name"], "id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 16000
+        assert max(sizes) < 16000 / 3
+        assert join_spread(facts, dim.filter("x > 1"), ["warehouse_name"], "id", "left").count() == 16000
+    finally:
+        for k, v in on.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -107,6 +107,13 @@ def test_seed_only_when_empty(spark, frame, path):
     assert read_or_empty(spark, path, schemas.WORKLOAD_SLA).count() == 1
 
 
+def test_unnamed_rows_are_not_stored(spark, frame, path):
+    rows = frame([("A", "2024-01-10 10:00:00", D("1.00")), (None, "2024-01-10 10:00:00", D("2.00"))], M)
+    for _ in range(2):
+        store.refresh(spark, path, store.METERING, rows, "2024-01-10 11:00:00")
+    assert stored(spark, path) == [("A", datetime(2024, 1, 10, 10), 1.0)]
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert spark.sparkContext.getCheckpointDir() is not None
