@@ -17,16 +17,11 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", PLAIN)
-def test_no_cross_join_and_no_python(spark, sf, name):
+def test_plan_is_distributed(spark, sf, name):
+    """No cross or nested-loop join, no Python, and a single-partition exchange only behind a partial aggregate."""
     text = plan(entry_point.queries()[name](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in text
-
-
-@pytest.mark.parametrize("name", PLAIN)
-def test_single_partition_only_after_partial_aggregation(spark, sf, name):
-    """A single-partition exchange may carry partial aggregates; nothing sorts or windows whole tables in one task."""
-    text = plan(entry_point.queries()[name](spark, sf))
     for line, below in zip(text.splitlines(), text.splitlines()[1:]):
         if "Exchange SinglePartition" in line:
             assert "Aggregate(key" in below and ("partial_" in below or "functions=[]" in below), below
