@@ -6,9 +6,10 @@ import pytest
 from compare import difference, duck
 
 import __spark_entry__ as entry_point
+from fleetmeter.plans import catalog
 
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,11 @@ def test_comparison_notices_a_difference(spark, con):
     assert difference(spark.sql("SELECT 1.5D AS a"), con, "SELECT 1.5::DOUBLE AS a") is None
 
 
+def test_entry_point_lists_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_callables_take_session_and_folder():
-    for job in QUERIES.values():
+    for job in entry_point.queries().values():
         assert len(inspect.signature(job).parameters) == 2
