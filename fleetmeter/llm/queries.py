@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, simhash, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     mixed = mixing.with_mix(docs, mixing.plan(docs, weights=(5, 2, 1), most=3))
     return mixed.select("doc_id", *[F.col(f"_mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """SimHash of three-word shingles; fingerprints link at two or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3)
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Words covered by a repeated window of 35 words go."""
+    return substrings.digests(table(spark, sf, "documents"))
