@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, substrings
+from . import chunking, mixing, simhash, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Words covered by a repeated window of 35 words go."""
     return substrings.digests(table(spark, sf, "documents"))
+
+
+@query("op9_chunk_fingerprints")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of whole texts and of their edited texts."""
+    return chunking.edit_report(table(spark, sf, "documents"))
