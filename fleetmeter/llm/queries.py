@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, simhash, substrings
+from . import chunking, ftrl, linecrf, mixing, simhash, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,17 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts."""
     return chunking.edit_report(table(spark, sf, "documents"))
+
+
+@query("op7_ftrl_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """A quality score of every text, learnt from the labels that aren't held out."""
+    docs = table(spark, sf, "documents")
+    return ftrl.scored(docs, ftrl.train(docs, table(spark, sf, "labels")))
+
+
+@query("op8_line_crf_rules")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts of every text, and the verdict of its lines."""
+    docs = table(spark, sf, "documents")
+    return linecrf.verdicts(docs, linecrf.train(docs, table(spark, sf, "labels")))
