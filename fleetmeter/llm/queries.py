@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, ftrl, linecrf, mixing, simhash, substrings
+from . import chats, chunking, ftrl, linecrf, mixing, simhash, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of every text, and the verdict of its lines."""
     docs = table(spark, sf, "documents")
     return linecrf.verdicts(docs, linecrf.train(docs, table(spark, sf, "labels")))
+
+
+#: The policy of op4; the longest rule that fits decides.
+RULES = [
+    urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules, and where none fits a model learnt from URLs that a rule decides."""
+    pages = table(spark, sf, "pages")
+    return urls.verdicts(pages, RULES, urls.fit(urls.labelled_by_rules(pages, RULES)))
+
+
+@query("op10_chat_snapshots", chats.ORACLE)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal conversations of the log, rendered."""
+    return chats.rendered(table(spark, sf, "conversations"))
