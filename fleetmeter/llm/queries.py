@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, chunking, ftrl, linecrf, mixing, simhash, substrings, urls
+from . import chats, chunking, ftrl, linecrf, mixing, simhash, substrings, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal conversations of the log, rendered."""
     return chats.rendered(table(spark, sf, "conversations"))
+
+
+@query("op3_warc_derivatives")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derivatives(warc.responses(table(spark, sf, "pages")))
