@@ -39,13 +39,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most SLICE_ROWS rows whose ``column`` has about SLICE_BYTES bytes (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most SLICE_ROWS rows whose ``column`` has about ``size`` bytes (one row at least)."""
     import pyarrow.compute as pc
 
     start = used = 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
-        if i > start and (i - start >= SLICE_ROWS or used + n > SLICE_BYTES):
+    measure = pc.list_value_length if pa.types.is_list(batch.schema.field(column).type) else pc.binary_length
+    lengths = pc.fill_null(measure(batch.column(column)), 0).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= SLICE_ROWS or used + n > size):
             yield batch.slice(start, i - start)
             start, used = i, 0
         used += n
@@ -54,7 +56,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], dict], schema: StructType | str
+    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], dict], schema: StructType | str, size: int = SLICE_BYTES
 ) -> DataFrame:
     """Apply ``work`` (a slice -> columns by name) to every slice of every Arrow batch; rows stay in their partition."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,7 +66,7 @@ def map_slices(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, size):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in fields],

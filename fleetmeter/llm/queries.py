@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, chunking, ftrl, linecrf, mixing, simhash, substrings, urls, warc
+from . import chats, chunking, ftrl, linecrf, mixing, pieces, simhash, substrings, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata and conversion records of every page."""
     return warc.derivatives(warc.responses(table(spark, sf, "pages")))
+
+
+@query("op6_gumbel_segmentations")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sampled segmentations of every whole text."""
+    return pieces.segmentations(table(spark, sf, "documents"), samples=2)
