@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,12 @@ def mean(column: str | Column) -> Column:
     return ratio(F.sum(column), F.count(column))
 
 
+def scalar(value: float | DataFrame) -> Column:
+    """A number, or the one value of a one-row frame as a scalar subquery: it never passes through the driver, and more
+    rows are an error."""
+    return value.select(value.columns[0]).scalar() if isinstance(value, DataFrame) else F.lit(float(value))
+
+
 def seconds(milliseconds: Column) -> Column:
     return milliseconds.cast("double") / F.lit(1000.0)
 

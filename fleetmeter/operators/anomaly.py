@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import count_where, ratio, rounded_even, total
 from ..functions.times import between, day_of, instant, is_weekend, last
 from .comparison import performance_comparison
-from .governance import calendar_days
+from .governance import with_calendar_windows
 from .lifecycle import latest_migrations
 
 SPIKE, DROP, EXPECTED_BATCH = "SPIKE", "DROP", "EXPECTED_BATCH"
@@ -74,26 +74,11 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def calendar_suppression(
-    anomalies: DataFrame, calendar: DataFrame, as_of: str | datetime, days_back: int = 30, drop: bool = False
-) -> DataFrame:
-    """Mark (or with ``drop`` remove) anomalies inside a suppressing calendar window that names their warehouse.
-
-    Windows become (day, warehouse) keys, so both joins are plain equi-joins.
-    """
-    today = instant(as_of).date()
-    keys = calendar_days(
-        calendar.filter(F.coalesce("suppress_anomaly", F.lit(False))), today - timedelta(days=days_back), today
-    )
-    everywhere = keys.filter(F.col("warehouse_name").isNull()).select("day", F.lit(True).alias("_all")).distinct()
-    listed = keys.filter(F.col("warehouse_name").isNotNull()).select(
-        "day", "warehouse_name", F.lit(True).alias("_listed")
-    ).distinct()
-    marked = (
-        anomalies.withColumn("day", F.to_date("day_ts"))
-        .join(everywhere, "day", "left")
-        .join(listed, ["day", "warehouse_name"], "left")
-        .withColumn("suppressed", F.coalesce("_all", "_listed", F.lit(False)))
+def calendar_suppression(anomalies: DataFrame, calendar: DataFrame, drop: bool = False) -> DataFrame:
+    """Mark (or with ``drop`` remove) anomalies inside a suppressing calendar window that names their warehouse."""
+    suppressing = calendar.filter(F.coalesce("suppress_anomaly", F.lit(False)))
+    marked = with_calendar_windows(anomalies, "day_ts", suppressing, spread_by="warehouse_name").withColumn(
+        "suppressed", F.coalesce(F.size("_windows") > 0, F.lit(False))
     )
     if drop:
         return marked.filter(~F.col("suppressed")).select(anomalies.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import ADAPTIVE, STANDARD, UNSUPPORTED_SIZES, is_multi_cluster, recommendation_band
-from ..functions.measures import capped, count_where, ratio, rounded, rounded_even
+from ..functions.measures import capped, count_where, ratio, rounded, rounded_even, scalar
 from ..functions.times import instant, last, moment
 from .cost import FALLBACK_CREDIT_PRICE
 from .rollups import hourly_metering, hourly_query_metrics
@@ -278,7 +278,7 @@ def scenario_projection(
     inventory: DataFrame,
     as_of: str | datetime,
     days_back: int,
-    price: float = FALLBACK_CREDIT_PRICE,
+    price: float | DataFrame = FALLBACK_CREDIT_PRICE,
 ) -> DataFrame:
     """Every standard pool under every scenario; the factors are unfolded per row, nothing is cross joined.
 
@@ -289,7 +289,7 @@ def scenario_projection(
     return (
         scenario_stats(hm, hq, inventory, as_of, days_back)
         .select("*", F.inline(scenarios))
-        .withColumn("_projected", _projected(F.col("factor")))
+        .withColumns({"_projected": _projected(F.col("factor")), "_price": scalar(price)})
         .select(
             "warehouse_name",
             "scenario",
@@ -297,7 +297,7 @@ def scenario_projection(
             F.col("_projected").alias("projected_credits"),
             saved.alias("credits_saved"),
             F.coalesce(ratio(saved, F.col("total_credits")) * 100, F.lit(0.0)).alias("savings_pct"),
-            (saved * price * 365 / max(days_back, 1)).alias("annual_savings_usd"),
+            (saved * F.col("_price") * 365 / max(days_back, 1)).alias("annual_savings_usd"),
             (F.col("scenario") == scenario_default(F.col("utilization_pct"))).alias("is_default"),
         )
     )

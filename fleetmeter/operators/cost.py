@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import ADAPTIVE, STANDARD
-from ..functions.measures import fixed, mean, ratio, rounded, rounded_even, seconds, total
+from ..functions.measures import fixed, mean, ratio, rounded, rounded_even, scalar, seconds, total
 from ..functions.times import day_of, floor_to, hour_of, instant, last, moment
 from ..sources.readers import warehouse_filter
 from .rollups import cost_centers
@@ -178,17 +178,18 @@ def idle_waste(hm: DataFrame, hq: DataFrame) -> DataFrame:
     )
 
 
-def idle_waste_priced(idle: DataFrame, price: float = FALLBACK_CREDIT_PRICE) -> DataFrame:
+def idle_waste_priced(idle: DataFrame, price: float | DataFrame = FALLBACK_CREDIT_PRICE) -> DataFrame:
+    """``price`` is a number or the frame of ``credit_price``, here and below."""
     return idle.withColumn(
         "idle_pct", rounded_even(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1)
-    ).withColumn("wasted_usd", rounded_even(F.col("idle_credits") * F.lit(float(price)), 2))
+    ).withColumn("wasted_usd", rounded_even(F.col("idle_credits") * scalar(price), 2))
 
 
 def savings_projection(
     idle: DataFrame,
     inventory: DataFrame,
     savings_pct: float = 25.0,
-    price: float = FALLBACK_CREDIT_PRICE,
+    price: float | DataFrame = FALLBACK_CREDIT_PRICE,
     days: int = 30,
 ) -> DataFrame:
     """Fleet totals and what the standard pools would save; one row."""
@@ -201,14 +202,15 @@ def savings_projection(
         F.coalesce(F.sum(F.when(F.col("_standard"), F.col("total_credits"))), F.lit(0.0)).alias("standard_credits"),
     )
     saved = F.col("standard_credits") * F.lit(savings_pct / 100)
-    return fleet.select(
+    usd = saved * F.col("_price")
+    return fleet.withColumn("_price", scalar(price)).select(
         "total_credits",
         "idle_credits",
         F.coalesce(rounded_even(ratio(F.col("idle_credits"), F.col("total_credits")) * 100, 1), F.lit(0.0)).alias("idle_pct"),
         "standard_credits",
         saved.alias("projected_savings_credits"),
-        (saved * F.lit(float(price))).alias("projected_savings_usd"),
-        (saved * F.lit(float(price)) * F.lit(365 / max(days, 1))).alias("annual_savings_usd"),
+        usd.alias("projected_savings_usd"),
+        (usd * F.lit(365 / max(days, 1))).alias("annual_savings_usd"),
     )
 
 
@@ -224,17 +226,18 @@ def gl_mappings_active(gl: DataFrame, as_of: str | datetime) -> DataFrame:
     )
 
 
-def gl_chargeback(totals: DataFrame, active_gl: DataFrame, price: float = FALLBACK_CREDIT_PRICE) -> DataFrame:
+def gl_chargeback(totals: DataFrame, active_gl: DataFrame, price: float | DataFrame = FALLBACK_CREDIT_PRICE) -> DataFrame:
     """Totals allocated by percentage; what a mapping leaves unallocated is not redistributed."""
     share = F.col("total_credits") * F.coalesce("allocation_pct", F.lit(100.0)) / 100
     mapping = active_gl.select("warehouse_name", "gl_code", "business_line", "allocation_pct")
     return (
         totals.join(mapping, "warehouse_name", "left")
+        .withColumn("_price", scalar(price))
         .groupBy(
             F.coalesce("gl_code", F.lit("UNALLOCATED")).alias("gl_code"),
             F.coalesce("business_line", F.lit("Unassigned")).alias("business_line"),
         )
-        .agg(F.sum(share).alias("allocated_credits"), F.sum(share * F.lit(float(price))).alias("allocated_cost"))
+        .agg(F.sum(share).alias("allocated_credits"), F.sum(share * F.col("_price")).alias("allocated_cost"))
         .orderBy(F.desc("allocated_cost"), "gl_code", "business_line")
     )
 

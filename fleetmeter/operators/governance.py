@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,8 +38,9 @@ def audit_recent(audit: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
-def audit_kpis(recent: DataFrame) -> DataFrame:
-    return recent.agg(
+def audit_kpis(audit: DataFrame) -> DataFrame:
+    """Counts of the whole trail; pass ``audit_recent`` for those of its newest entries."""
+    return audit.agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_distinct("username").alias("unique_users"),
         count_where(F.col("event_type") == "SIMULATION").alias("simulations"),
@@ -58,6 +59,7 @@ def requests_recent(requests: DataFrame, n: int = 30) -> DataFrame:
 
 
 def request_status_counts(requests: DataFrame) -> DataFrame:
+    """Counts of all requests; pass ``requests_recent`` for those of the newest."""
     status = F.col("status")
     return requests.agg(
         count_where(status == "PENDING").alias("pending"),
@@ -123,20 +125,32 @@ def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def calendar_days(calendar: DataFrame, first: date, last: date) -> DataFrame:
-    """Calendar windows as (day, warehouse_name) keys within ``first``..``last``.
+def with_calendar_windows(rows: DataFrame, day: str, calendar: DataFrame, spread_by: str) -> DataFrame:
+    """``rows`` with ``_windows``: the calendar windows that cover the row's day and warehouse, or NULL or none.
 
-    ``warehouse_name`` is NULL where the window covers every warehouse; comma-separated lists give one row per name.
+    Windows are folded per calendar month they touch, one row a month, so the join has an equality, multiplies nothing and
+    needs no bound on the days; whether a window covers the row is settled on the row's own short list.
     """
-    start = F.greatest(F.col("start_date"), F.lit(first))
-    end = F.least(F.col("end_date"), F.lit(last))
-    names = F.when(
-        F.upper(F.trim("affected_warehouses")) == "ALL", F.array(F.lit(None).cast("string"))
-    ).otherwise(F.transform(F.split("affected_warehouses", ","), lambda name: F.trim(name)))
+    months = F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("INTERVAL 1 MONTH"))
+    everyone = F.upper(F.trim("affected_warehouses")) == "ALL"
+    names = F.when(~everyone, F.transform(F.split("affected_warehouses", ","), lambda name: F.trim(name)))
+    by_month = (
+        calendar.filter(F.col("start_date") <= F.col("end_date"))
+        .select(F.explode(months).alias("_month"), F.struct("event_name", "start_date", "end_date", names.alias("names")).alias("_window"))
+        .groupBy("_month")
+        .agg(F.collect_list("_window").alias("_candidates"))
+    )
+    date_ = F.to_date(day)
+
+    def covers(w: Column) -> Column:
+        listed = F.coalesce(w["names"].isNull() | F.array_contains(w["names"], F.col("warehouse_name")), F.lit(False))
+        return (date_ >= w["start_date"]) & (date_ <= w["end_date"]) & listed
+
+    keyed = rows.withColumn("_month", F.trunc(date_, "month"))
     return (
-        calendar.filter(start <= end)
-        .withColumn("day", F.explode(F.sequence(start, end)))
-        .select("event_name", "event_type", "day", F.explode(names).alias("warehouse_name"))
+        join_spread(keyed, by_month, ["_month"], spread_by, "left")
+        .withColumn("_windows", F.filter("_candidates", covers))
+        .drop("_month", "_candidates")
     )
 
 
@@ -148,30 +162,18 @@ def active_blackouts(calendar: DataFrame, as_of: str | datetime) -> DataFrame:
     )
 
 
-def blackout_violations(requests: DataFrame, calendar: DataFrame, first: date, last: date) -> DataFrame:
-    """Requests executed ``first``..``last`` on a blackout day that covers their warehouse.
-
-    One row per request, with the number of windows and the first by name: windows are folded per (day, warehouse)
-    before the join, so overlapping windows do not multiply the requests of a day.
-    """
-    executed = requests.withColumn("day", F.to_date("executed_at")).filter(
-        F.col("day").between(F.lit(first), F.lit(last))
-    ).select("request_id", "warehouse_name", "executed_at", "day")
-    days = calendar_days(calendar.filter(F.col("event_type") == "BLACKOUT"), first, last).distinct()
-    everywhere = days.filter(F.col("warehouse_name").isNull()).groupBy("day").agg(
-        F.count(F.lit(1)).alias("_all"), F.min("event_name").alias("_all_first")
-    )
-    listed = days.filter(F.col("warehouse_name").isNotNull()).groupBy("day", "warehouse_name").agg(
-        F.count(F.lit(1)).alias("_listed"), F.min("event_name").alias("_listed_first")
-    )
-    covered = join_spread(executed, everywhere, ["day"], "request_id", "left")
-    covered = join_spread(covered, listed, ["day", "warehouse_name"], "request_id", "left")
-    return covered.filter(F.col("_all").isNotNull() | F.col("_listed").isNotNull()).select(
-        "request_id",
-        "warehouse_name",
-        "executed_at",
-        (F.coalesce("_all", F.lit(0)) + F.coalesce("_listed", F.lit(0))).alias("blackout_windows"),
-        F.least("_all_first", "_listed_first").alias("first_window"),
+def blackout_violations(requests: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Requests executed on a blackout day that covers their warehouse: a row each, with the number of windows and the
+    first by name."""
+    executed = requests.filter(F.col("executed_at").isNotNull()).select("request_id", "warehouse_name", "executed_at")
+    blackouts = calendar.filter(F.col("event_type") == "BLACKOUT")
+    return (
+        with_calendar_windows(executed, "executed_at", blackouts, spread_by="request_id")
+        .filter(F.size("_windows") > 0)
+        .select(
+            "request_id", "warehouse_name", "executed_at", F.size("_windows").cast("long").alias("blackout_windows"),
+            F.array_min("_windows.event_name").alias("first_window"),
+        )
     )
 
 

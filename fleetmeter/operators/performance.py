@@ -319,8 +319,8 @@ def recent_performance(
     )
 
 
-def perf_summary(hq: DataFrame, n: int | None = 15) -> DataFrame:
-    """Mean hourly p95 and queue time per warehouse, in name order."""
+def perf_summary(hq: DataFrame, n: int | None = None) -> DataFrame:
+    """Mean hourly p95 and queue time per warehouse, in name order; ``n`` keeps the first names only."""
     summary = (
         hq.groupBy("warehouse_name")
         .agg(

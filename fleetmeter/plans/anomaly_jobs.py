@@ -67,7 +67,7 @@ COVERED = """EXISTS (SELECT 1 FROM regulatory_calendar c
     f"""SELECT {ANOMALY_COLUMNS}, {COVERED} AS suppressed FROM anomalies a WHERE anomaly_type IS NOT NULL""",
 )
 def calendar_suppression(spark, sf):
-    return anomaly.calendar_suppression(found(spark, sf), v.regulatory_calendar(spark, sf), AS_OF)
+    return anomaly.calendar_suppression(found(spark, sf), v.regulatory_calendar(spark, sf))
 
 
 def _alert_sql(hours: int, factor: float) -> str:

@@ -242,7 +242,10 @@ DERIVED_SQL = """SELECT round(sum(usage_in_currency) / NULLIF(sum(usage), 0), 2)
                  WHERE usage_type = 'compute' AND usage_date >= DATE '2024-01-31' - 7 AND usage > 0"""
 
 
-@query("credit_price", f"SELECT {r(f'coalesce(({RATE_SQL}), ({DERIVED_SQL}), 3.0)', 'credit_price')}")
+PRICE_SQL = f"SELECT coalesce(({RATE_SQL}), ({DERIVED_SQL}), 3.0)"
+
+
+@query("credit_price", f"SELECT {r(f'({PRICE_SQL})', 'credit_price')}")
 def credit_price(spark, sf):
     return cost.credit_price(v.rate_sheet_daily(spark, sf), v.usage_in_currency_daily(spark, sf), AS_OF)
 
@@ -266,24 +269,24 @@ def idle_waste(spark, sf):
     "idle_waste_priced",
     f"""SELECT warehouse_name, {r('total_credits')}, {r('idle_credits')}, total_hours, idle_hours,
                {r('round_even(idle_credits / total_credits * 100, 1)', 'idle_pct')},
-               {r('round_even(idle_credits * 3.0, 2)', 'wasted_usd')} FROM idle""",
+               {r(f'round_even(idle_credits * ({PRICE_SQL}), 2)', 'wasted_usd')} FROM idle""",
 )
 def idle_waste_priced(spark, sf):
-    return cost.idle_waste_priced(idle(spark, sf))
+    return cost.idle_waste_priced(idle(spark, sf), credit_price(spark, sf))
 
 
 @query(
     "savings_projection",
     f"""SELECT {r('total', 'total_credits')}, {r('idle_sum', 'idle_credits')},
                {r('round_even(idle_sum / total * 100, 1)', 'idle_pct')}, {r('std', 'standard_credits')},
-               {r('std * 0.25', 'projected_savings_credits')}, {r('std * 0.25 * 3.0', 'projected_savings_usd')},
-               {r('std * 0.25 * 3.0 * 365 / 30', 'annual_savings_usd')}
+               {r('std * 0.25', 'projected_savings_credits')}, {r(f'std * 0.25 * ({PRICE_SQL})', 'projected_savings_usd')},
+               {r(f'std * 0.25 * ({PRICE_SQL}) * 365 / 30', 'annual_savings_usd')}
         FROM (SELECT sum(total_credits) AS total, sum(idle_credits) AS idle_sum,
                      sum(total_credits) FILTER (WHERE warehouse_type = 'STANDARD') AS std
               FROM idle LEFT JOIN inventory USING (warehouse_name))""",
 )
 def savings_projection(spark, sf):
-    return cost.savings_projection(idle(spark, sf), v.inventory(spark, sf), days=30)
+    return cost.savings_projection(idle(spark, sf), v.inventory(spark, sf), price=credit_price(spark, sf), days=30)
 
 
 GL_ACTIVE = "SELECT * FROM gl_code_mapping WHERE effective_to >= DATE '2024-01-31'"
@@ -302,12 +305,12 @@ def gl_mappings_active(spark, sf):
     "gl_chargeback",
     f"""SELECT coalesce(gl_code, 'UNALLOCATED') AS gl_code, coalesce(business_line, 'Unassigned') AS business_line,
                {r('sum(total * coalesce(allocation_pct, 100) / 100)', 'allocated_credits')},
-               {r('sum(total * coalesce(allocation_pct, 100) / 100 * 3.0)', 'allocated_cost')}
+               {r('sum(total * coalesce(allocation_pct, 100) / 100 * price)', 'allocated_cost')}
         FROM (SELECT warehouse_name, sum(credits) AS total FROM hm GROUP BY 1)
-        LEFT JOIN ({GL_ACTIVE}) USING (warehouse_name) GROUP BY 1, 2""",
+        LEFT JOIN ({GL_ACTIVE}) USING (warehouse_name), ({PRICE_SQL} AS price) GROUP BY 1, 2""",
 )
 def gl_chargeback(spark, sf):
-    return cost.gl_chargeback(cost.credit_totals(hm(spark, sf)), gl_mappings_active(spark, sf))
+    return cost.gl_chargeback(cost.credit_totals(hm(spark, sf)), gl_mappings_active(spark, sf), credit_price(spark, sf))
 
 
 @query(

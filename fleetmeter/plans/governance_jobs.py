@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from ..functions.labels import recommendation_band
 from ..operators import assessment, governance, lifecycle, validation
 from ..sources import seeds
 from . import views as v
-from .cost_jobs import NOW, USED_7D, _since, hm, hq
+from .cost_jobs import NOW, PRICE_SQL, USED_7D, _since, credit_price, hm, hq
 from .performance_jobs import compared_credits, compared_performance, queries_of, savings
 from .registry import big, query, r
 from .views import AS_OF
@@ -182,13 +180,13 @@ def scenario_inputs(spark, sf):
     f"""SELECT warehouse_name, scenario, {r('total_credits', 'current_credits')}, {r('p', 'projected_credits')},
                {r('total_credits - p', 'credits_saved')},
                {r('CASE WHEN total_credits <> 0 THEN (total_credits - p) / total_credits * 100 ELSE 0 END', 'savings_pct')},
-               {r(f'(total_credits - p) * 3.0 * 365 / {DAYS}', 'annual_savings_usd')}, scenario = {SCENARIO} AS is_default
+               {r(f'(total_credits - p) * ({PRICE_SQL}) * 365 / {DAYS}', 'annual_savings_usd')}, scenario = {SCENARIO} AS is_default
         FROM (SELECT *, greatest(active_credits * factor - overhead, 0) AS p
               FROM ({STATS}), (VALUES ('Conservative (15%)', 0.85::DOUBLE), ('Moderate (25%)', 0.75::DOUBLE),
                                       ('Optimistic (35%)', 0.65::DOUBLE), ('Aggressive (45%)', 0.55::DOUBLE)) f(scenario, factor))""",
 )
 def scenario_projection(spark, sf):
-    return assessment.scenario_projection(*scenario_inputs(spark, sf))
+    return assessment.scenario_projection(*scenario_inputs(spark, sf), price=credit_price(spark, sf))
 
 
 @query(
@@ -325,10 +323,10 @@ def audit_recent(spark, sf):
 @query(
     "audit_kpis",
     f"""SELECT count(*) AS total_events, count(DISTINCT username) AS unique_users,
-               count(*) FILTER (WHERE event_type = 'SIMULATION') AS simulations FROM ({AUDIT_RECENT})""",
+               count(*) FILTER (WHERE event_type = 'SIMULATION') AS simulations FROM audit_log""",
 )
 def audit_kpis(spark, sf):
-    return governance.audit_kpis(audit_recent(spark, sf))
+    return governance.audit_kpis(v.audit_log(spark, sf))
 
 
 REQUESTS_RECENT = "SELECT * FROM migration_requests ORDER BY created_at DESC, request_id DESC LIMIT 30"
@@ -346,9 +344,9 @@ def requests_recent(spark, sf):
 STATUS_COUNTS = ", ".join(f"count(*) FILTER (WHERE status = '{s.upper()}') AS {s}" for s in ("pending", "approved", "executed", "rejected"))
 
 
-@query("request_status_counts", f"SELECT {STATUS_COUNTS} FROM ({REQUESTS_RECENT})")
+@query("request_status_counts", f"SELECT {STATUS_COUNTS} FROM migration_requests")
 def request_status_counts(spark, sf):
-    return governance.request_status_counts(requests_recent(spark, sf))
+    return governance.request_status_counts(v.migration_requests(spark, sf))
 
 
 TRANSITIONS = """
@@ -393,9 +391,7 @@ def active_blackouts(spark, sf):
        GROUP BY request_id""",
 )
 def blackout_violations(spark, sf):
-    return governance.blackout_violations(
-        v.migration_requests(spark, sf), v.regulatory_calendar(spark, sf), date(2024, 1, 1), date(2024, 2, 29)
-    )
+    return governance.blackout_violations(v.migration_requests(spark, sf), v.regulatory_calendar(spark, sf))
 
 
 @query(

@@ -216,7 +216,7 @@ def recent_performance(spark, sf):
 @query(
     "perf_summary",
     f"""SELECT warehouse_name, {r('avg(p95_elapsed_ms) / 1000', 'p95_sec')}, {r('avg(total_queue_ms) / 1000', 'queue_sec')}
-        FROM hq GROUP BY 1 ORDER BY 1 LIMIT 15""",
+        FROM hq GROUP BY 1""",
 )
 def perf_summary(spark, sf):
     return performance.perf_summary(hq(spark, sf))

@@ -4,12 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
+from fleetmeter.plans import catalog, views
 from fleetmeter.operators import comparison
-from fleetmeter.plans import views
 
 WRITING = ("stream", "merge", "append", "seed", "incremental", "retention", "late", "source_resolver_staged")
-PLAIN = sorted(n for n in entry_point.queries() if not n.startswith(WRITING))
+PLAIN = sorted(n for n in catalog.queries() if not n.startswith(WRITING))
 
 
 def plan(df):
@@ -19,7 +18,7 @@ def plan(df):
 @pytest.mark.parametrize("name", PLAIN)
 def test_plan_is_distributed(spark, sf, name):
     """No cross or nested-loop join, no Python, and a single-partition exchange only behind a partial aggregate."""
-    text = plan(entry_point.queries()[name](spark, sf))
+    text = plan(catalog.queries()[name](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in text
     for line, below in zip(text.splitlines(), text.splitlines()[1:]):
@@ -46,7 +45,7 @@ def test_no_forced_broadcast(spark, sf):
 
 
 def test_look_back_and_columns_reach_the_scan(spark, sf):
-    text = plan(entry_point.queries()["hourly_metering"](spark, sf))
+    text = plan(catalog.queries()["hourly_metering"](spark, sf))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts,2024-01-01T00:00)" in text
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in text
 
@@ -55,7 +54,7 @@ def test_look_back_and_columns_reach_the_scan(spark, sf):
     "name,scans", [("sla_latency_breaches", 1), ("detect_sla_breaches", 1), ("adaptive_vs_standard", 1), ("invariant_checks", 1), ("latency_before_after", 1), ("daily_savings", 2)]
 )
 def test_scans_per_report(spark, sf, name, scans):
-    assert plan(entry_point.queries()[name](spark, sf)).count("FileScan parquet") == scans
+    assert plan(catalog.queries()[name](spark, sf)).count("FileScan parquet") == scans
 
 
 def test_hot_key_is_spread_over_tasks(spark):

@@ -79,11 +79,26 @@ def test_calendar_suppresses_listed_and_all(frame):
     listed = frame([("x", "AUDIT_WINDOW", "2024-01-11", "2024-01-11", "Z, A", True)], ddl)
     everyone = frame([("x", "AUDIT_WINDOW", "2023-01-01", "2024-12-31", "ALL", True)], ddl)
     marked_only = frame([("x", "AUDIT_WINDOW", "2024-01-11", "2024-01-11", "ALL", False)], ddl)
-    as_of = "2024-01-31 00:00:00"
-    assert rows(anomaly.calendar_suppression(found, listed, as_of), "warehouse_name", "suppressed") == [("A", True), ("B", False)]
-    assert rows(anomaly.calendar_suppression(found, listed, as_of, drop=True), "warehouse_name") == [("B",)]
-    assert anomaly.calendar_suppression(found, everyone, as_of, drop=True).count() == 0
-    assert anomaly.calendar_suppression(found, marked_only, as_of, drop=True).count() == 2
+    assert rows(anomaly.calendar_suppression(found, listed), "warehouse_name", "suppressed") == [("A", True), ("B", False)]
+    assert rows(anomaly.calendar_suppression(found, listed, drop=True), "warehouse_name") == [("B",)]
+    assert anomaly.calendar_suppression(found, everyone, drop=True).count() == 0
+    assert anomaly.calendar_suppression(found, marked_only, drop=True).count() == 2
+
+
+def test_calendar_suppresses_anomalies_of_any_age(frame):
+    """Windows over several months, and anomalies of ninety days and more ago."""
+    ddl = "event_name STRING, event_type STRING, start_date DATE, end_date DATE, affected_warehouses STRING, suppress_anomaly BOOLEAN"
+    calendar = frame(
+        [("q", "AUDIT_WINDOW", "2023-11-01", "2024-01-31", "ALL", True), ("y", "AUDIT_WINDOW", "2019-05-31", "2019-06-01", "B", True)], ddl)
+    found = frame(
+        [("A", "2023-10-31 00:00:00"), ("A", "2023-11-15 00:00:00"), ("A", "2024-01-31 00:00:00"), ("A", "2024-02-01 00:00:00"),
+         ("B", "2019-06-01 00:00:00"), ("A", "2019-06-01 00:00:00"), (None, "2023-12-01 00:00:00")], "warehouse_name STRING, day_ts TIMESTAMP_NTZ")
+    marked = anomaly.calendar_suppression(found, calendar)
+    got = sorted((str(r.day_ts)[:10], str(r.warehouse_name), r.suppressed) for r in marked.collect())
+    assert got == [
+        ("2019-06-01", "A", False), ("2019-06-01", "B", True), ("2023-10-31", "A", False), ("2023-11-15", "A", True),
+        ("2023-12-01", "None", True), ("2024-01-31", "A", True), ("2024-02-01", "A", False),
+    ]
 
 
 # Lifecycle
