@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import join_per_warehouse
 from ..functions.labels import period
 from ..functions.measures import count_where, ratio, rounded, seconds, total
-from ..functions.times import between, day_of, hour_of, instant, last
+from ..functions.times import between, day_of, hour_of, instant, last, moment
 from ..sources.readers import warehouse_filter
 
 
@@ -33,9 +33,27 @@ def conversion_dates(events: DataFrame) -> DataFrame:
     )
 
 
+def around_changes(
+    facts: DataFrame, column: str, dates: DataFrame, change: str, before: timedelta, after: timedelta | None = None
+) -> DataFrame:
+    """Rows of ``facts`` from ``before`` the earliest change on (and up to ``after`` the latest one).
+
+    The two times are read from the small table of changes, so that they reach the scan of the facts as constants.
+    """
+    first, final = dates.agg(
+        F.min(F.col(change).cast("string")).alias("first"), F.max(F.col(change).cast("string")).alias("final")
+    ).first()
+    if first is None:
+        return facts.filter(F.lit(False))
+    rows = facts.filter(F.col(column) >= moment(facts, column, instant(first) - before))
+    return rows if after is None else rows.filter(F.col(column) <= moment(facts, column, instant(final) + after))
+
+
 def credit_comparison(metering: DataFrame, log: DataFrame, days_before: int = 14) -> DataFrame:
     """Hourly credits labelled PRE or POST; a change inside an hour gives that hour one row of each."""
-    rows = join_per_warehouse(metering, migration_dates(log), spread_by="start_time").filter(
+    dates = migration_dates(log)
+    near = around_changes(metering, "start_time", dates, "migration_ts", timedelta(days=days_before))
+    rows = join_per_warehouse(near, dates, spread_by="start_time").filter(
         F.col("start_time") >= F.col("migration_ts") - F.expr(f"INTERVAL {days_before} DAYS")
     )
     return rows.groupBy(
@@ -45,10 +63,12 @@ def credit_comparison(metering: DataFrame, log: DataFrame, days_before: int = 14
 
 def performance_comparison(queries: DataFrame, log: DataFrame, days_before: int = 14) -> DataFrame:
     """Hourly latency and queueing of successful queries, PRE and POST."""
-    ok = queries.filter(F.col("execution_status") == "SUCCESS").select(
+    dates = migration_dates(log)
+    near = around_changes(queries, "start_time", dates, "migration_ts", timedelta(days=days_before))
+    ok = near.filter(F.col("execution_status") == "SUCCESS").select(
         "warehouse_name", "start_time", "total_elapsed_time", "queued_overload_time"
     )
-    rows = join_per_warehouse(ok, migration_dates(log), spread_by="start_time").filter(
+    rows = join_per_warehouse(ok, dates, spread_by="start_time").filter(
         F.col("start_time") >= F.col("migration_ts") - F.expr(f"INTERVAL {days_before} DAYS")
     )
     return rows.groupBy(
@@ -97,7 +117,9 @@ def before_after(metering: DataFrame, events: DataFrame, days: int = 30) -> Data
     start, change = F.col("start_time"), F.col("migration_date")
     before = start.between(change - window, change)
     after = start.between(change, change + window)
-    rows = join_per_warehouse(metering, conversion_dates(events), spread_by="start_time").filter(
+    dates, span = conversion_dates(events), timedelta(days=days)
+    near = around_changes(metering, "start_time", dates, "migration_date", span, span)
+    rows = join_per_warehouse(near, dates, spread_by="start_time").filter(
         start.between(change - window, change + window)
     )
     per_day = rows.groupBy("warehouse_name", F.to_date("start_time").alias("_day")).agg(

@@ -19,6 +19,8 @@ BREACH_KEYS = ["warehouse_name", "workload_class", "breach_window", "breach_type
 BREACH_COLUMNS = [
     "warehouse_name", "workload_class", "breach_type", "sla_threshold", "actual_value", "breach_window", "severity",
 ]
+#: Most active rules a detection takes.
+MOST_RULES = 1000
 #: breach type -> (hourly measure, SLA column that limits it)
 BREACH_TYPES = {
     "LATENCY": ("p95_sec", "max_p95_latency_sec"),
@@ -47,40 +49,34 @@ def sla_hours(queries: DataFrame, as_of: str | datetime, hours: float = 2) -> Da
 def breaches(hours: DataFrame, sla: DataFrame, *breach_types: str) -> DataFrame:
     """Rolled-up hours above the threshold of an active SLA whose LIKE pattern matches the warehouse.
 
-    Measures and thresholds are both laid out one per row, so the join has an equality on the breach type and the
-    pattern is a residual condition.
+    The rules are a short catalogue (at most MOST_RULES, checked): each becomes an expression with a constant pattern, and
+    every hour is judged where it lies, without a join.
     """
-    measured = hours.select(
-        "warehouse_name",
-        "breach_window",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(t).alias("breach_type"), F.col(BREACH_TYPES[t][0]).alias("actual_value"))
-                    for t in breach_types
-                ]
-            )
-        ),
-    ).filter(F.col("actual_value").isNotNull())
-    rules = sla.filter(F.col("is_active")).select(
-        "workload_class",
-        "warehouse_pattern",
-        sla_severity().alias("severity"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(t).alias("breach_type"), F.col(BREACH_TYPES[t][1]).alias("sla_threshold"))
-                    for t in breach_types
-                ]
-            )
-        ),
+    limits = [BREACH_TYPES[t][1] for t in breach_types]
+    rules = (
+        sla.filter(F.col("is_active") & F.col("warehouse_pattern").isNotNull())
+        .select("workload_class", "warehouse_pattern", sla_severity().alias("severity"), *[F.col(c).cast("double").alias(c) for c in limits])
+        .distinct()
+        .limit(MOST_RULES + 1)
+        .collect()
     )
-    return (
-        measured.join(rules, "breach_type")
-        .filter("warehouse_name LIKE warehouse_pattern AND actual_value > sla_threshold")
-        .select(BREACH_COLUMNS)
-        .distinct()  # two patterns of one class may both match
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} active SLA rules")
+
+    def breach(rule, kind: str) -> Column:
+        measure, limit = F.col(BREACH_TYPES[kind][0]), F.lit(rule[BREACH_TYPES[kind][1]])
+        found = F.struct(
+            F.lit(rule.workload_class).alias("workload_class"), F.lit(kind).alias("breach_type"), limit.cast("double").alias("sla_threshold"),
+            measure.cast("double").alias("actual_value"), F.lit(rule.severity).alias("severity"),
+        )
+        return F.when(F.col("warehouse_name").like(rule.warehouse_pattern) & (measure > limit), found)
+
+    shape = (
+        "array<struct<workload_class:string,breach_type:string,sla_threshold:double,actual_value:double,severity:string>>"
     )
+    judged = F.array_compact(F.array(*[breach(rule, kind) for rule in rules for kind in breach_types]).cast(shape))
+    # two patterns of one class may both match
+    return hours.select("warehouse_name", "breach_window", F.inline(F.array_distinct(judged))).select(BREACH_COLUMNS)
 
 
 def sla_latency_breaches(queries: DataFrame, sla: DataFrame, as_of: str | datetime, hours: float = 2) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources import schemas, seeds, store
 from ..sources.readers import read_or_empty, resolve_source
 from . import views as v
 from .anomaly_jobs import LATENCY, QUEUE, breach_sql
-from .cost_jobs import HQ_COLUMNS, NOW, he, hm, hq
+from .cost_jobs import HQ_COLUMNS, NOW, hm
 from .registry import query, r
 from .views import AS_OF
 
@@ -38,12 +38,12 @@ def refreshed(spark, sf, table, source, tags=None):
     return store.load(spark, path, table).drop("_loaded_at")
 
 
-@query(
-    "merge_upsert",
-    f"""SELECT warehouse_name, hour_ts, {r('credits')}, tag_cost_center
+TAGGED_HOURS = f"""SELECT warehouse_name, hour_ts, {r('credits')}, tag_cost_center
         FROM hm LEFT JOIN (SELECT object_name AS warehouse_name, max(tag_value) AS tag_cost_center FROM tag_references
-                           WHERE domain = 'WAREHOUSE' AND tag_name = 'COST_CENTER' GROUP BY 1) USING (warehouse_name)""",
-)
+                           WHERE domain = 'WAREHOUSE' AND tag_name = 'COST_CENTER' GROUP BY 1) USING (warehouse_name)"""
+
+
+@query("merge_upsert", TAGGED_HOURS)
 def merge_upsert(spark, sf):
     """Two incremental refreshes give what one full computation gives."""
     return refreshed(spark, sf, store.METERING, v.metering(spark, sf), v.tag_references(spark, sf))
@@ -108,9 +108,15 @@ def retention_prune(spark, sf):
        UNION ALL SELECT 'HOURLY_QUERIES', count(*) FROM hq UNION ALL SELECT 'WAREHOUSE_EVENTS_AGG', count(*) FROM he""",
 )
 def staging_row_counts(spark, sf):
-    return rollups.row_counts(
-        {"HOURLY_METERING": hm(spark, sf), "HOURLY_QUERIES": hq(spark, sf), "WAREHOUSE_EVENTS_AGG": he(spark, sf)}
-    )
+    """Rows of the stored tables after a refresh."""
+    sources = {"HOURLY_METERING": (store.METERING, v.metering), "HOURLY_QUERIES": (store.QUERIES, v.query_history),
+               "WAREHOUSE_EVENTS_AGG": (store.EVENTS, v.events_history)}
+    stored = {}
+    for name, (table, source) in sources.items():
+        path = new_folder(spark, table.name)
+        store.refresh(spark, path, table, source(spark, sf), AS_OF)
+        stored[name] = store.load(spark, path, table)
+    return rollups.row_counts(stored)
 
 
 WHOLE_HOURS = 30 * 24
@@ -131,7 +137,9 @@ def merge_insert_only(spark, sf):
     queries = v.query_history(spark, sf)
     first = "2024-01-15 10:00:00"
     for as_of, rows in ((first, queries.filter(F.col("start_time") < F.lit(first).cast("timestamp_ntz"))), (AS_OF, queries)):
-        store.merge_insert_only(spark, path, schemas.SLA_BREACHES, breach_rows(rows, as_of, as_of), sla.BREACH_KEYS)
+        store.merge_insert_only(
+            spark, path, schemas.SLA_BREACHES, breach_rows(rows, as_of, as_of), sla.BREACH_KEYS, "breach_window"
+        )
     return read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS)
 
 

@@ -15,7 +15,7 @@ from .anomaly_jobs import LATENCY, QUEUE, breach_sql
 from .cost_jobs import HQ_COLUMNS
 from .governance_jobs import TRANSITIONS
 from .registry import query, r
-from .store_jobs import FIRST_RUN, new_folder
+from .store_jobs import FIRST_RUN, TAGGED_HOURS, new_folder
 from .views import AS_OF
 
 #: The watermark after every event: hours ending at or before it have closed.
@@ -44,16 +44,16 @@ def drain(spark, writer, name: str) -> None:
     jobs.start(writer, new_folder(spark, f"{name}-checkpoint")).awaitTermination()
 
 
-def kept_hourly(spark, sf, table, columns) -> DataFrame:
+def kept_hourly(spark, sf, table, columns, tags=None) -> DataFrame:
     path = new_folder(spark, f"stream-{table.name}")
     source = event_stream(spark, sf).select(v.spark_columns(columns))
-    drain(spark, jobs.stream_hourly(source, table, path), table.name)
-    return store.load(spark, path, table).drop("_loaded_at", "tag_cost_center")
+    drain(spark, jobs.stream_hourly(source, table, path, tags, store.RETENTION_DAYS), table.name)
+    return store.load(spark, path, table).drop("_loaded_at")
 
 
-@query("stream_hourly_metering", f"SELECT warehouse_name, hour_ts, {r('credits')} FROM hm")
+@query("stream_hourly_metering", TAGGED_HOURS)
 def stream_hourly_metering(spark, sf):
-    return kept_hourly(spark, sf, store.METERING, v.METERING)
+    return kept_hourly(spark, sf, store.METERING, v.METERING, v.tag_references(spark, sf))
 
 
 @query("stream_hourly_queries", f"SELECT {HQ_COLUMNS} FROM hq")
@@ -99,24 +99,35 @@ def stream_sla(spark, sf):
     return read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS)
 
 
-@query(
-    "stream_spike_alert",
-    f"""SELECT warehouse_name, window_end, {r('baseline_credits_7d / 7 / 24', 'baseline_hourly')}, {r('used', 'recent_credits')},
-               {r('baseline_credits_7d / 7 / 24 * 4 * 1.5', 'alert_threshold')}
+def spike_sql(hours: int, factor: float) -> str:
+    limit = f"baseline_credits_7d / 7 / 24 * {hours} * {factor}"
+    return f"""SELECT warehouse_name, window_end, {r('baseline_credits_7d / 7 / 24', 'baseline_hourly')}, {r('used', 'recent_credits')},
+               {r(limit, 'alert_threshold')}
         FROM latest_migration JOIN (
           SELECT warehouse_name, hour_ts + to_hours(ahead) AS window_end, CAST(sum(c) AS DOUBLE) AS used
           FROM (SELECT warehouse_name, date_trunc('hour', start_time) AS hour_ts, sum(credits_used) AS c FROM metering GROUP BY 1, 2),
-               (VALUES (1), (2), (3), (4)) w(ahead) GROUP BY 1, 2) USING (warehouse_name)
-        WHERE used > baseline_credits_7d / 7 / 24 * 4 * 1.5 AND window_end <= {MARK}""",
-)
-def stream_spike_alert(spark, sf):
-    path = new_folder(spark, "stream-alerts")
+               (SELECT unnest(range(1, {hours + 1})) AS ahead) GROUP BY 1, 2) USING (warehouse_name)
+        WHERE used > {limit} AND window_end <= {MARK}"""
+
+
+def spike_stream(spark, sf, hours: int, factor: float) -> DataFrame:
+    path = new_folder(spark, f"stream-alerts-{hours}")
     metering = event_stream(spark, sf).select(v.spark_columns(v.METERING))
-    drain(spark, jobs.stream_spike_alert(metering, v.migration_log(spark, sf), path), "alerts")
+    drain(spark, jobs.stream_spike_alert(metering, v.migration_log(spark, sf), path, hours, factor), "alerts")
     alerts = "warehouse_name STRING, window_end TIMESTAMP, baseline_hourly DOUBLE, recent_credits DOUBLE, alert_threshold DOUBLE"
     return spark.read.schema(alerts).parquet(path)
 
 
+@query("stream_spike_alert", spike_sql(4, 1.5))
+def stream_spike_alert(spark, sf):
+    return spike_stream(spark, sf, 4, 1.5)
+
+
+@query("stream_critical_spike_alert", spike_sql(6, 2.0))
+def stream_critical_spike_alert(spark, sf):
+    return spike_stream(spark, sf, 6, 2.0)
+
+
 @query(
     "stream_request_state",
     f"""SELECT request_id, status, reviewed_by, reviewed_at, review_notes, executed_at, rollback_at FROM ({TRANSITIONS})

@@ -58,6 +58,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
         return empty(spark, schema)
 
 
+#: Conditions of a table or path that doesn't exist.
+MISSING = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND")
+
+
 def resolve_source(
     spark: SparkSession,
     staged_table: str,
@@ -67,15 +71,15 @@ def resolve_source(
 ) -> DataFrame:
     """The staged rollup when the catalog has it, else the raw computation.
 
-    ``keep`` restricts the staged rows (the look-back). With ``when_missing`` an unreadable raw source yields no rows
-    instead of an error.
+    ``keep`` restricts the staged rows (the look-back). With ``when_missing`` a raw source that doesn't exist yields no rows
+    instead of an error; any other error stays one.
     """
     if spark.catalog.tableExists(staged_table):
         return keep(spark.table(staged_table))
     try:
         return raw()
-    except AnalysisException:
-        if when_missing is None:
+    except AnalysisException as e:
+        if when_missing is None or e.getCondition() not in MISSING:
             raise
         return empty(spark, when_missing)
 

@@ -71,14 +71,24 @@ def load(spark: SparkSession, path: str, table: HourlyTable, since: datetime | N
 
 
 def watermark(spark: SparkSession, path: str, table: HourlyTable) -> datetime:
-    """The newest stored hour, or the epoch. Two scalars reach the driver; only the newest day's files are read."""
-    stored = read_or_empty(spark, path, table.stored_schema)
-    newest = stored.agg(F.max("day")).first()[0]
-    if newest is None:
+    """The newest stored hour, or the epoch. One scalar reaches the driver; only the newest day's files are read."""
+    days = stored_days(spark, path)
+    if not days:
         return EPOCH
+    stored, newest = read_or_empty(spark, path, table.stored_schema), max(days)
     return stored.filter(F.col("day") == F.lit(newest)).agg(F.max("hour_ts")).first()[0]
 
 
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days a table has a folder for, by listing them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+    return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day=") and n[4:5].isdigit())
+
+
 def window_start(mark: datetime, as_of: str | datetime) -> datetime:
     """First hour to re-read: two hours before the watermark, at most 30 days back, always a full hour.
 
@@ -111,12 +121,16 @@ def stamped(rows: DataFrame, table: HourlyTable, loaded_at: str | datetime) -> D
 def merge_upsert(
     spark: SparkSession, path: str, table: HourlyTable, updates: DataFrame, since: datetime, loaded_at: str | datetime
 ) -> None:
-    """Replace rows with equal keys, add the others, leave the rest. All updates lie at or after ``since``."""
+    """Replace rows with equal keys, add the others, leave the rest. All updates lie at or after ``since``.
+
+    Only days that have an update are read and rewritten.
+    """
     shared_dir(spark)
     new = stamped(updates, table, loaded_at)
     kept = (
         read_or_empty(spark, path, table.stored_schema)
         .filter(F.col("day") >= F.lit(since.date()))
+        .join(new.select("day").distinct(), "day", "left_semi")
         .join(new.select(*table.keys), list(table.keys), "left_anti")
         .select(new.columns)
     )
@@ -136,21 +150,42 @@ def _write_days(rows: DataFrame, path: str) -> None:
     )
 
 
-def merge_insert_only(spark: SparkSession, path: str, schema: StructType, updates: DataFrame, keys: list[str]) -> None:
-    """Append the updates whose keys are new. A stored row is never changed, so the first verdict stands."""
-    stored = read_or_empty(spark, path, schema)
-    fresh = updates.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    append(path, fresh, schema)
+def merge_insert_only(
+    spark: SparkSession, path: str, schema: StructType, updates: DataFrame, keys: list[str], day_of: str | None = None
+) -> None:
+    """Append the updates whose keys are new. A stored row is never changed, so the first verdict stands.
 
+    With ``day_of``, one of the keys, the table is partitioned by that column's date and only the days from the oldest
+    update on are read.
+    """
+    found = updates.dropDuplicates(keys)
+    if day_of is None:
+        fresh = found.join(read_or_empty(spark, path, schema).select(*keys), keys, "left_anti")
+        append(path, fresh, schema)
+        return
+    shared_dir(spark)
+    found = found.withColumn("day", F.to_date(day_of)).checkpoint(eager=True)
+    oldest, newest = found.agg(F.min("day"), F.max("day")).first()
+    if oldest is None:
+        return
+    stored = read_or_empty(spark, path, StructType([*schema.fields, StructField("day", DateType())]))
+    same = stored.filter(F.col("day").between(F.lit(oldest), F.lit(newest))).select("day", *keys)
+    append(path, found.join(same, ["day", *keys], "left_anti"), schema, day=F.col("day"))
 
-def append(path: str, rows: DataFrame, schema: StructType, defaults: dict[str, Column] | None = None) -> None:
-    """Append records; columns they lack take ``defaults`` or NULL."""
+
+def append(
+    path: str, rows: DataFrame, schema: StructType, defaults: dict[str, Column] | None = None, day: Column | None = None
+) -> None:
+    """Append records; columns they lack take ``defaults`` or NULL. ``day`` partitions the table by date."""
     extra = defaults or {}
     columns = []
     for f in schema.fields:
         value = F.col(f.name) if f.name in rows.columns else extra.get(f.name, F.lit(None))
         columns.append(value.cast(f.dataType).alias(f.name))
-    rows.select(columns).write.mode("append").parquet(path)
+    if day is None:
+        rows.select(columns).write.mode("append").parquet(path)
+    else:
+        rows.select(*columns, day.alias("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_event(path: str, rows: DataFrame, schema: StructType, at: str | datetime, by: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.governance import INITIAL_STATUS
 from ..operators.lifecycle import latest_migrations
+from ..operators.rollups import with_cost_center
 from ..operators.sla import BREACH_KEYS, breaches, sla_measures
 from ..sources import schemas, store
 from ..sources.readers import read_or_empty
@@ -54,10 +55,13 @@ def start(writer: DataStreamWriter, checkpoint: str, once: bool = True):
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()
 
 
-def stream_hourly(source: DataFrame, table: HourlyTable, path: str) -> DataStreamWriter:
+def stream_hourly(
+    source: DataFrame, table: HourlyTable, path: str, tags: DataFrame | None = None, prune_days: int | None = None
+) -> DataStreamWriter:
     """Keep a stored hourly table up to date: changed hours are upserted after every micro-batch.
 
-    A replayed batch upserts the same rows again.
+    A replayed batch upserts the same rows again. Metering takes ``tags`` for its cost centre, read anew for each batch.
+    With ``prune_days`` rows that much older than the newest stored hour go after a batch.
     """
     use_disk_state(source.sparkSession)
     extra = [k for k in table.keys if k not in ("warehouse_name", "hour_ts")]
@@ -69,7 +73,11 @@ def stream_hourly(source: DataFrame, table: HourlyTable, path: str) -> DataStrea
             oldest = rows.agg(F.min("hour_ts")).first()[0]
             if oldest is not None:
                 now = datetime.now(timezone.utc).replace(tzinfo=None)
-                store.merge_upsert(batch.sparkSession, path, table, rows, oldest, now)
+                hours = rows if tags is None else with_cost_center(rows, tags)
+                store.merge_upsert(batch.sparkSession, path, table, hours, oldest, now)
+                if prune_days is not None:
+                    mark = store.watermark(batch.sparkSession, path, table)
+                    store.retention_prune(batch.sparkSession, path, table, mark, prune_days)
         finally:
             rows.unpersist()
 
@@ -86,7 +94,7 @@ def stream_sla(queries: DataFrame, sla: DataFrame, path: str) -> DataStreamWrite
         found = breaches(closed, sla, "LATENCY", "QUEUE").select(
             "*", F.current_timestamp().alias("detected_at"), F.lit(False).alias("acknowledged")
         )
-        store.merge_insert_only(batch.sparkSession, path, schemas.SLA_BREACHES, found, BREACH_KEYS)
+        store.merge_insert_only(batch.sparkSession, path, schemas.SLA_BREACHES, found, BREACH_KEYS, "breach_window")
 
     return hours.writeStream.outputMode("append").foreachBatch(record)
 

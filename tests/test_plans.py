@@ -50,6 +50,19 @@ def test_look_back_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in text
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["credit_comparison", "performance_comparison", "daily_savings", "monthly_savings_report", "before_after", "before_after_kpis",
+     "before_after_long", "latency_regression_alert", "cross_view_consistency"],
+)
+def test_scans_around_changes_are_bounded(spark, sf, name):
+    assert "GreaterThanOrEqual(ts," in plan(catalog.queries()[name](spark, sf))
+
+
+def test_sla_rules_need_no_join(spark, sf):
+    assert "Join" not in plan(catalog.queries()["detect_sla_breaches"](spark, sf))
+
+
 @pytest.mark.parametrize(
     "name,scans", [("sla_latency_breaches", 1), ("detect_sla_breaches", 1), ("adaptive_vs_standard", 1), ("invariant_checks", 1), ("latency_before_after", 1), ("daily_savings", 2)]
 )

@@ -49,6 +49,20 @@ def test_upsert_touches_only_its_days(spark, frame, path):
     assert len(stored(spark, path)) == 3
 
 
+def test_upsert_leaves_days_between_its_days_alone(spark, frame, path):
+    def files():
+        return {r.day: r.f for r in spark.read.parquet(path).select("day", F.input_file_name().alias("f")).distinct().collect()}
+
+    days = [("A", f"2024-01-0{d} 10:00:00", D("1.00")) for d in (1, 2, 3, 4)]
+    store.refresh(spark, path, store.METERING, frame(days, M), "2024-01-04 12:00:00")
+    before = files()
+    updates = store.METERING.aggregate(frame([("A", "2024-01-01 10:00:00", D("5.00")), ("B", "2024-01-04 11:00:00", D("7.00"))], M))
+    store.merge_upsert(spark, path, store.METERING, updates, datetime(2024, 1, 1, 10), "2024-01-04 13:00:00")
+    after = files()
+    assert [d for d in before if before[d] == after[d]] and {d.day for d in before if before[d] == after[d]} == {2, 3}
+    assert [(n, h.day, c) for n, h, c in stored(spark, path)] == [("A", 1, 5.0), ("A", 2, 1.0), ("A", 3, 1.0), ("A", 4, 1.0), ("B", 4, 7.0)]
+
+
 def test_upsert_keeps_rows_of_a_touched_day(spark, frame, path):
     """Hours before the window, on the same day, survive the rewrite."""
     store.refresh(spark, path, store.METERING, frame([("A", f"2024-01-09 {h:02d}:00:00", D("1.00")) for h in (1, 20)], M), "2024-01-09 21:00:00")
@@ -90,6 +104,13 @@ def test_insert_only_keeps_the_first_verdict(spark, frame, path):
     for value in (1.0, 2.0):
         store.merge_insert_only(spark, path, schemas.SLA_BREACHES, frame([("A", "C", "QUEUE", "2024-01-01 01:00:00", value)], ddl), keys)
     assert [r.actual_value for r in read_or_empty(spark, path, schemas.SLA_BREACHES).collect()] == [1.0]
+    by_day = path + "-days"
+    for value, window in ((1.0, "2024-01-01 01:00:00"), (2.0, "2024-01-01 01:00:00"), (3.0, "2024-01-02 01:00:00")):
+        rows = frame([("A", "C", "QUEUE", window, value)], ddl)
+        store.merge_insert_only(spark, by_day, schemas.SLA_BREACHES, rows, keys, "breach_window")
+    store.merge_insert_only(spark, by_day, schemas.SLA_BREACHES, rows.limit(0), keys, "breach_window")
+    assert sorted(r.actual_value for r in read_or_empty(spark, by_day, schemas.SLA_BREACHES).collect()) == [1.0, 3.0]
+    assert store.stored_days(spark, by_day) == [date(2024, 1, 1), date(2024, 1, 2)]
 
 
 def test_append_event_sets_defaults(spark, frame, path):

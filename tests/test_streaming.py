@@ -52,6 +52,22 @@ def test_stream_equals_batch(spark, split_events, tmp_path, table, columns, batc
     assert plain(store.load(spark, path, table).select(want.columns)) == plain(want)
 
 
+def test_stream_keeps_cost_centres_and_prunes(spark, sf, frame, tmp_path):
+    """A refreshed table that a stream goes on with holds what one refresh of everything holds."""
+    ddl = "warehouse_name STRING, start_time TIMESTAMP_NTZ, credits_used DECIMAL(18,2)"
+    rows = [("A", "2024-01-01 10:00:00", D("1.00")), ("A", "2024-02-10 10:00:00", D("2.00")), ("B", "2024-02-10 11:00:00", D("3.00"))]
+    tags = frame(
+        [("A", "WAREHOUSE", "COST_CENTER", "CC-1"), ("A", "WAREHOUSE", "COST_CENTER", "CC-0")],
+        "object_name STRING, domain STRING, tag_name STRING, tag_value STRING")
+    folder, path = str(tmp_path / "in"), str(tmp_path / "t")
+    store.refresh(spark, path, store.METERING, frame(rows[:1], ddl), "2024-01-01 11:00:00", tags)
+    frame(rows, ddl).coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema(schemas.METERING_HISTORY).parquet(folder)
+    run(jobs.stream_hourly(source, store.METERING, path, tags, store.RETENTION_DAYS), tmp_path)
+    got = sorted((r.warehouse_name, r.hour_ts, r.credits, r.tag_cost_center) for r in store.load(spark, path, store.METERING).collect())
+    assert got == [("A", datetime(2024, 2, 10, 10), 2.0, "CC-1"), ("B", datetime(2024, 2, 10, 11), 3.0, None)]
+
+
 def test_rows_behind_the_watermark_are_dropped(spark, frame, tmp_path):
     """Newest 10:30, lateness 2 h: hours from 08:00 on stay open, an earlier one is closed."""
     ddl = "warehouse_name STRING, start_time TIMESTAMP_NTZ, credits_used DECIMAL(18,2)"
