@@ -80,38 +80,15 @@ def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Current state of every request after its status events, with the count of illegal moves.
 
     ``requests`` has one row per request; ``events`` has request_id, event_id, event_time, status, actor, notes. An
-    illegal move is applied, as an unguarded update would, and counted. The state before each event is looked up inside
-    its hour first; only an hour's first event needs the state the previous active hour ended with. So no task orders
-    the whole history of one request.
+    illegal move is applied, as an unguarded update would, and counted. A request's few moves are ordered and folded in
+    one partitioning by request.
     """
-    hourly = events.withColumn("_hour", F.date_trunc("hour", "event_time"))
-    moves = Window.partitionBy("request_id", "_hour").orderBy("event_time", "event_id")
-    hour_end = (
-        hourly.groupBy("request_id", "_hour")
-        .agg(F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("_last"))
-        .withColumn("_entry", F.lag("_last").over(Window.partitionBy("request_id").orderBy("_hour")))
-        .select("request_id", "_hour", "_entry")
-    )
-    before = F.coalesce("_before", "_entry", F.lit(INITIAL_STATUS))
-    reviewed = F.col("status").isin("APPROVED", "REJECTED")
-    review = F.max(F.when(reviewed, F.struct("event_time", "event_id", "actor", "notes")))
-
-    def newest(status: str) -> Column:
-        return F.max(F.when(F.col("status") == status, F.col("event_time")))
-
+    moves = Window.partitionBy("request_id").orderBy("event_time", "event_id")
+    before = F.coalesce("_before", F.lit(INITIAL_STATUS))
     state = (
-        hourly.withColumn("_before", F.lag("status").over(moves))
-        .join(hour_end, ["request_id", "_hour"])
+        events.withColumn("_before", F.lag("status").over(moves))
         .groupBy("request_id")
-        .agg(
-            F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("_status"),
-            review.getField("actor").alias("reviewed_by"),
-            review.getField("event_time").alias("reviewed_at"),
-            review.getField("notes").alias("review_notes"),
-            newest("EXECUTED").alias("executed_at"),
-            newest("ROLLED_BACK").alias("rollback_at"),
-            count_where(~is_legal_move(before, F.col("status"))).alias("illegal_moves"),
-        )
+        .agg(*state_measures("_status"), count_where(~is_legal_move(before, F.col("status"))).alias("illegal_moves"))
     )
     return (
         requests.select("request_id", "warehouse_name", "created_at", "requested_by")
@@ -125,6 +102,24 @@ def request_transitions(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def state_measures(status: str) -> list[Column]:
+    """A request's state from its events, by maxima: the order in which they arrive doesn't matter."""
+    reviewed = F.col("status").isin("APPROVED", "REJECTED")
+    review = F.max(F.when(reviewed, F.struct("event_time", "event_id", "actor", "notes")))
+
+    def newest(which: str) -> Column:
+        return F.max(F.when(F.col("status") == which, F.col("event_time")))
+
+    return [
+        F.max(F.struct("event_time", "event_id", "status")).getField("status").alias(status),
+        review.getField("actor").alias("reviewed_by"),
+        review.getField("event_time").alias("reviewed_at"),
+        review.getField("notes").alias("review_notes"),
+        newest("EXECUTED").alias("executed_at"),
+        newest("ROLLED_BACK").alias("rollback_at"),
+    ]
+
+
 def with_calendar_windows(rows: DataFrame, day: str, calendar: DataFrame, spread_by: str) -> DataFrame:
     """``rows`` with ``_windows``: the calendar windows that cover the row's day and warehouse, or NULL or none.
 

@@ -11,9 +11,6 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Exact percentiles aggregate per (warehouse, hour): thousands of small groups per task. The default of
-    # 128 groups would send nearly every such task to the sort-based path.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 #: Settings fixed at start-up.
 STATIC_DEFAULTS = {

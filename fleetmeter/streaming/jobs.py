@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from ..operators.governance import INITIAL_STATUS
+from ..operators.governance import INITIAL_STATUS, state_measures
 from ..operators.lifecycle import latest_migrations
 from ..operators.rollups import with_cost_center
 from ..operators.sla import BREACH_KEYS, breaches, sla_measures
@@ -131,20 +131,7 @@ def stream_spike_alert(metering: DataFrame, log: DataFrame, path: str, hours: in
 
 def request_states(events: DataFrame) -> DataFrame:
     """Newest state per request: associative maxima, so events may arrive in any order."""
-    reviewed = F.col("status").isin("APPROVED", "REJECTED")
-    review = F.max(F.when(reviewed, F.struct("event_time", "event_id", "actor", "notes")))
-
-    def newest(status: str) -> Column:
-        return F.max(F.when(F.col("status") == status, F.col("event_time")))
-
-    return events.groupBy("request_id").agg(
-        F.max(F.struct("event_time", "event_id", "status")).getField("status").alias("status"),
-        review.getField("actor").alias("reviewed_by"),
-        review.getField("event_time").alias("reviewed_at"),
-        review.getField("notes").alias("review_notes"),
-        newest("EXECUTED").alias("executed_at"),
-        newest("ROLLED_BACK").alias("rollback_at"),
-    )
+    return events.groupBy("request_id").agg(*state_measures("status"))
 
 
 def stream_request_state(events: DataFrame, path: str) -> DataStreamWriter:

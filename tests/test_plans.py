@@ -70,6 +70,14 @@ def test_scans_per_report(spark, sf, name, scans):
     assert plan(catalog.queries()[name](spark, sf)).count("FileScan parquet") == scans
 
 
+@pytest.mark.parametrize("name,scans", [("latency_by_pool_type", 1), ("workload_classes", 1), ("request_transitions", 2)])
+def test_scans_when_run(spark, sf, name, scans):
+    """An exchange that is used twice is written once, which only the plan that ran shows."""
+    df = catalog.queries()[name](spark, sf)
+    df.collect()
+    assert plan(df).split("Initial Plan")[0].count("FileScan parquet") == scans
+
+
 def test_hot_key_is_spread_over_tasks(spark):
     """One key holds every row, broadcasting is off: no task gets more than a fraction of it."""
     from pyspark.sql import functions as F
