@@ -31,6 +31,8 @@ from .common import checkpointed, map_slices, words_of
 
 #: Words of a window whose repetition removes it, and of a k-mer.
 WINDOW, KMER = 35, 6
+#: Occurrences of a k-mer that one salt takes in the joins where it branches.
+SALTED = 1 << 16
 #: k-mers of a window.
 SPAN = WINDOW - KMER + 1
 #: Fixed odd multiplier of the rolling hash, and its inverse modulo 2**64.
@@ -125,18 +127,17 @@ def _window_hashes(met: DataFrame) -> DataFrame:
     """The hashes of the windows at each given path's coordinates."""
 
     def work(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"kmer": [], "path": [], "n": [], "hashes": []}
+        out: dict[str, list] = {"kmer": [], "path": [], "n": [], "times": [], "hashes": []}
         for text, given in zip(part.column("text").to_pylist(), part.column("given").to_pylist(), strict=True):
             rolling = Rolling(words_of(text))
             for g in given:
                 at = np.arange(g["place"] >> 6, (g["place"] >> 6) + (g["place"] & 63) + 1)
-                out["kmer"].append(g["kmer"])
-                out["path"].append(g["path"])
-                out["n"].append(g["n"])
+                for name in ("kmer", "path", "n", "times"):
+                    out[name].append(g[name])
                 out["hashes"].append(rolling.of(at, at + WINDOW).view(np.int64))
         return out
 
-    return map_slices(met, "text", work, "kmer long, path long, n long, hashes array<long>")
+    return map_slices(met, "text", work, "kmer long, path long, n long, times long, hashes array<long>")
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -145,23 +146,29 @@ def spans(keyed: DataFrame) -> DataFrame:
     nodes = occurrences.groupBy("kmer").agg(
         F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")
     )
-    repeated = nodes.where("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("branches"))
+    repeated = checkpointed(nodes.where("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("branches"), "n"))
     found = checkpointed(occurrences.join(repeated, "kmer"))
     first, last = F.expr("place >> 6"), F.expr("(place >> 6) + (place & 63)")
     compact = found.where("not branches").select("k1", "k2", first.alias("start"), (last + WINDOW).alias("end"))
 
+    # A frequent k-mer's rows are dealt over as many salts as its count asks for; its other side is repeated per salt.
+    salt = lambda by: F.pmod(F.xxhash64(by), F.expr(f"1 + n div {SALTED}")).alias("salt")
+    salts = F.explode(F.expr(f"sequence(0L, n div {SALTED})")).alias("salt")
     branching = found.where("branches")
-    different = branching.groupBy("kmer", "path").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("source")
+    different = branching.groupBy("kmer", "path", "n").agg(
+        F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source")
     )
     given = different.groupBy("source.k1", "source.k2").agg(
-        F.collect_list(F.struct("kmer", "path", "n", F.col("source.place").alias("place"))).alias("given")
+        F.collect_list(F.struct("kmer", "path", "n", "times", F.col("source.place").alias("place"))).alias("given")
+    )
+    windows = _window_hashes(keyed.join(given, ["k1", "k2"])).select("kmer", "path", "n", "times", F.posexplode("hashes").alias("j", "h"))
+    twice = windows.groupBy("kmer", "h", "n").agg(F.sum("times").alias("total")).where("total > 1").select("kmer", "h", salts)
+    marked = (
+        windows.select("kmer", "path", "n", "j", "h", salt("path")).join(twice, ["kmer", "h", "salt"])
+        .groupBy("kmer", "path", "n").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")).select("kmer", "path", "mask", salts)
     )
-    windows = _window_hashes(keyed.join(given, ["k1", "k2"])).select("kmer", "path", "n", F.posexplode("hashes").alias("j", "h"))
-    twice = windows.groupBy("kmer", "h").agg(F.sum("n").alias("total")).where("total > 1").select("kmer", "h")
-    marked = windows.join(twice, ["kmer", "h"]).groupBy("kmer", "path").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     branched = (
-        branching.join(marked, ["kmer", "path"])
+        branching.select("k1", "k2", "kmer", "path", "place", salt("k1")).join(marked, ["kmer", "path", "salt"])
         .select("k1", "k2", first.alias("at"), F.explode(F.expr("filter(sequence(0, place & 63), j -> (shiftright(mask, j) & 1) = 1)")).alias("j"))
         .select("k1", "k2", (F.col("at") + F.col("j")).alias("start"), (F.col("at") + F.col("j") + WINDOW).alias("end"))
     )

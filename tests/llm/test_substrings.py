@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from fleetmeter.llm import queries, substrings
 
 
@@ -37,7 +39,9 @@ def test_given_table(spark, sf):
     assert any(0 < r[2] < r[1] for r in got)
 
 
-def test_passages_of_every_length_and_place(documents):
+@pytest.mark.parametrize("salted", [1 << 16, 4])
+def test_passages_of_every_length_and_place(documents, monkeypatch, salted):
+    monkeypatch.setattr(substrings, "SALTED", salted)
     r = random.Random(3)
     words = [f"w{i}" for i in range(60)] + ["the"] * 20
 
