@@ -26,6 +26,15 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/fleetmeter/{name}-{uuid.uuid4().hex}"
 
 
+def finished(spark, df, *folders: str):
+    """The rows as they are now, and the folders they were read from deleted."""
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    for folder in folders:
+        store.delete_folder(spark, folder)
+    return kept
+
+
 def arrived(df, column: str, as_of: str):
     return df.filter(F.col(column) <= F.lit(as_of).cast(df.schema[column].dataType))
 
@@ -35,7 +44,7 @@ def refreshed(spark, sf, table, source, tags=None):
     path = new_folder(spark, table.name)
     for as_of in (FIRST_RUN, AS_OF):
         store.refresh(spark, path, table, arrived(source, table.time_column, as_of), as_of, tags)
-    return store.load(spark, path, table).drop("_loaded_at")
+    return finished(spark, store.load(spark, path, table).drop("_loaded_at"), path)
 
 
 TAGGED_HOURS = f"""SELECT warehouse_name, hour_ts, {r('credits')}, tag_cost_center
@@ -64,14 +73,15 @@ def source_resolver_staged(spark, sf):
     """A deployed hourly table answers instead of the raw scan, restricted to the look-back."""
     path = new_folder(spark, "staged")
     store.refresh(spark, path, store.METERING, v.metering(spark, sf), AS_OF)
-    store.load(spark, path, store.METERING).createOrReplaceTempView("fleetmeter_staged_hourly_metering")
+    view = f"fleetmeter_staged_{uuid.uuid4().hex}"
+    store.load(spark, path, store.METERING).createOrReplaceTempView(view)
     since = instant(AS_OF) - timedelta(days=14)
-    return resolve_source(
-        spark,
-        "fleetmeter_staged_hourly_metering",
-        lambda: hm(spark, sf),
-        lambda staged: staged.filter(F.col("hour_ts") >= moment(staged, "hour_ts", since)),
-    ).select("warehouse_name", "hour_ts", "credits")
+    found = resolve_source(
+        spark, view, lambda: hm(spark, sf), lambda staged: staged.filter(F.col("hour_ts") >= moment(staged, "hour_ts", since)),
+    )
+    kept = finished(spark, found.select("warehouse_name", "hour_ts", "credits"), path)
+    spark.catalog.dropTempView(view)
+    return kept
 
 
 @query(
@@ -87,6 +97,7 @@ def incremental_window(spark, sf):
     path = new_folder(spark, "window")
     store.refresh(spark, path, store.METERING, arrived(source, "start_time", FIRST_RUN), FIRST_RUN)
     mark = store.watermark(spark, path, store.METERING)
+    store.delete_folder(spark, path)
     return rollups.metering_by_hour(store.incremental_window(source, "start_time", mark, AS_OF))
 
 
@@ -99,7 +110,7 @@ def retention_prune(spark, sf):
     path = new_folder(spark, "prune")
     store.refresh(spark, path, store.METERING, v.metering(spark, sf), AS_OF)
     store.retention_prune(spark, path, store.METERING, "2024-02-20 05:30:00")
-    return store.load(spark, path, store.METERING).select("warehouse_name", "hour_ts", "credits")
+    return finished(spark, store.load(spark, path, store.METERING).select("warehouse_name", "hour_ts", "credits"), path)
 
 
 @query(
@@ -111,12 +122,13 @@ def staging_row_counts(spark, sf):
     """Rows of the stored tables after a refresh."""
     sources = {"HOURLY_METERING": (store.METERING, v.metering), "HOURLY_QUERIES": (store.QUERIES, v.query_history),
                "WAREHOUSE_EVENTS_AGG": (store.EVENTS, v.events_history)}
-    stored = {}
+    stored, paths = {}, []
     for name, (table, source) in sources.items():
         path = new_folder(spark, table.name)
         store.refresh(spark, path, table, source(spark, sf), AS_OF)
         stored[name] = store.load(spark, path, table)
-    return rollups.row_counts(stored)
+        paths.append(path)
+    return finished(spark, rollups.row_counts(stored), *paths)
 
 
 WHOLE_HOURS = 30 * 24
@@ -140,7 +152,7 @@ def merge_insert_only(spark, sf):
         store.merge_insert_only(
             spark, path, schemas.SLA_BREACHES, breach_rows(rows, as_of, as_of), sla.BREACH_KEYS, "breach_window"
         )
-    return read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS)
+    return finished(spark, read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS), path)
 
 
 @query(
@@ -156,9 +168,65 @@ def append_event(spark, sf):
     store.append_event(path, log, schemas.MIGRATION_LOG, AS_OF, "admin")
     rolled_back = lifecycle.rollback_record(lifecycle.latest_migrations(log).select("warehouse_name"), AS_OF)
     store.append_event(path, rolled_back.drop("migrated_at", "migrated_by"), schemas.MIGRATION_LOG, AS_OF, "auto")
-    return read_or_empty(spark, path, schemas.MIGRATION_LOG).select(
-        "warehouse_name", "action", "new_type", "migrated_by", "migrated_at", "baseline_credits_7d"
+    columns = ["warehouse_name", "action", "new_type", "migrated_by", "migrated_at", "baseline_credits_7d"]
+    return finished(spark, read_or_empty(spark, path, schemas.MIGRATION_LOG).select(columns), path)
+
+
+def appended(spark, name, rows, schema, columns):
+    """The records of a new table after one append, with the values that the append gives them."""
+    path = new_folder(spark, name)
+    store.append_event(path, rows, schema, AS_OF, "admin")
+    return finished(spark, read_or_empty(spark, path, schema).select(columns), path)
+
+
+@query(
+    "append_audit",
+    f"SELECT {NOW} AS event_timestamp, 'admin' AS username, role_name, event_type, warehouse_name FROM audit_log",
+)
+def append_audit(spark, sf):
+    rows = v.audit_log(spark, sf).select("role_name", "event_type", "warehouse_name")
+    return appended(spark, "audit", rows, schemas.AUDIT_LOG, ["event_timestamp", "username", "role_name", "event_type", "warehouse_name"])
+
+
+@query(
+    "append_request",
+    f"""SELECT {NOW} AS created_at, 'admin' AS requested_by, warehouse_name, 'ADAPTIVE' AS target_type, 'PENDING' AS status
+        FROM inventory WHERE warehouse_type = 'STANDARD'""",
+)
+def append_request(spark, sf):
+    names = v.inventory(spark, sf).filter("warehouse_type = 'STANDARD'")
+    rows = names.select("warehouse_name", F.lit("ADAPTIVE").alias("target_type"))
+    columns = ["created_at", "requested_by", "warehouse_name", "target_type", "status"]
+    return appended(spark, "requests", rows, schemas.MIGRATION_REQUESTS, columns)
+
+
+@query(
+    "append_gl_mapping",
+    f"""SELECT warehouse_name, gl_code, {r('100.0', 'allocation_pct')}, DATE '2024-01-31' AS effective_from,
+               DATE '9999-12-31' AS effective_to, 'admin' AS created_by FROM gl_code_mapping""",
+)
+def append_gl_mapping(spark, sf):
+    rows = v.gl_code_mapping(spark, sf).select("warehouse_name", "gl_code")
+    columns = ["warehouse_name", "gl_code", "allocation_pct", "effective_from", "effective_to", "created_by"]
+    return appended(spark, "gl", rows, schemas.GL_CODE_MAPPING, columns)
+
+
+@query(
+    "append_calendar",
+    f"""SELECT 'Usage of ' || warehouse_name AS event_name, 'AUDIT_WINDOW' AS event_type, min(CAST(start_time AS DATE)) AS start_date,
+               max(CAST(start_time AS DATE)) AS end_date, warehouse_name AS affected_warehouses, {r('2.0', 'expected_spike_factor')},
+               TRUE AS suppress_anomaly, 'admin' AS created_by FROM metering GROUP BY warehouse_name""",
+)
+def append_calendar(spark, sf):
+    """A window over each warehouse's days of usage."""
+    rows = v.metering(spark, sf).groupBy(F.col("warehouse_name").alias("affected_warehouses")).agg(
+        F.min(F.to_date("start_time")).alias("start_date"), F.max(F.to_date("start_time")).alias("end_date")
     )
+    rows = rows.select("*", F.concat(F.lit("Usage of "), "affected_warehouses").alias("event_name"), F.lit("AUDIT_WINDOW").alias("event_type"))
+    columns = [
+        "event_name", "event_type", "start_date", "end_date", "affected_warehouses", "expected_spike_factor", "suppress_anomaly", "created_by",
+    ]
+    return appended(spark, "calendar", rows, schemas.REGULATORY_CALENDAR, columns)
 
 
 @query(
@@ -171,6 +239,5 @@ def seed_if_empty(spark, sf):
     rows = v.sla_catalogue(spark, sf)
     for _ in range(2):
         store.seed_if_empty(spark, path, schemas.WORKLOAD_SLA, rows)
-    return read_or_empty(spark, path, schemas.WORKLOAD_SLA).select(
-        "workload_class", "warehouse_pattern", "max_p95_latency_sec", "max_queue_sec"
-    )
+    columns = ["workload_class", "warehouse_pattern", "max_p95_latency_sec", "max_queue_sec"]
+    return finished(spark, read_or_empty(spark, path, schemas.WORKLOAD_SLA).select(columns), path)

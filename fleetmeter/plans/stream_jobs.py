@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampNTZType
 
 from ..sources import schemas, seeds, store
 from ..sources.readers import read_or_empty
@@ -15,40 +14,28 @@ from .anomaly_jobs import LATENCY, QUEUE, breach_sql
 from .cost_jobs import HQ_COLUMNS
 from .governance_jobs import TRANSITIONS
 from .registry import query, r
-from .store_jobs import FIRST_RUN, TAGGED_HOURS, new_folder
+from .store_jobs import FIRST_RUN, TAGGED_HOURS, finished, new_folder
 from .views import AS_OF
 
 #: The watermark after every event: hours ending at or before it have closed.
 MARK = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
-STATES = StructType(
-    [
-        StructField("request_id", StringType()),
-        StructField("status", StringType()),
-        StructField("reviewed_by", StringType()),
-        StructField("reviewed_at", TimestampNTZType()),
-        StructField("review_notes", StringType()),
-        StructField("executed_at", TimestampNTZType()),
-        StructField("rollback_at", TimestampNTZType()),
-        StructField("batch", IntegerType()),
-    ]
-)
-
-
 def event_stream(spark, sf) -> DataFrame:
     schema = v.events(spark, sf).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 def drain(spark, writer, name: str) -> None:
-    jobs.start(writer, new_folder(spark, f"{name}-checkpoint")).awaitTermination()
+    checkpoint = new_folder(spark, f"{name}-checkpoint")
+    jobs.start(writer, checkpoint).awaitTermination()
+    store.delete_folder(spark, checkpoint)
 
 
 def kept_hourly(spark, sf, table, columns, tags=None) -> DataFrame:
     path = new_folder(spark, f"stream-{table.name}")
     source = event_stream(spark, sf).select(v.spark_columns(columns))
     drain(spark, jobs.stream_hourly(source, table, path, tags, store.RETENTION_DAYS), table.name)
-    return store.load(spark, path, table).drop("_loaded_at")
+    return finished(spark, store.load(spark, path, table).drop("_loaded_at"), path)
 
 
 @query("stream_hourly_metering", TAGGED_HOURS)
@@ -85,7 +72,7 @@ def late_data(spark, sf):
     early = source.filter((F.col("ts") <= F.lit(FIRST_RUN).cast("timestamp_ntz")) & (F.col("event_id") % 10 != 0))
     for rows, as_of in ((early, FIRST_RUN), (source, AS_OF)):
         store.refresh(spark, path, store.METERING, rows.select(v.spark_columns(v.METERING)), as_of)
-    return store.load(spark, path, store.METERING).select("warehouse_name", "hour_ts", "credits")
+    return finished(spark, store.load(spark, path, store.METERING).select("warehouse_name", "hour_ts", "credits"), path)
 
 
 CLOSED = f"date_trunc('hour', start_time) + INTERVAL 1 HOUR <= {MARK}"
@@ -96,7 +83,7 @@ def stream_sla(spark, sf):
     path = new_folder(spark, "stream-sla")
     queries = event_stream(spark, sf).select(v.spark_columns(v.QUERY_HISTORY))
     drain(spark, jobs.stream_sla(queries, seeds.workload_sla(spark), path), "sla")
-    return read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS)
+    return finished(spark, read_or_empty(spark, path, schemas.SLA_BREACHES).select(sla.BREACH_COLUMNS), path)
 
 
 def spike_sql(hours: int, factor: float) -> str:
@@ -115,7 +102,7 @@ def spike_stream(spark, sf, hours: int, factor: float) -> DataFrame:
     metering = event_stream(spark, sf).select(v.spark_columns(v.METERING))
     drain(spark, jobs.stream_spike_alert(metering, v.migration_log(spark, sf), path, hours, factor), "alerts")
     alerts = "warehouse_name STRING, window_end TIMESTAMP, baseline_hourly DOUBLE, recent_credits DOUBLE, alert_threshold DOUBLE"
-    return spark.read.schema(alerts).parquet(path)
+    return finished(spark, spark.read.schema(alerts).parquet(path), path)
 
 
 @query("stream_spike_alert", spike_sql(4, 1.5))
@@ -130,10 +117,11 @@ def stream_critical_spike_alert(spark, sf):
 
 @query(
     "stream_request_state",
-    f"""SELECT request_id, status, reviewed_by, reviewed_at, review_notes, executed_at, rollback_at FROM ({TRANSITIONS})
+    f"""SELECT request_id, status, reviewed_by, reviewed_at, review_notes, executed_at, rollback_at, illegal_moves FROM ({TRANSITIONS})
         WHERE request_id IN (SELECT request_id FROM request_events)""",
 )
 def stream_request_state(spark, sf):
     path = new_folder(spark, "stream-requests")
-    drain(spark, jobs.stream_request_state(v.request_events_of(event_stream(spark, sf)), path), "requests")
-    return jobs.current_states(spark, path, STATES)
+    events = v.request_events_of(event_stream(spark, sf))
+    drain(spark, jobs.stream_request_state(events, path), "requests")
+    return finished(spark, jobs.current_states(spark, path, jobs.request_state_schema(events)), path)

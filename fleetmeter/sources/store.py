@@ -251,11 +251,13 @@ def retention_prune(
 
 
 def _drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for day in days:
-        folder = hadoop.Path(f"{path}/day={day.isoformat()}")
-        folder.getFileSystem(conf).delete(folder, True)
+        delete_folder(spark, f"{path}/day={day.isoformat()}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def refresh(

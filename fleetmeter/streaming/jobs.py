@@ -8,20 +8,24 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from ..operators.governance import INITIAL_STATUS, state_measures
+from ..functions.measures import count_where
+from ..operators.governance import INITIAL_STATUS, is_legal_move
 from ..operators.lifecycle import latest_migrations
 from ..operators.rollups import with_cost_center
 from ..operators.sla import BREACH_KEYS, breaches, sla_measures
+from ..session import shared_dir
 from ..sources import schemas, store
 from ..sources.readers import read_or_empty
 from ..sources.store import HourlyTable
 
 LATENESS = "2 hours"
+#: Folders of the table of request states.
+REQUEST_BUCKETS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -129,26 +133,65 @@ def stream_spike_alert(metering: DataFrame, log: DataFrame, path: str, hours: in
     return spike_alerts(metering, log, hours, factor).writeStream.outputMode("append").format("parquet").option("path", path)
 
 
-def request_states(events: DataFrame) -> DataFrame:
-    """Newest state per request: associative maxima, so events may arrive in any order."""
-    return events.groupBy("request_id").agg(*state_measures("status"))
+def _state_rows(moves: DataFrame, illegal: Column, batch: int) -> DataFrame:
+    """State rows of some status events: associative maxima and a sum, so that states of one request can be merged."""
+    status = F.col("status")
+
+    def newest(which: str) -> Column:
+        return F.max(F.when(status == which, F.col("event_time")))
+
+    review = F.when(status.isin("APPROVED", "REJECTED"), F.struct("event_time", "event_id", "actor", "notes"))
+    return moves.groupBy("request_id").agg(
+        F.max(F.struct("event_time", "event_id", "status")).alias("last"), F.max(review).alias("review"),
+        newest("EXECUTED").alias("executed_at"), newest("ROLLED_BACK").alias("rollback_at"),
+        count_where(illegal).alias("illegal_moves"), F.lit(batch).cast("long").alias("batch"), F.first("bucket").alias("bucket"),
+    )
+
+
+def request_state_schema(events: DataFrame) -> StructType:
+    """The layout of the stored states, which depends on the events' types only."""
+    empty = events.sparkSession.createDataFrame([], events.schema).withColumn("bucket", F.lit(0))
+    return _state_rows(empty, F.lit(False), 0).schema
 
 
 def stream_request_state(events: DataFrame, path: str) -> DataStreamWriter:
-    """Keep request states: each micro-batch writes the changed requests to its own folder.
+    """Keep request states in a table by hash bucket; a micro-batch merges its moves into the buckets they touch.
 
-    A replayed batch overwrites its folder. The newest batch of a request holds its state (``current_states``).
+    The stream itself has no state to grow, and the table one row a request. The state a request had before a batch gives its
+    first move's predecessor, so illegal moves are counted as the batch form does while events come in order. Each row names
+    the last batch applied to it: a replayed batch skips what it did before it failed.
     """
-    use_disk_state(events.sparkSession)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    schema = request_state_schema(events)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        shared_dir(spark)
+        arrived = batch.withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(REQUEST_BUCKETS)).cast("int"))
+        touched = arrived.select("bucket").distinct()
+        old = read_or_empty(spark, path, schema).join(touched, "bucket", "left_semi").select([f.name for f in schema.fields])
+        known = old.select("request_id", F.col("last.status").alias("_stored"), F.col("batch").alias("_batch"))
+        fresh = arrived.join(known, "request_id", "left").filter(F.coalesce("_batch", F.lit(-1)) < batch_id)
+        moves = Window.partitionBy("request_id").orderBy("event_time", "event_id")
+        before = F.coalesce(F.lag("status").over(moves), F.col("_stored"), F.lit(INITIAL_STATUS))
+        new = _state_rows(fresh.withColumn("_before", before), ~is_legal_move(F.col("_before"), F.col("status")), batch_id)
+        merged = (
+            old.unionByName(new)
+            .groupBy("request_id", "bucket")
+            .agg(
+                *[F.max(c).alias(c) for c in ("last", "review", "executed_at", "rollback_at")],
+                F.sum("illegal_moves").alias("illegal_moves"), F.max("batch").alias("batch"),
+            )
+            .select([f.name for f in schema.fields])
+            .checkpoint(eager=True)  # no longer reads the files that the overwrite replaces
+        )
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
-    return request_states(events).writeStream.outputMode("update").foreachBatch(write)
+    return events.writeStream.foreachBatch(merge)
 
 
 def current_states(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    written = read_or_empty(spark, path, schema)
-    fields = [f.name for f in schema.fields if f.name not in ("request_id", "batch")]
-    newest = written.groupBy("request_id").agg(F.max_by(F.struct(*fields), "batch").alias("_state"))
-    return newest.select("request_id", "_state.*").withColumn("status", F.coalesce("status", F.lit(INITIAL_STATUS)))
+    return read_or_empty(spark, path, schema).select(
+        "request_id", F.col("last.status").alias("status"), F.col("review.actor").alias("reviewed_by"),
+        F.col("review.event_time").alias("reviewed_at"), F.col("review.notes").alias("review_notes"), "executed_at", "rollback_at",
+        "illegal_moves",
+    )

@@ -4,11 +4,12 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fleetmeter import session
-from fleetmeter.sources import schemas, store
-from fleetmeter.sources.readers import read_or_empty
+from fleetmeter.sources import schemas, seeds, store
+from fleetmeter.sources.readers import read_or_empty, resolve_source
 
 M = "warehouse_name STRING, start_time TIMESTAMP_NTZ, credits_used DECIMAL(18,2)"
 
@@ -128,6 +129,24 @@ def test_seed_only_when_empty(spark, frame, path):
     assert read_or_empty(spark, path, schemas.WORKLOAD_SLA).count() == 1
 
 
+@pytest.mark.parametrize(
+    "rows,schema,n", [(seeds.regulatory_calendar, schemas.REGULATORY_CALENDAR, 8), (seeds.region_support, schemas.REGION_SUPPORT, 18)]
+)
+def test_configuration_tables_start_with_their_seeds(spark, path, rows, schema, n):
+    assert store.seed_if_empty(spark, path, schema, rows(spark))
+    assert not store.seed_if_empty(spark, path, schema, rows(spark))
+    assert read_or_empty(spark, path, schema).count() == n
+
+
+def test_only_a_missing_source_counts_as_empty(spark, path):
+    def misspelt():
+        return spark.range(1).select("no_such_column")
+
+    assert resolve_source(spark, "no_table", lambda: spark.read.parquet(path), when_missing=schemas.REGION_SUPPORT).count() == 0
+    with pytest.raises(AnalysisException):
+        resolve_source(spark, "no_table", misspelt, when_missing=schemas.REGION_SUPPORT)
+
+
 def test_unnamed_rows_are_not_stored(spark, frame, path):
     rows = frame([("A", "2024-01-10 10:00:00", D("1.00")), (None, "2024-01-10 10:00:00", D("2.00"))], M)
     for _ in range(2):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetmeter.operators import governance, rollups, sla
-from fleetmeter.plans import stream_jobs, views
+from fleetmeter.plans import views
 from fleetmeter.sources import schemas, seeds, store
 from fleetmeter.sources.readers import read_or_empty
 from fleetmeter.streaming import jobs
@@ -101,9 +101,28 @@ def test_sla_stream_judges_closed_hours_once(spark, split_events, tmp_path):
 
 def test_request_state_stream_equals_batch(spark, split_events, tmp_path):
     path = str(tmp_path / "r")
-    run(jobs.stream_request_state(views.request_events_of(stream_of(spark, split_events)), path), tmp_path)
-    got = jobs.current_states(spark, path, stream_jobs.STATES)
-    events = views.request_events_of(spark.read.parquet(split_events))
-    requests = events.select("request_id").distinct().selectExpr("request_id", "'' AS warehouse_name", "now() AS created_at", "'' AS requested_by")
-    want = governance.request_transitions(requests, events).select(got.columns)
+    events = views.request_events_of(stream_of(spark, split_events))
+    run(jobs.stream_request_state(events, path), tmp_path)
+    got = jobs.current_states(spark, path, jobs.request_state_schema(events))
+    batch = views.request_events_of(spark.read.parquet(split_events))
+    requests = batch.select("request_id").distinct().selectExpr("request_id", "'' AS warehouse_name", "now() AS created_at", "'' AS requested_by")
+    want = governance.request_transitions(requests, batch).select(got.columns)
     assert plain(got) == plain(want)
+    assert got.filter("illegal_moves > 0").count() > 0
+    # no request, finished or not, is held by the stream itself, and the table has one row a request
+    assert not (tmp_path / "checkpoint" / "state").exists()
+    assert spark.read.parquet(path).count() == requests.count()
+
+
+def test_replayed_request_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = [("r1", 1, datetime(2024, 1, 1), "EXECUTED", "a", None), ("r1", 2, datetime(2024, 1, 2), "APPROVED", "b", "n")]
+    events = spark.createDataFrame(rows, "request_id STRING, event_id LONG, event_time TIMESTAMP_NTZ, status STRING, actor STRING, notes STRING")
+    folder = str(tmp_path / "in")
+    events.coalesce(1).write.parquet(folder)
+    for name in ("one", "two"):  # a new checkpoint replays batch 0
+        source = spark.readStream.schema(events.schema).parquet(folder)
+        run(jobs.stream_request_state(source, path), tmp_path, name)
+        got = jobs.current_states(spark, path, jobs.request_state_schema(events)).first()
+        assert (got.status, got.illegal_moves, got.reviewed_by, got.executed_at) == ("APPROVED", 2, "b", datetime(2024, 1, 1))
+
