@@ -23,9 +23,10 @@ def credit_usage(hm: DataFrame, names: Iterable[str] | DataFrame | None = None,
 
 
 def credit_totals(hm: DataFrame) -> DataFrame:
+    """Totals in descending order. Sums are decimal, so that equal totals are equal however the rows arrive."""
     return (
         hm.groupBy("warehouse_name")
-        .agg(F.sum("credits").alias("total_credits"))
+        .agg(F.sum(F.col("credits").cast("decimal(20,6)")).cast("double").alias("total_credits"))
         .orderBy(F.desc("total_credits"), "warehouse_name")
     )
 
