@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = map_slices(texts, "text", work, f"doc_id {kind}, label int, at array<int>, x array<float>")
     # a bounded sample of bounded rows: one model's training is sequential
     examples = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE).toArrow()
-    rows = [
-        (np.array(a, np.int64), np.array(x, np.float64), y)
-        for a, x, y in zip(examples["at"].to_pylist(), examples["x"].to_pylist(), examples["label"].to_pylist(), strict=True)
-    ]
+    at, x = (np.split(_values(examples[c]), np.cumsum(pc.list_value_length(examples[c]).to_numpy())[:-1]) for c in ("at", "x"))
+    rows = list(zip(at, x, examples["label"].to_pylist(), strict=True)) if len(examples) else []
     return fit(rows)
 
 
+def _values(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy()
+
+
 def scored(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from THRESHOLD on) of every row.
 
