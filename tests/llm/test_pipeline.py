@@ -72,3 +72,37 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:3] == ["doc_id", "sample", "n_pieces"] and out.count() > 0
+
+
+def test_awkward_documents_pass_every_stage(spark, sf, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(40))
+    one, two = (" ".join(f"{w}{i}" for i in range(90)) for w in ("one", "two"))
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id here at all", "en", None, 17), (None, "no id here at all", "en", None, 17),
+        (3, long, "en", "a", len(long)), (4, one + " " + passage, None, "b", None), (5, passage + " " + two, "de", "b", 3),
+        (6, "same words again", "en", "c", 16), (6, "same words again", "en", "c", 16), (7, "same words again", "fr", "c", 16), (8, " \t ", "en", "ä", 3),
+    ]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, score double, spans string"
+    docs = spark.createDataFrame([(*r, 1, 2, 0.5, "x") for r in rows], ddl)
+    kept = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        kept.append(docs.collect())
+        if n < 4:
+            assert docs.columns == [c.split()[0] for c in ddl.split(", ")]
+    ids = [sorted((r["doc_id"] for r in k), key=str) for k in kept]
+    assert ids[0] == sorted((r[0] for r in rows), key=str)  # nothing here is of bad quality
+    assert ids[1] == sorted([1, None, None, 3, 4, 5, 6], key=str)  # empty ones are one group, equal ones too; no id: no group
+    texts = {r["doc_id"]: r["text"] for r in kept[2]}
+    assert texts[4] == one and texts[5] == two and texts[3] == long and texts[1] is None
+    assert all(r["round_trip"] for r in kept[4])
+
+
+def test_empty_documents_pass_every_stage(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        assert docs.count() == 0
