@@ -31,9 +31,13 @@ from .common import map_slices
 #: Model file; any file of this format will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Samples per text, seed of the noise, and bytes of text that step at once.
-SAMPLES, SEED, STEP_BYTES = 2, 17, 4 << 20
+SAMPLES, SEED, STEP_BYTES = 2, 17, 3 << 20
 #: How improbable (as a log) a place may be to be looked at first, and a bound of the noise of 32 random bits.
-REACH, MOST_NOISE = 27.0, 22.9
+REACH, MOST_NOISE = 5.0, 22.9
+#: Units of a log-probability in exact sums, which so don't depend on what else is summed.
+FINE = 2.0**32
+#: The chunk of a vocabulary whose pieces span words: all of a text.
+WHOLE = ".+"
 #: How SentencePiece writes a space, and what stands for that mark where a text itself has it (no text holds a lone surrogate).
 SPACE, RAW = "▁", "\udfff"
 
@@ -117,7 +121,7 @@ class Vocabulary:
         """Where a text can be cut without cutting a piece: before a space after other marks, and around line ends."""
         used = [p for p, w in zip(self.pieces, self.logs, strict=True) if w > -np.inf]
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in used):
-            return re.compile(r".+", re.S)
+            return re.compile(WHOLE, re.S)
         return re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
     @cached_property
@@ -139,10 +143,28 @@ class Vocabulary:
     def chunks(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(SPACE, RAW).replace(" ", SPACE)) if text else []
 
+    def keys(self, text: str) -> list[str]:
+        """The chunks in short: one that is a space and a word as the word alone, any other after a line end."""
+        if not text:
+            return []
+        if self.words.pattern == WHOLE or "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
+            return [c[1:] if c[0] == SPACE and c[1:2] not in ("", SPACE) else "\n" + c for c in self.chunks(text)]
+        out: list[str] = []
+        for n, line in enumerate((text.replace(SPACE, RAW) if SPACE in text else text).split("\n")):
+            words = line.split(" ") if line else []
+            if n:
+                out.append("\n\n")
+                if words:
+                    words[0] = "\n" + words[0]
+            elif not words:
+                words = ["\n" + SPACE]
+            out += words
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that encoding puts in front is taken off again."""
         spelled = self.spelled
-        return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 class Lattice:
@@ -171,6 +193,7 @@ class Lattice:
         self._sum_ahead(ahead, log, here, there)
         self.log = log + ahead[there] - ahead[here]
         self.share = np.exp(self.log)
+        self.fine = np.round(self.log * FINE).astype(np.int64)
 
     def _arcs(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First arc of each place; place, length and piece (-1: bytes) of each arc. All places walk the trie together."""
@@ -256,18 +279,19 @@ class Sampler:
     """Searches the lattices of a slice of texts."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str | None], seeds: list[int], samples: int):
-        words = [vocabulary.chunks(t or "") for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = list(chain.from_iterable(words))
+        keys = [vocabulary.keys(t or "") for t in texts]
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        flat = list(chain.from_iterable(keys))
         known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        words = [k[1:] if k[0] == "\n" else SPACE + k for k in known]
         self.of = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         self.samples, self.seeds = samples, np.array(seeds, np.uint64)
         self.begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
         self.text = np.repeat(np.arange(len(texts)), counts)
         if not len(self.of):
             return
-        self.lattice = Lattice(vocabulary, list(known))
-        sizes = np.fromiter(map(len, known), np.int64, len(known))[self.of]
+        self.lattice = Lattice(vocabulary, words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))[self.of]
         ends = np.cumsum(sizes)
         # characters of the text before each word, and so the place in the text of each place of its lattice
         before = ends - sizes
@@ -306,52 +330,61 @@ class Sampler:
         order = np.argsort(words, kind="stable")
         return words[order], arcs[order]
 
-    def left_out(self, words, arcs, value, given, sample, wanted) -> dict[int, list[tuple[float, int, int]]]:
+    def _children(self, words, arcs, at, before, value, sample, least):
+        """The left-out children of some places of a dive that may beat a value per text: (text, value, word, arc) arrays.
+
+        ``before`` holds the places' log-probabilities. A child's value is below its place's log-probability less the log of
+        one minus its uniform draw, so only few need working out.
+        """
+        lat = self.lattice
+        place = lat.place[arcs[at]]
+        first, many = lat.first[place], lat.first[place + 1] - lat.first[place]
+        arc = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        owner = np.repeat(np.arange(len(at)), many)
+        bits = _mixed(np.repeat(self._hashes(words[at], place, sample), many) + lat.size[arc].astype(np.uint64)) >> np.uint64(32)
+        chance = (bits.astype(np.float64) + 0.5) * 2.0**-32
+        may = np.exp(np.minimum(before - least[self.text[words[at]]], 700.0))
+        rest = np.flatnonzero((arc != arcs[at][owner]) & (1 - chance < may[owner]))
+        owner, arc, word = owner[rest], arc[rest], words[at][owner[rest]]
+        text = self.text[word]
+        log = before[owner] + lat.log[arc]
+        child = log - np.log(np.exp(np.minimum(log - value[text], 700.0)) - np.log(chance[rest]))
+        return text, child, word, arc
+
+    def left_out(self, words, arcs, value, given, sample, wanted) -> list[list[tuple[float, int, int]]]:
         """Each text's best children that a dive left out, as (perturbed value, word, arc), ``wanted`` at most.
 
         A child other than the largest has a Gumbel value cut off at its parent's. ``value`` and ``given`` hold each text's
-        perturbed value and the log-probability of what came before the dive. A child's value can't be more than MOST_NOISE
-        above its log-probability, so places too improbable to matter are not looked at: the search goes on to less
-        probable ones until what is found beats whatever can be there.
+        perturbed value and the log-probability (in FINE units, so that sums are exact) of what came before the dive. The
+        more probable places give a value to beat; of the others those are looked at that can beat it, as noise is at most
+        MOST_NOISE.
         """
-        lat, found = self.lattice, {}
-        text = self.text[words]
-        begin = np.searchsorted(text, np.arange(len(self.seeds) + 1))
-        before, log = np.empty(len(words)), lat.log[arcs]
-        for i, (lo, hi) in enumerate(zip(begin.tolist(), begin[1:].tolist(), strict=False)):
-            if lo < hi:  # one text at a time, so that rounding doesn't depend on the others
-                before[lo] = given[i]
-                np.cumsum(log[lo : hi - 1], out=before[lo + 1 : hi])
-                before[lo + 1 : hi] += given[i]
-        floor, left = -REACH, np.zeros(len(self.seeds), bool)
-        left[text] = True
+        n, text = len(self.seeds), self.text[words]
+        sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.lattice.fine[arcs])))
+        begin = np.searchsorted(words, self.begin)
+        before = (sums[:-1] + (given - sums[begin[:-1]])[text]) / FINE
+        best: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
+        above, beat, floor = np.full(n, np.inf), np.full(n, -np.inf), -REACH
+        bottom = np.full(n, np.inf)
+        np.minimum.at(bottom, text, before)
+        left = np.isfinite(bottom)
         while left.any():
-            near = np.flatnonzero((before > floor) & left[text])
-            place = lat.place[arcs[near]]
-            first, many = lat.first[place], lat.first[place + 1] - lat.first[place]
-            arc = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            owner = np.repeat(near, many)
-            rest = np.flatnonzero(arc != arcs[owner])
-            seed = np.repeat(self._hashes(words[near], place, sample), many)[rest]
-            owner, arc = owner[rest], arc[rest]
-            log, top = before[owner] + lat.log[arc], value[text[owner]]
-            bits = _mixed(seed + lat.size[arc].astype(np.uint64)) >> np.uint64(32)
-            noise = -np.log((bits.astype(np.float64) + 0.5) * 2.0**-32)
-            child = log - np.log(np.exp(np.minimum(log - top, 700.0)) + noise)
-            order = np.lexsort((-child, text[owner]))
-            own = text[owner][order]
-            mine: dict[int, list[tuple[float, int, int]]] = {}
-            for i in order[np.arange(len(own)) - np.searchsorted(own, own) < wanted].tolist():
-                mine.setdefault(int(text[owner[i]]), []).append((float(child[i]), int(words[owner[i]]), int(arc[i])))
-            whole = np.ones(len(self.seeds), bool)
-            whole[text[before <= floor]] = False
+            # down to the floor where nothing is known yet, down to what can still beat the value that is known
+            low = np.where(np.isfinite(beat), beat - MOST_NOISE, floor)
+            at = np.flatnonzero(left[text] & (before <= above[text]) & (before > low[text]))
+            own, child, word, arc = self._children(words, arcs, at, before[at], value, sample, beat)
+            order = np.lexsort((-child, own))
+            sorted_own = own[order]
+            for i in order[np.arange(len(own)) - np.searchsorted(sorted_own, sorted_own) < wanted].tolist():
+                best[own[i]].append((float(child[i]), int(word[i]), int(arc[i])))
+            done = left & (np.isfinite(beat) | (bottom > low))
             for i in np.flatnonzero(left).tolist():
-                best = mine.get(i, [])
-                if whole[i] or (len(best) == wanted and best[-1][0] > floor + MOST_NOISE):
-                    found[i] = best
-                    left[i] = False
+                best[i] = sorted(best[i], reverse=True)[:wanted]
+                if len(best[i]) == wanted:
+                    beat[i] = best[i][-1][0]
+            above, left = low, left & ~done
             floor *= 4
-        return found
+        return best
 
     def run(self) -> list[tuple[list[Path], float]]:
         """Each text's samples, best first, and the value of the next one (-inf if there is none)."""
@@ -362,7 +395,7 @@ class Sampler:
             return [(paths, -np.inf) for paths in found]
         lat, frontier = self.lattice, [[] for _ in range(n)]
         heads = {i: (none, none) for i in range(n)}
-        at, places, given = np.arange(len(self.of)), lat.start[self.of], np.zeros(n)
+        at, places, given = np.arange(len(self.of)), lat.start[self.of], np.zeros(n, np.int64)
         for sample in range(self.samples):
             words, arcs = self.dive(at, places, sample)
             cut = np.searchsorted(words, self.begin)
@@ -370,11 +403,11 @@ class Sampler:
                 path = Path(np.concatenate((w, words[cut[i] : cut[i + 1]])), np.concatenate((a, arcs[cut[i] : cut[i + 1]])), float(value[i]))
                 path.log = float(lat.log[path.arc].sum())
                 found[i] = [path] if sample == 0 else [*found[i], path]
-            for i, mine in self.left_out(words, arcs, value, given, sample, self.samples - sample).items():
+            for i, mine in enumerate(self.left_out(words, arcs, value, given, sample, self.samples - sample)):
                 frontier[i] += [(v, sample, w, a) for v, w, a in mine]
             if sample + 1 == self.samples:
                 break
-            heads, at, places, value, given = {}, [none], [none], np.zeros(n), np.zeros(n)
+            heads, at, places, value, given = {}, [none], [none], np.zeros(n), np.zeros(n, np.int64)
             for i in range(n):
                 if not frontier[i]:
                     continue
@@ -385,7 +418,7 @@ class Sampler:
                 lo, hi = np.searchsorted(path.word, (w, w + 1))
                 cut = lo + np.searchsorted(lat.place[path.arc[lo:hi]], lat.place[a])
                 heads[i] = (np.append(path.word[:cut], w), np.append(path.arc[:cut], a))
-                given[i] = lat.log[heads[i][1]].sum()
+                given[i] = lat.fine[heads[i][1]].sum()
                 end = lat.place[a] + lat.size[a]
                 if end < lat.stop[lat.place[a]]:
                     at.append(np.array([w]))

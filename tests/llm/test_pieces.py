@@ -99,6 +99,14 @@ def test_rows_do_not_depend_on_their_company():
     assert [p[0]["ids"].tolist() for p in pieces.sample(REAL, texts, keys, samples=1)] == [a[0]["ids"].tolist() for a in alone]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n▁é", max_size=20))
+def test_keys_are_the_chunks_in_short(text):
+    for vocabulary in (TINY, REAL):
+        keys = vocabulary.keys(text)
+        assert [k[1:] if k[0] == "\n" else "▁" + k for k in keys] == vocabulary.chunks(text)
+
+
 def test_cuts_only_between_words():
     odd = pieces.Vocabulary(["<unk>", "a▁b", "a", "b", "▁"], np.array([-np.inf, -1, -1, -1, -1.0]), [0] * 256)
     assert odd.chunks("a b\na") == ["▁a▁b\na"] and TINY.chunks("a  b\na") == ["▁a", "▁▁b", "\n", "a"]
