@@ -15,7 +15,7 @@ from ..session import shared_dir
 SPACE = r"\x20\x09-\x0D"
 #: Rows, and bytes of text, that a Python task works on at once.
 SLICE_ROWS = 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

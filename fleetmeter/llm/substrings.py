@@ -8,8 +8,8 @@ that one occurrence of a k-mer stands for, joined, are its path; what leaves and
 * If every occurrence of a k-mer has one and the same path, the node doesn't branch: the whole path is repeated and becomes
   one span per occurrence, without a look at its windows.
 * Elsewhere the graph branches: a repeat begins or ends, or differs by a word. Each different path is taken once, with its
-  coordinates in one document; the windows at these coordinates are read from the text and counted, and the repeated ones go
-  back to all occurrences of the path.
+  coordinates in one document, and the windows at these coordinates are read from the text and counted. A path that occurs
+  twice is repeated whole; of one that occurs once the windows that others have are.
 
 Spans that touch or overlap are one span in the end. k-mers, paths and windows meet in joins and grouped sums only; no
 occurrences of a hot passage are gathered. k-mers, paths and windows are 64-bit hashes, paths and windows only ever compared
@@ -125,19 +125,22 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
 
 def _window_hashes(met: DataFrame) -> DataFrame:
     """The hashes of the windows at each given path's coordinates."""
+    names = ("kmer", "n", "times", "place")
 
     def work(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"kmer": [], "path": [], "n": [], "times": [], "hashes": []}
-        for text, given in zip(part.column("text").to_pylist(), part.column("given").to_pylist(), strict=True):
+        out: dict[str, list] = {name: [] for name in ("k1", "k2", *names, "hashes")}
+        columns = (part.column(c).to_pylist() for c in ("k1", "k2", "text", "given"))
+        for k1, k2, text, given in zip(*columns, strict=True):
             rolling = Rolling(words_of(text))
             for g in given:
                 at = np.arange(g["place"] >> 6, (g["place"] >> 6) + (g["place"] & 63) + 1)
-                for name in ("kmer", "path", "n", "times"):
-                    out[name].append(g[name])
-                out["hashes"].append(rolling.of(at, at + WINDOW).view(np.int64))
+                row = {"k1": k1, "k2": k2, "hashes": rolling.of(at, at + WINDOW).view(np.int64)} | {c: g[c] for c in names}
+                for name, value in row.items():
+                    out[name].append(value)
         return out
 
-    return map_slices(met, "text", work, "kmer long, path long, n long, times long, hashes array<long>")
+    schema = "k1 long, k2 long, kmer long, n long, times long, place long, hashes array<long>"
+    return map_slices(met, "text", work, schema)
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -152,27 +155,32 @@ def spans(keyed: DataFrame) -> DataFrame:
     compact = found.where("not branches").select("k1", "k2", first.alias("start"), (last + WINDOW).alias("end"))
 
     # A frequent k-mer's rows are dealt over as many salts as its count asks for; its other side is repeated per salt.
-    salt = lambda by: F.pmod(F.xxhash64(by), F.expr(f"1 + n div {SALTED}")).alias("salt")
+    salt = lambda *by: F.pmod(F.xxhash64(*by), F.expr(f"1 + n div {SALTED}")).alias("salt")
     salts = F.explode(F.expr(f"sequence(0L, n div {SALTED})")).alias("salt")
     branching = found.where("branches")
     different = branching.groupBy("kmer", "path", "n").agg(
         F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source")
     )
+    # a path that occurs twice is repeated whole, as where nothing branches
+    whole = different.where("times > 1").select("kmer", "path", salts)
+    again = (
+        branching.select("k1", "k2", "kmer", "path", "place", salt("k1")).join(whole, ["kmer", "path", "salt"])
+        .select("k1", "k2", first.alias("start"), (last + WINDOW).alias("end"))
+    )
+    # of a path that occurs once, those windows are that other paths have too
     given = different.groupBy("source.k1", "source.k2").agg(
-        F.collect_list(F.struct("kmer", "path", "n", "times", F.col("source.place").alias("place"))).alias("given")
+        F.collect_list(F.struct("kmer", "n", "times", F.col("source.place").alias("place"))).alias("given")
     )
-    windows = _window_hashes(keyed.join(given, ["k1", "k2"])).select("kmer", "path", "n", "times", F.posexplode("hashes").alias("j", "h"))
-    twice = windows.groupBy("kmer", "h", "n").agg(F.sum("times").alias("total")).where("total > 1").select("kmer", "h", salts)
-    marked = (
-        windows.select("kmer", "path", "n", "j", "h", salt("path")).join(twice, ["kmer", "h", "salt"])
-        .groupBy("kmer", "path", "n").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")).select("kmer", "path", "mask", salts)
+    windows = _window_hashes(keyed.join(given, ["k1", "k2"])).select(
+        "k1", "k2", "kmer", "n", "times", first.alias("first"), F.posexplode("hashes").alias("j", "h")
     )
-    branched = (
-        branching.select("k1", "k2", "kmer", "path", "place", salt("k1")).join(marked, ["kmer", "path", "salt"])
-        .select("k1", "k2", first.alias("at"), F.explode(F.expr("filter(sequence(0, place & 63), j -> (shiftright(mask, j) & 1) = 1)")).alias("j"))
-        .select("k1", "k2", (F.col("at") + F.col("j")).alias("start"), (F.col("at") + F.col("j") + WINDOW).alias("end"))
+    twice = windows.groupBy("kmer", "h", "n").agg(F.sum("times").alias("total")).where("total > 1").select("kmer", "h", salts)
+    start = F.col("first") + F.col("j")
+    alone = (
+        windows.where("times = 1").select("k1", "k2", "kmer", "h", start.alias("start"), salt("k1", "first"))
+        .join(twice, ["kmer", "h", "salt"]).select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"))
     )
-    return compact.union(branched).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return compact.union(again).union(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def kept_words(text: str | None, cut: list[dict] | None) -> tuple[list[bytes], int]:
