@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,15 +106,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     sample = map_slices(texts, "text", work, f"doc_id {kind}, label int, at array<int>, x array<float>")
-    # a bounded sample of bounded rows: one model's training is sequential
-    examples = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE).toArrow()
-    at, x = (np.split(_values(examples[c]), np.cumsum(pc.list_value_length(examples[c]).to_numpy())[:-1]) for c in ("at", "x"))
-    rows = list(zip(at, x, examples["label"].to_pylist(), strict=True)) if len(examples) else []
-    return fit(rows)
-
-
-def _values(lists: pa.ChunkedArray) -> np.ndarray:
-    return lists.combine_chunks().flatten().to_numpy()
+    ordered = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)  # in one partition
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            cuts = np.cumsum(pc.list_value_length(batch.column("at")).to_numpy())[:-1]
+            at, x = (np.split(batch.column(c).flatten().to_numpy(), cuts) for c in ("at", "x"))
+            rows += zip(at, x, batch.column("label").to_pylist(), strict=True) if batch.num_rows else ()
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+
+    # one model's training is sequential: one task fits it to the bounded sample, and the weights alone reach the driver
+    made = ordered.mapInArrow(learn, "weights binary").collect()
+    return np.frombuffer(bytes(made[0].weights), np.float32) if made else np.zeros(DIMENSIONS + 1, np.float32)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
