@@ -82,6 +82,22 @@ def test_awkward_rows(spark):
     assert chats.rendered(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_repeated_and_null_turn_numbers_in_bounded_parts(spark, monkeypatch):
+    rows = [(None, i % 21, "user", f"text {i}") for i in range(1500)] + [(1, None, "user", f"text {i}") for i in range(300)]
+    rows += [(2, i % 21, "user", f"text {i}") for i in range(1500)] + [(3, None, "user", f"text {i}") for i in range(300)] + rows[:200]
+    outs = []
+    for cell in (chats.CELL, 16):
+        monkeypatch.setattr(chats, "CELL", cell)
+        sizes = chats._placed(frame(spark, rows)).groupBy("key", "cell").count().collect()
+        assert max(r["count"] for r in sizes) <= 2 * cell
+        outs.append(sorted(chats.rendered(frame(spark, rows)).collect(), key=str))
+    assert outs[0] == outs[1] and max(r["n_turns"] for r in outs[0]) == chats.BLOCK
+    got, turn = joined(outs[0]), {f"text {i}": i % 21 for i in range(1500)}
+    assert {c: (n, copies) for c, (_, n, copies) in got.items()} == {2: (1500, 2), 1: (300, 2)}
+    lines = re.findall("text [0-9]+", got[2][0])
+    assert sorted(lines) == sorted(turn) and [turn[x] for x in lines] == sorted(turn.values())
+
+
 def test_no_python_on_executors(spark, sf):
     plan = queries.queries()["op10_chat_snapshots"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
