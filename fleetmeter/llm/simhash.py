@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices, words_of
 from .components import components
+from .overlap import least_rows, node
 
 SEED = 42
 #: Segments of the fingerprint, and their bits.
@@ -52,15 +53,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row; equal texts have equal fingerprints."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, keep: str | None = None) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row, and the long ``keep``; equal texts have equal fingerprints."""
+    more = [keep] if keep else []
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
 
     def work(part: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-        return {"doc_id": part.column("doc_id"), "fp": fp.view(np.int64)}
+        return {"doc_id": part.column("doc_id"), "fp": fp.view(np.int64)} | {c: part.column(c) for c in more}
 
-    return map_slices(named, "text", work, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = named.schema["doc_id"].dataType.simpleString()
+    return map_slices(named, "text", work, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in more)]))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -80,23 +83,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint zero and are linked like any other. Rows with a null id belong to their group, but
     never name it; a group of null ids only has a null component. Repeated rows stay repeated.
     """
-    rows = checkpointed(fingerprints(docs, doc_id, text, shingle))
+    return _grouped(fingerprints(docs, doc_id, text, shingle)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """``prints`` with ``root``, the least fingerprint of its group, and ``component_id``."""
+    rows = checkpointed(prints)
     named = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(named.select("fp")))
     of = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    group = of.join(names, "root").select("fp", "component_id")
-    return rows.join(group, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(of.join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` of which the one with the least id of each group stays (of rows with that id, one).
+    """The rows of ``docs`` of which the one with the least id of each group stays.
 
-    Rows without an id form no group and stay.
+    A row is told by its id and text: unlike texts of one id are judged each on its own. Of several texts with a group's least
+    id the one with the least hash stays, of its repeated rows one, by a fixed order. Rows without an id form no group and stay.
     """
-    found = near_duplicates(docs, doc_id, text, shingle)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stays = docs.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
-    return stays.unionByName(docs.where(F.col(doc_id).isNull()))
+    prints = fingerprints(docs.withColumn("_node", node(F.col(text))), doc_id, text, shingle, keep="_node")
+    return least_rows(docs, _grouped(prints).select("doc_id", F.col("_node").alias("node"), "root"), doc_id, text)

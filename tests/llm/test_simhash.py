@@ -7,8 +7,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from fleetmeter.llm import queries, simhash
+from fleetmeter.llm import overlap, queries, simhash
 from fleetmeter.llm.components import components
 
 
@@ -82,6 +83,16 @@ def test_awkward_rows(documents):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_unlike_texts_of_one_id_are_judged_each(documents):
+    r = random.Random(5)
+    near, alone, other = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    docs = documents([(3, near, "s"), (5, near, "s"), (5, alone, "s"), (5, other, "s"), (5, other, "t"), (5, other, "t")])
+    for keep in (simhash.without_near_duplicates, overlap.without_near_copies):
+        kept = sorted((x["doc_id"], x["text"]) for x in keep(docs).collect())
+        assert kept == sorted([(3, near), (5, alone), (5, other)])
+        assert len({keep(docs.orderBy(by)).where(F.col("text") == other).first()["source"] for by in ("source", F.desc("source"))}) == 1
+
+
 def test_empty_table(documents):
     docs = documents([(1, "a", "s")]).limit(0)
     assert simhash.near_duplicates(docs).collect() == [] and simhash.without_near_duplicates(docs).collect() == []
