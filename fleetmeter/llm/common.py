@@ -33,6 +33,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def least_texts(rows: DataFrame) -> DataFrame:
+    """One row per ``doc_id``, with its ``label`` and of its ``text`` values the one with the least hash."""
+    least = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return least.select("doc_id", F.col("least.text").alias("text"), "label")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder; later steps read the files and survive lost executors."""
     shared_dir(df.sparkSession)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import least_texts, map_slices
 
 #: Most labelled rows that the model is fitted on; documented bound of the sample.
 SAMPLE = 6000
@@ -90,8 +90,8 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """Fit on at most SAMPLE labelled rows that are not held out; without any, every weight is 0 and every score 0.5.
 
-    Labels other than 0 and 1 are left aside. Of repeated labels of an id the least counts; of repeated rows of an id each
-    is an example, up to twice SAMPLE examples.
+    Labels other than 0 and 1 are left aside. Of repeated labels of an id the least counts; of repeated rows of an id the text
+    with the least hash is its one example, so that no id takes the place of others.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & (remainder(F.col(doc_id)) != 0))
@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = least_texts(texts)
 
     def work(part: pa.RecordBatch) -> dict:
         rows = [_row(t) for t in part.column("text").to_pylist()]
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     sample = map_slices(texts, "text", work, f"doc_id {kind}, label int, at array<int>, x array<float>")
-    ordered = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)  # in one partition
+    ordered = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # in one partition
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, words_of
+from .common import least_texts, map_slices, words_of
 
 #: Most labelled texts that the field is fitted on, and passes over them.
 SAMPLE, EPOCHS = 3000, 6
@@ -155,12 +155,16 @@ def fit(texts: list[tuple[np.ndarray, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
-    """Fit on at most SAMPLE labelled texts, those with the least hashes of their ids; without any every line is content."""
+    """Fit on at most SAMPLE labelled texts, those with the least hashes of their ids; without any every line is content.
+
+    Of repeated rows of an id the text with the least hash is its one example.
+    """
     chosen = (
         labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id"))
         .agg(F.min(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = least_texts(texts)
 
     def work(part: pa.RecordBatch) -> dict:
         rows = [measure(t).features for t in part.column("text").to_pylist()]
@@ -171,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     kind = texts.schema["doc_id"].dataType.simpleString()
     sample = map_slices(texts, "text", work, f"doc_id {kind}, label int, lines array<int>")
     # a bounded sample of bounded rows: one model's training is sequential
-    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE).toArrow()
+    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
     unpack = lambda lines: (np.array(lines, np.int64)[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
     return fit([(unpack(x), y) for x, y in zip(got["lines"].to_pylist(), got["label"].to_pylist(), strict=True)])
 

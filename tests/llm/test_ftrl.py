@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetmeter.llm import ftrl, queries
 
@@ -66,3 +67,13 @@ def test_sample_bound(documents, spark, monkeypatch):
     docs = documents([(i, f"word{i}", "s") for i in range(200)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     assert 10 <= np.count_nonzero(ftrl.train(docs, labels)) <= 11
+
+
+def test_a_hot_id_leaves_other_labels_their_place(documents, spark, monkeypatch):
+    monkeypatch.setattr(ftrl, "SAMPLE", 20)
+    rows = [(i, "This is a line, and it ends." if i % 2 else "x&&& y%%% z***") for i in range(1, 21)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = ftrl.train(documents([(i, t, "s") for i, t in rows]), labels)
+    hot = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 != 0").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    many = ftrl.train(documents([(i, t, "s") for i, t in rows for _ in range(100 if i == hot else 1)]), labels)
+    assert once.any() and np.array_equal(once, many)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fleetmeter.llm import linecrf, queries
 
@@ -94,3 +95,13 @@ def test_content_lines():
     assert field.shape == (2, k + 2)
     assert linecrf.content_lines("A line that has words.\n\nAnd one more, it ends.", field) == ["A line that has words.", "And one more, it ends."]
     assert linecrf.content_lines("x&&& y&&&\nz&&& w%%%", field) == [] == linecrf.content_lines(None, field)
+
+
+def test_a_hot_id_leaves_other_labels_their_place(documents, spark, monkeypatch):
+    monkeypatch.setattr(linecrf, "SAMPLE", 20)
+    rows = [(i, "This is a line, and it ends." if i % 2 else "x&&& y%%% z***") for i in range(1, 21)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = linecrf.train(documents([(i, t, "s") for i, t in rows]), labels)
+    hot = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 != 0").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    many = linecrf.train(documents([(i, t, "s") for i, t in rows for _ in range(100 if i == hot else 1)]), labels)
+    assert once.any() and np.array_equal(once, many)
