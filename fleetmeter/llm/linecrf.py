@@ -8,6 +8,7 @@ texts count as content and those of bad ones as boilerplate; a line that both ki
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,10 +175,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     sample = map_slices(texts, "text", work, f"doc_id {kind}, label int, lines array<int>")
-    # a bounded sample of bounded rows: one model's training is sequential
-    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
-    unpack = lambda lines: (np.array(lines, np.int64)[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
-    return fit([(unpack(x), y) for x, y in zip(got["lines"].to_pylist(), got["label"].to_pylist(), strict=True)])
+    ordered = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # in one partition
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = _Packed()
+        for batch in batches:
+            lines = batch.column("lines")
+            packed += [(x.values.to_numpy(), y) for x, y in zip(lines, batch.column("label").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(packed).tobytes()], pa.binary())], ["field"])
+
+    # one model's training is sequential: one task fits it to the bounded sample, and the field alone reaches the driver
+    made = ordered.mapInArrow(learn, "field binary").collect()
+    return np.frombuffer(bytes(made[0].field)).reshape(2, -1) if made else fit([])
+
+
+class _Packed(list):
+    """Lines as one integer each with their label, unpacked a text at a time."""
+
+    def __iter__(self):
+        for lines, label in super().__iter__():
+            yield (lines.astype(np.int64)[:, None] >> np.arange(len(FEATURES)) & 1).astype(float), label
 
 
 def judge(text: str | None, field: np.ndarray) -> tuple[Measured, bool, float, bool]:

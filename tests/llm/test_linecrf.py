@@ -105,3 +105,18 @@ def test_a_hot_id_leaves_other_labels_their_place(documents, spark, monkeypatch)
     hot = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 != 0").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
     many = linecrf.train(documents([(i, t, "s") for i, t in rows for _ in range(100 if i == hot else 1)]), labels)
     assert once.any() and np.array_equal(once, many)
+
+
+def test_only_the_field_reaches_the_driver(documents, spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self):
+        raise AssertionError("lines reach the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refuse)
+    rows = [(i, "\n".join(["This is a line, and it ends.", "x&&& y%%% z***"][i % 2] + f" {k}" for k in range(1 + i))) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = documents([(i, t, "s") for i, t in rows])
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = linecrf.fit([(linecrf.measure(rows[i][1]).features, 1 - i % 2) for i in order])
+    assert np.allclose(linecrf.train(docs, labels), want)
