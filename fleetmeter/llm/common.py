@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..session import shared_dir
 
@@ -22,6 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that the frame doesn't have, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that Spark can't hash (maps) count as JSON."""
+    return F.xxhash64(*[
+        F.col(quoted(f.name)) if _hashable(f.dataType) else F.to_json(F.struct(F.col(quoted(f.name)))) for f in df.schema
+    ])
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT, without building an array of them; null has none."""
     led = F.regexp_replace(text, rf"^[{SPACE}]++", "")

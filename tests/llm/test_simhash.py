@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fleetmeter.llm import overlap, queries, simhash
+from fleetmeter.llm import queries, simhash
 from fleetmeter.llm.components import components
 
 
@@ -23,7 +23,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints):
+def plain_components(prints, distance=2):
     parent = {f: f for f in prints}
 
     def find(f):
@@ -34,7 +34,7 @@ def plain_components(prints):
     distinct = sorted(parent)
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= distance:
                 parent[find(a)] = find(b)
     return {f: find(f) for f in distinct}
 
@@ -87,10 +87,16 @@ def test_unlike_texts_of_one_id_are_judged_each(documents):
     r = random.Random(5)
     near, alone, other = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(3))
     docs = documents([(3, near, "s"), (5, near, "s"), (5, alone, "s"), (5, other, "s"), (5, other, "t"), (5, other, "t")])
-    for keep in (simhash.without_near_duplicates, overlap.without_near_copies):
-        kept = sorted((x["doc_id"], x["text"]) for x in keep(docs).collect())
-        assert kept == sorted([(3, near), (5, alone), (5, other)])
-        assert len({keep(docs.orderBy(by)).where(F.col("text") == other).first()["source"] for by in ("source", F.desc("source"))}) == 1
+    keep = simhash.without_near_duplicates
+    kept = sorted((x["doc_id"], x["text"]) for x in keep(docs).collect())
+    assert kept == sorted([(3, near), (5, alone), (5, other)])
+    assert len({keep(docs.orderBy(by)).where(F.col("text") == other).first()["source"] for by in ("source", F.desc("source"))}) == 1
+
+
+def test_clashing_names_and_maps(spark):
+    rows = [(1, "a b c d", {"k": 1}, 7, 8, 9), (1, "a b c d", {"k": 1}, 7, 8, 9), (2, "a b c d", {"k": 2}, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>, node int, `_row` int, times int")
+    assert [tuple(x) for x in simhash.without_near_duplicates(docs).collect()] == [rows[0]]
 
 
 def test_empty_table(documents):
@@ -98,18 +104,21 @@ def test_empty_table(documents):
     assert simhash.near_duplicates(docs).collect() == [] and simhash.without_near_duplicates(docs).collect() == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_connect_exactly_what_is_near(spark, seed):
-    r = random.Random(seed)
-    prints = {r.getrandbits(64) for _ in range(30)}
-    for f in list(prints):  # chains of one and two bits, within a segment and across segments, and near misses at three
-        for n in (1, 2, 2, 3):
+@pytest.mark.parametrize(("distance", "crowd"), [(2, 64), (2, 3), (3, 64), (3, 1), (1, 2), (0, 1), (4, 4)])
+def test_links_connect_exactly_what_is_near(spark, monkeypatch, distance, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    r = random.Random(distance)
+    prints = {r.getrandbits(64) for _ in range(20)}
+    for f in list(prints):  # chains within a segment and across segments, and near misses
+        for n in (1, 2, 2, 3, 4):
             prints.add(f := f ^ sum(1 << b for b in r.sample(range(64), n)))
+    half = r.getrandbits(32)  # a crowded segment: unlike fingerprints, and near ones among them
+    prints |= {f for _ in range(8) for g in [r.getrandbits(32) << 32 | half] for f in (g, g ^ 1 << 40, g ^ 3 << 50, g ^ 1 << 33 ^ 1)}
     prints |= {1 << 63, 0, (1 << 64) - 1}
     signed = {f - (1 << 64) if f >> 63 else f: f for f in prints}
-    found = components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()
+    found = components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance)).collect()
     root = {f: f for f in prints} | {signed[a]: signed[b] for a, b in found}
-    want = plain_components(prints)
+    want = plain_components(prints, distance)
     groups = lambda by: sorted(sorted(f for f in prints if by[f] == g) for g in set(by.values()))
     assert groups(root) == groups(want)
 
