@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmeter.llm import ftrl, mixing, overlap, pieces, substrings
+from fleetmeter.llm import ftrl, mixing, pieces, simhash, substrings
 from fleetmeter.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (80 % or more of the shingles of five words) the document with the least id."""
-    return overlap.without_near_copies(docs, width=5, percent=80)
+    """Of each group of documents whose fingerprints (three-word shingles) link at two or fewer bits the one with the least id."""
+    return simhash.without_near_duplicates(docs, shingle=3, distance=2)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
