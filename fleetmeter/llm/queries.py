@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, chunking, ftrl, linecrf, mixing, pieces, simhash, substrings, urls, warc
+from . import chats, chunking, ftrl, linecrf, mixing, pieces, simhash, spelling, substrings, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,9 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Two sampled segmentations of every whole text."""
     return pieces.segmentations(table(spark, sf, "documents"), samples=2)
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Words one edit apart, and the frequent word each stands for."""
+    return spelling.variants(table(spark, sf, "documents"))
