@@ -142,9 +142,12 @@ def rendered(log: DataFrame) -> DataFrame:
         F.first("conv_id").alias("conv_id"), F.first("n_copies").alias("n_copies"),
         F.sort_array(F.collect_set(F.struct("turn", "a", "b", "line"))).alias("lines"),
     )
+    # parts are numbered on narrow rows, before any text is there
+    stretch = F.when(F.col("size") > BLOCK, F.floor((F.col("at") - 1) / BLOCK)).otherwise(F.lit(0)).alias("stretch")
+    which = placed.select("key", F.col("cell.block").alias("block"), stretch).distinct()
     part = F.row_number().over(W.partitionBy("key").orderBy("block", "stretch")).cast("long") - 1
-    return parts.select(
-        "conv_id", part.alias("part"), F.size("lines").cast("long").alias("n_turns"), "n_copies", F.array_join("lines.line", "").alias("text")
+    return parts.join(which.select("key", "block", "stretch", part.alias("part")), ["key", "block", "stretch"]).select(
+        "conv_id", "part", F.size("lines").cast("long").alias("n_turns"), "n_copies", F.array_join("lines.line", "").alias("text")
     )
 
 

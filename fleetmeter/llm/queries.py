@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, chunking, ftrl, linecrf, mixing, pieces, simhash, spelling, substrings, urls, warc
+from . import chats, chunking, ftrl, linecrf, maintext, mixing, pieces, simhash, spelling, substrings, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     """Words one edit apart, and the frequent word each stands for."""
     return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op13_main_text")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every whole page."""
+    return maintext.main_text(table(spark, sf, "pages"))
