@@ -99,6 +99,7 @@ class _Page:
 
     def __init__(self, wanted: frozenset[int]):
         self.out: list[tuple[int, str]] = []
+        #: Pieces of text between tags, with their character references: only wanted ones are decoded.
         self.wanted, self.parts, self.stash = wanted, [], None
         self.open: list[tuple[str, int, bool, set[str]]] = []  # tag, kind, inline, names
         self.named = self.body = 0
@@ -107,7 +108,7 @@ class _Page:
     def flush(self) -> None:
         if self.parts:
             zone = NAMED if self.named else BODY if self.body else OPEN
-            if zone in self.wanted and (text := " ".join("".join(self.parts).split())):
+            if zone in self.wanted and (text := " ".join("".join(map(unescape, self.parts)).split())):
                 self.out.append((zone, text))
                 self.read |= zone == BODY
             elif zone == BODY and not self.read:
@@ -166,7 +167,7 @@ class _Page:
             m = TAG.search(html, at)
             end = m.start() if m else n
             if end > at:
-                self.parts.append(unescape(html[at:end]))
+                self.parts.append(html[at:end])
             if not m:
                 break
             at = m.end()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, chunking, ftrl, linecrf, maintext, mixing, pieces, simhash, spelling, substrings, urls, warc
+from . import chats, chunking, ftrl, linecrf, maintext, mixing, phrases, pieces, simhash, spelling, substrings, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,9 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every whole page."""
     return maintext.main_text(table(spark, sf, "pages"))
+
+
+@query("op11_phrase_collocations", phrases.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return phrases.collocations(table(spark, sf, "documents"))
