@@ -2,22 +2,22 @@
 
 Counting follows the vertical partitioning of suffix-tree builders for strings that outgrow memory. The first words of all
 suffixes are prefixes; a first pass counts them, and prefixes are put into groups whose suffixes fit a budget. A prefix that
-alone outgrows it is dealt over several groups by the words that follow. Then each group builds its own subtree of the suffixes,
+alone outgrows it is dealt over several groups by the word that follows. Then each group builds its own subtree of the suffixes,
 cut at LONGEST words, independently of all others, and reads the count of each phrase from the totals of the leaves under it.
 
-Tasks hand suffixes on as partial subtrees: sorted, with counts, compressed, one for each group; so a phrase that makes up a third
-of all text arrives as one line from each. Counts of dealt prefixes are completed by a grouped sum. Everything is exact and on
-words, not on hashes; hashes only choose groups.
+Tasks hand suffixes on as partial subtrees: sorted leaves with counts and the words they are made of, compressed, one for each
+group; so a phrase that makes up a third of all text arrives as one leaf from each. A group whose partial subtrees still have many
+times the budget of leaves (two words that very many different ones follow) is dealt again, by the third word; only then the
+counts of its two-word phrases are completed by a grouped sum. Everything is exact and on words, not on hashes; hashes only choose
+groups.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,69 +32,61 @@ from .common import checkpointed, quoted, slices
 LONGEST = 3
 #: Least occurrences of a candidate, share in percent by which a longer one makes it redundant, and rows of a language.
 LEAST, SHARE, TOP = 10, 50, 2000
-#: Suffixes of a group, at most about; its subtree and its partial subtrees are held by one task.
+#: Suffixes of a group, at most about; its subtree is held by one task.
 BUDGET = 1 << 20
+#: Times the budget that the leaves of a group's partial subtrees may be before it is dealt again.
+FULL = 8
 #: Suffixes of a group where the corpus is small and there are tasks enough; only the work is dealt otherwise.
 SMALL = 1 << 16
 #: Buckets that prefixes are hashed to, for each group that the corpus needs; groups are runs of buckets.
 FINE = 8
-#: Different suffixes or words a task holds before it hands them on.
-HELD = 400_000
-CUT = re.compile(r"[.,;:!?\x0A-\x0D]")
-WORDS = re.compile(r"[^\x20\x09]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Parts the words of a line; no word has it. Below it are controls that words can have.
-GAP, BELOW = " ", re.compile(r"[\x00-\x08\x0E-\x1F]")
-
-
-def pieces(text: str | None) -> Iterator[list[str]]:
-    """The words of each piece of a text; a text without words has none."""
-    lower = (text or "").lower() if (text or "").isascii() else text.translate(LOWER)
-    for piece in CUT.split(lower):
-        if words := WORDS.findall(piece):
+#: Different words, and suffixes, that a task holds before it hands them on; words are numbered with 21 bits.
+HELD_WORDS, HELD = 400_000, 3 << 20
+NUMBER = 21
+#: Pieces end at these; the words of a piece are split at space and tab.
+CUT = bytes.maketrans(b".,;:!?\x0A\x0B\x0C\x0D", b"\n" * 10)
+#: Parts the words of a phrase; no word has it.
+GAP = " "
+
+
+def pieces(text: str | None) -> Iterator[list[bytes]]:
+    """The words of each piece of a text, A-Z lower-cased, as UTF-8; a text without words has none."""
+    for piece in (text or "").encode("utf-8", "surrogatepass").lower().translate(CUT).split(b"\n"):
+        if words := piece.split():
             yield words
 
 
-def _bucket(lang: str, word: str) -> int:
-    return zlib.crc32(f"{lang}\n{word}".encode("utf-8", "surrogatepass"))
+def _bucket(lang: str, word: bytes) -> int:
+    return zlib.crc32(word, zlib.crc32(f"{lang}\n".encode()))
 
 
 def _named(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")).alias("lang"), F.col(quoted(text)).alias("text"))
 
 
-def _tallied(named: DataFrame, count, hand_on, schema: pa.Schema, ddl: str) -> DataFrame:
-    """Rows that ``hand_on`` makes of the counts that ``count`` gathers, whenever a task holds HELD of them."""
+def word_counts(named: DataFrame) -> DataFrame:
+    """``lang``, ``phrase`` (a word) and ``f`` of all words."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+    def hand_on(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            words = [w.decode("utf-8", "surrogatepass") for w in counts]
+            yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    count(held.setdefault(lang, Counter()), text)
-                    if sum(map(len, held.values())) > HELD:
-                        yield from hand_on(held, schema)
+                    count = held.setdefault(lang, Counter()).update
+                    for words in pieces(text):
+                        count(words)
+                    if sum(map(len, held.values())) > HELD_WORDS:
+                        yield from hand_on(held)
                         held = {}
-        yield from hand_on(held, schema)
-
-    return named.mapInArrow(run, ddl)
-
-
-def word_counts(named: DataFrame) -> DataFrame:
-    """``lang``, ``phrase`` (a word) and ``f`` of all words."""
+        yield from hand_on(held)
 
-    def count(held: Counter, text: str | None) -> None:
-        for words in pieces(text):
-            held.update(words)
-
-    def hand_on(held: dict[str, Counter], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            columns = [pa.array([lang] * len(counts)), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
-            yield pa.record_batch(columns, schema=schema)
-
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-    rows = _tallied(named, count, hand_on, schema, "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return named.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 class Groups:
@@ -104,7 +96,7 @@ class Groups:
     each BUDGET of words in the corpus.
     """
 
-    def __init__(self, loads: np.ndarray, heavy: dict[tuple[str, str], int], budget: int):
+    def __init__(self, loads: np.ndarray, heavy: dict[tuple[str, bytes], int], budget: int):
         self.n = len(loads)
         group, used, self.of = 0, 0, np.zeros(len(loads), np.int64)
         for bucket, load in enumerate(loads.tolist()):
@@ -119,17 +111,75 @@ class Groups:
             group += parts
         self.count = group
 
-    def group(self, lang: str, line: str) -> int:
-        first, _, rest = line.partition(GAP)
-        if dealt := self.heavy.get((lang, first)):
-            return dealt[0] + zlib.crc32(rest.encode("utf-8", "surrogatepass")) % dealt[1]
-        return int(self.of[_bucket(lang, first) % self.n])
+    def groups(self, lang: str, words: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The group of each suffix, given by the numbers (from 1) of its first and second word."""
+        own, base, parts = (np.zeros(len(words) + 1, np.int64) for _ in range(3))
+        for i in np.unique(first).tolist():
+            word = words[i - 1]
+            if dealt := self.heavy.get((lang, word)):
+                base[i], parts[i] = dealt
+            else:
+                own[i] = self.of[_bucket(lang, word) % self.n]
+        out = own[first]
+        heavy = parts[first] > 0
+        if heavy.any():
+            crc = np.array([0, *map(zlib.crc32, words)], np.int64)
+            out[heavy] = base[first[heavy]] + crc[second[heavy]] % parts[first[heavy]]
+        return out
+
+
+class Leaves:
+    """Suffixes of up to LONGEST words and their counts; words are numbered from 1, and 0 is none."""
+
+    def __init__(self, words: list[bytes], path: np.ndarray, times: np.ndarray):
+        self.words, self.path, self.times = words, path, times
+
+    def packed(self, which: np.ndarray) -> tuple[bytes, bytes]:
+        """Some leaves: the words they have, and numbers within these and counts, by bytes of equal weight."""
+        path = self.path[:, which]
+        used = np.unique(path)
+        used = used[used > 0]
+        number = np.zeros(len(self.words) + 1, np.uint32)
+        number[used] = np.arange(1, len(used) + 1)
+        planes = np.concatenate([number[path].ravel(), self.times[which].astype(np.uint64).view(np.uint32)])
+        packer = zstandard.ZstdCompressor(level=3)
+        return packer.compress(b"\n".join([self.words[i - 1] for i in used.tolist()])), packer.compress(planes.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+    @classmethod
+    def unpacked(cls, words: bytes, numbers: bytes) -> Leaves:
+        unpack = zstandard.ZstdDecompressor()
+        planes = np.ascontiguousarray(np.frombuffer(unpack.decompress(numbers), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        n = len(planes) // (LONGEST + 2)
+        return cls(unpack.decompress(words).split(b"\n"), planes[: LONGEST * n].reshape(LONGEST, n).astype(np.int64), planes[LONGEST * n :].view(np.uint64).astype(np.int64))
+
+
+def summed(path: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves in order, equal ones as one with their total."""
+    order = np.lexsort(path[::-1])
+    path, times = path[:, order], times[order]
+    starts = np.flatnonzero(np.concatenate(([True], (path[:, 1:] != path[:, :-1]).any(axis=0)))) if len(times) else order
+    return path[:, starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
+def subtree_counts(path: np.ndarray, times: np.ndarray, least: int, partial: bool = False) -> Iterator[tuple[list[int], int]]:
+    """Word numbers and counts of the phrases of two and more words in a subtree with ordered leaves.
+
+    The leaves under a phrase are neighbours; its count is their total. Counts under ``least`` are left out, but not of phrases
+    whose leaves are in several subtrees (``partial``: all shorter than LONGEST).
+    """
+    for depth in range(2, LONGEST + 1):
+        starts = np.flatnonzero(np.concatenate(([True], (path[:depth, 1:] != path[:depth, :-1]).any(axis=0)))) if len(times) else np.zeros(0, np.int64)
+        if not len(starts):
+            continue
+        totals = np.add.reduceat(times, starts)
+        good = (path[depth - 1, starts] > 0) & ((totals >= least) | (partial and depth < LONGEST))
+        yield from zip(path[:depth, starts[good]].T.tolist(), totals[good].tolist(), strict=True)
 
 
 def grouped(words: DataFrame, budget: int, total: int) -> Groups:
     """Groups for the prefixes counted in ``words``, ``total`` in all."""
     n = FINE * max(1, -(-total // budget))
-    heavy = {(r["lang"], r["phrase"]): r["f"] for r in words.where(F.col("f") > budget).toLocalIterator()}
+    heavy = {(r["lang"], r["phrase"].encode("utf-8", "surrogatepass")): r["f"] for r in words.where(F.col("f") > budget).toLocalIterator()}
     bucket = F.pmod(F.crc32(F.encode(F.concat("lang", F.lit("\n"), "phrase"), "utf-8")), F.lit(n)).alias("bucket")
     loads = np.zeros(n, np.int64)
     for r in words.where(F.col("f") <= budget).groupBy(bucket).agg(F.sum("f").alias("f")).toLocalIterator():
@@ -138,89 +188,124 @@ def grouped(words: DataFrame, budget: int, total: int) -> Groups:
 
 
 def partial_subtrees(named: DataFrame, groups: Groups) -> DataFrame:
-    """``group``, ``lang`` and ``leaves``: sorted suffixes of a task with their counts, compressed."""
+    """``group``, ``lang``, ``size``, ``words`` and ``leaves``: the suffixes of a task that belong to a group, and how many."""
     known = named.sparkSession.sparkContext.broadcast(groups)
+    schema = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("size", pa.int64()), ("words", pa.binary()), ("leaves", pa.binary())])
+
+    def hand_on(lang: str, number: dict[bytes, int], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not ids:
+            return
+        words = sorted(number)  # similar words side by side, for the packer
+        rank = np.zeros(len(words) + 1, np.int64)
+        rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words)) + 1] = np.arange(1, len(words) + 1)
+        flat = rank[np.concatenate([*ids, np.full(LONGEST, -1, np.int32)]).astype(np.int64) + 1]
+        key, going = np.zeros(len(flat) - LONGEST, np.int64), flat[:-LONGEST] > 0
+        for k in range(LONGEST):  # a suffix ends with its piece
+            at = flat[k : len(flat) - LONGEST + k]
+            going = going & (at > 0)
+            key = (key << NUMBER) | np.where(going, at, 0)
+        key, times = np.unique(key[key > 0], return_counts=True)
+        path = np.stack([(key >> (NUMBER * (LONGEST - 1 - k))) & ((1 << NUMBER) - 1) for k in range(LONGEST)])
+        leaves, group = Leaves(words, path, times), known.value.groups(lang, words, path[0], path[1])
+        order = np.argsort(group, kind="stable")
+        for which in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            packed = leaves.packed(which)
+            columns = [pa.array([int(group[which[0]])]), pa.array([lang]), pa.array([len(which)]), *(pa.array([p]) for p in packed)]
+            yield pa.record_batch(columns, schema=schema)
 
-    def count(held: Counter, text: str | None) -> None:
-        for words in pieces(text):
-            held.update([GAP.join(words[i : i + LONGEST]) for i in range(len(words))])
-
-    def hand_on(held: dict[str, Counter], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for lang, counts in held.items():
-            dealt: dict[int, list[str]] = {}
-            for line in sorted(counts):
-                dealt.setdefault(known.value.group(lang, line), []).append(line)
-            counts_of = {g: np.fromiter((counts[x] for x in lines), np.int64, len(lines)) for g, lines in dealt.items()}
-            packed = [packer.compress("\n".join(lines).encode("utf-8", "surrogatepass")) for lines in dealt.values()]
-            numbers = [packer.compress(counts_of[g].tobytes()) for g in dealt]
-            yield pa.record_batch([pa.array(list(dealt), pa.int64()), pa.array([lang] * len(dealt)), pa.array(packed), pa.array(numbers)], schema=schema)
-
-    schema = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("leaves", pa.binary()), ("times", pa.binary())])
-    return _tallied(named, count, hand_on, schema, "group long, lang string, leaves binary, times binary")
-
-
-def subtree_counts(lines: list[str], times: list[int], least: int, partial: set[str]) -> Iterator[tuple[str, int]]:
-    """Phrases of two and more words and their counts, from the sorted leaves of a subtree.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[defaultdict, list[np.ndarray]]] = {}
+        many = 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if lang not in held:
+                        held[lang] = (defaultdict(), [])
+                        held[lang][0].default_factory = held[lang][0].__len__
+                    number, ids = held[lang]
+                    found: list[int] = []
+                    for words in pieces(text):
+                        found.extend(map(number.__getitem__, words))
+                        found.append(-1)
+                        if len(number) > HELD_WORDS:  # also within a very long text: a piece is never cut
+                            ids.append(np.array(found, np.int32))
+                            yield from hand_on(lang, number, ids)
+                            number.clear()
+                            ids.clear()
+                            found = []
+                    if found:
+                        ids.append(np.array(found, np.int32))
+                        many += len(found)
+                if many > HELD:
+                    for lang, (number, ids) in held.items():
+                        yield from hand_on(lang, number, ids)
+                    held, many = {}, 0
+        for lang, (number, ids) in held.items():
+            yield from hand_on(lang, number, ids)
+
+    return named.mapInArrow(run, "group long, lang string, size long, words binary, leaves binary")
+
+
+def dealt_again(parts: DataFrame, budget: int) -> DataFrame:
+    """``parts`` with ``partial``: groups with too many leaves are cut by the third word."""
+    full = parts.groupBy("group").agg(F.sum("size").alias("size")).where(F.col("size") > FULL * budget)
+    # one entry for each FULL budgets of leaves in the corpus at most
+    cuts = {r["group"]: -(-r["size"] // (FULL * budget)) for r in full.toLocalIterator()}
+    none = parts.withColumns({"part": F.lit(0).cast("long"), "partial": F.lit(False)})
+    if not cuts:
+        return none
+    known = parts.sparkSession.sparkContext.broadcast(cuts)
+    schema = pa.schema([
+        ("group", pa.int64()), ("lang", pa.string()), ("size", pa.int64()), ("words", pa.binary()), ("leaves", pa.binary()), ("part", pa.int64()), ("partial", pa.bool_()),
+    ])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                leaves = Leaves.unpacked(r["words"], r["leaves"])
+                crc = np.array([0, *map(zlib.crc32, leaves.words)], np.int64)
+                part = crc[leaves.path[LONGEST - 1]] % known.value[r["group"]]
+                order = np.argsort(part, kind="stable")
+                for which in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    row = [r["group"], r["lang"], len(which), *leaves.packed(which), int(part[which[0]]), True]
+                    yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    The leaves under a phrase are neighbours; its count is their total. Counts under ``least`` are left out, but for those under a
-    first word of ``partial``, which other groups complete.
-    """
-    path: list[str] = []
-    totals: list[int] = []
-
-    def shut(depth: int) -> Iterator[tuple[str, int]]:
-        while len(path) > depth:
-            n = totals.pop()
-            if len(path) > 1 and (n >= least or path[0] in partial):
-                yield GAP.join(path), n
-            path.pop()
-            if totals:
-                totals[-1] += n
-
-    for line, n in zip(lines, times, strict=True):
-        words = line.split(GAP)
-        shared = 0
-        while shared < min(len(path), len(words)) and path[shared] == words[shared]:
-            shared += 1
-        yield from shut(shared)
-        path += words[shared:]
-        totals += [0] * (len(words) - shared)
-        totals[-1] += n
-    yield from shut(0)
+    again = F.col("group").isin(list(cuts))
+    ddl = "group long, lang string, size long, words binary, leaves binary, part long, partial boolean"
+    return none.where(~again).union(parts.where(again).mapInArrow(cut, ddl))
 
 
 def phrase_counts(named: DataFrame, words: DataFrame, least: int, budget: int) -> DataFrame:
     """``lang``, ``phrase`` and ``f`` of all phrases of two to LONGEST words that occur ``least`` times or more."""
     spread = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = words.agg(F.sum("f")).first()[0] or 0
-    groups = grouped(words, max(1, min(budget, max(SMALL, total // spread))), total)
-    dealt: dict[str, set[str]] = {}
-    for lang, word in groups.heavy:
-        dealt.setdefault(lang, set()).add(word)
-    heavy = named.sparkSession.sparkContext.broadcast(dealt)
+    budget = max(1, min(budget, max(SMALL, total // spread)))
+    parts = checkpointed(partial_subtrees(named, grouped(words, budget, total)))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def build(table: pa.Table) -> pa.Table:
-        unpack, by_lang, odd = zstandard.ZstdDecompressor(), {}, set()
-        for lang, leaves, times in zip(*(table.column(c).to_pylist() for c in ("lang", "leaves", "times")), strict=True):
-            total = by_lang.setdefault(lang, Counter())
-            joined = unpack.decompress(leaves).decode("utf-8", "surrogatepass")
-            if BELOW.search(joined):
-                odd.add(lang)
-            lines = joined.split("\n")
-            for line, n in zip(lines, np.frombuffer(unpack.decompress(times), np.int64).tolist(), strict=True):
-                total[line] += n
-        out: list[pa.RecordBatch] = []
-        for lang, total in by_lang.items():
-            # by words; a plain sort does the same unless a word has a character below the gap
-            lines = sorted(total, key=lambda x: x.split(GAP)) if lang in odd else sorted(total)
-            found = list(subtree_counts(lines, [total[x] for x in lines], least, heavy.value.get(lang, set())))
-            columns = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
-            out.append(pa.record_batch(columns, schema=schema))
+        langs, out = table.column("lang").to_pylist(), []
+        for lang in dict.fromkeys(langs):
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            paths, times, held = [], [], 0
+            for i in (i for i, x in enumerate(langs) if x == lang):
+                leaves = Leaves.unpacked(table.column("words")[i].as_py(), table.column("leaves")[i].as_py())
+                own = np.concatenate(([0], np.fromiter(map(number.__getitem__, leaves.words), np.int64, len(leaves.words)) + 1))
+                paths.append(own[leaves.path])
+                times.append(leaves.times)
+                held += len(leaves.times)
+                if held > 2 * budget:
+                    path, n = summed(np.concatenate(paths, axis=1), np.concatenate(times))
+                    paths, times, held = [path], [n], 0
+            path, n = summed(np.concatenate(paths, axis=1), np.concatenate(times))
+            known = [w.decode("utf-8", "surrogatepass") for w in number]
+            found = list(subtree_counts(path, n, least, table.column("partial")[0].as_py()))
+            lines = [GAP.join([known[i - 1] for i in p]) for p, _ in found]
+            out.append(pa.record_batch([pa.array([lang] * len(lines), pa.string()), pa.array(lines, pa.string()), pa.array([f for _, f in found], pa.int64())], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
-    trees = partial_subtrees(named, groups).groupBy("group").applyInArrow(build, "lang string, phrase string, f long")
+    trees = dealt_again(parts, budget).groupBy("group", "part").applyInArrow(build, "lang string, phrase string, f long")
     return trees.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

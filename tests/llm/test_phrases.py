@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from compare import difference, duck
 from hypothesis import given, settings
@@ -52,11 +53,11 @@ def test_sql(spark, sf):
     assert difference(queries.queries()["op11_phrase_collocations"](spark, sf), duck(sf), queries.oracle_sql()["op11_phrase_collocations"]) is None
 
 
-@pytest.mark.parametrize(("budget", "held"), [(1 << 20, 400_000), (40, 50), (1, 10)])
-def test_groups_of_any_size(spark, monkeypatch, budget, held):
-    """Small budgets deal most prefixes over several groups."""
-    monkeypatch.setattr(phrases, "SMALL", 1)
-    monkeypatch.setattr(phrases, "HELD", held)
+@pytest.mark.parametrize(("budget", "held", "full"), [(1 << 20, 400_000, 8), (40, 50, 8), (1, 10, 1), (3, 3, 1)])
+def test_groups_of_any_size(spark, monkeypatch, budget, held, full):
+    """Small budgets deal most prefixes over several groups, and full groups again."""
+    for name, value in (("SMALL", 1), ("HELD", held), ("HELD_WORDS", held), ("FULL", full)):
+        monkeypatch.setattr(phrases, name, value)
     r = random.Random(budget)
     rows = []
     for lang in ("en", "de", None):
@@ -73,12 +74,23 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=3).map(" ".join), max_size=30))
-def test_totals_of_leaves(lines):
-    leaves = Counter(lines)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=3), max_size=30), st.booleans())
+def test_totals_of_leaves(leaves, partial):
     want = Counter()
-    for x, n in leaves.items():
-        w = x.split()
-        want.update({" ".join(w[:k]): n for k in range(2, len(w) + 1)})
-    order = sorted(leaves)
-    assert dict(phrases.subtree_counts(order, [leaves[x] for x in order], 1, set())) == dict(want)
+    for x in leaves:
+        want.update(tuple(x[:k]) for k in range(2, len(x) + 1))
+    want = {p: n for p, n in want.items() if n >= 2 or partial and len(p) == 2}
+    path = np.array([x + [0] * (3 - len(x)) for x in leaves], np.int64).reshape(-1, 3).T
+    found = phrases.subtree_counts(*phrases.summed(path, np.ones(len(leaves), np.int64)), 2, partial)
+    assert {tuple(p): n for p, n in found} == want
+
+
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=3).filter(lambda b: b"\n" not in b), min_size=1, max_size=3), min_size=1, max_size=9))
+def test_leaves_are_packed_whole(leaves):
+    words = sorted({w for x in leaves for w in x})
+    path = np.array([[words.index(w) + 1 for w in x] + [0] * (3 - len(x)) for x in leaves], np.int64).T
+    times = np.arange(1, len(leaves) + 1) * 10**10
+    which = np.arange(0, len(leaves), 2)
+    got = phrases.Leaves.unpacked(*phrases.Leaves(words, path, times).packed(which))
+    read = [tuple(got.words[i - 1] for i in p if i) for p in got.path.T.tolist()]
+    assert read == [tuple(leaves[i]) for i in which] and got.times.tolist() == times[which].tolist()
