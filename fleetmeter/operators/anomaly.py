@@ -77,9 +77,7 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
 def calendar_suppression(anomalies: DataFrame, calendar: DataFrame, drop: bool = False) -> DataFrame:
     """Mark (or with ``drop`` remove) anomalies inside a suppressing calendar window that names their warehouse."""
     suppressing = calendar.filter(F.coalesce("suppress_anomaly", F.lit(False)))
-    marked = with_calendar_windows(anomalies, "day_ts", suppressing, spread_by="warehouse_name").withColumn(
-        "suppressed", F.coalesce(F.size("_windows") > 0, F.lit(False))
-    )
+    marked = with_calendar_windows(anomalies, "day_ts", suppressing).withColumn("suppressed", F.col("_windows") > 0)
     if drop:
         return marked.filter(~F.col("suppressed")).select(anomalies.columns)
     return marked.select(*anomalies.columns, "suppressed")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
-from ..functions.joins import join_spread
+from ..functions.intervals import with_cover
 from ..functions.measures import count_where
 from ..functions.times import instant
 from ..sources import seeds
@@ -120,33 +120,15 @@ def state_measures(status: str) -> list[Column]:
     ]
 
 
-def with_calendar_windows(rows: DataFrame, day: str, calendar: DataFrame, spread_by: str) -> DataFrame:
-    """``rows`` with ``_windows``: the calendar windows that cover the row's day and warehouse, or NULL or none.
+def with_calendar_windows(rows: DataFrame, day: str, calendar: DataFrame) -> DataFrame:
+    """``rows`` with ``_windows`` and ``_first``: how many calendar windows cover the row's day and warehouse, and the first by name.
 
-    Windows are folded per calendar month they touch, one row a month, so the join has an equality, multiplies nothing and
-    needs no bound on the days; whether a window covers the row is settled on the row's own short list.
+    A window is for the listed warehouses, or for everyone (``ALL``, or no list).
     """
-    months = F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("INTERVAL 1 MONTH"))
     everyone = F.upper(F.trim("affected_warehouses")) == "ALL"
-    names = F.when(~everyone, F.transform(F.split("affected_warehouses", ","), lambda name: F.trim(name)))
-    by_month = (
-        calendar.filter(F.col("start_date") <= F.col("end_date"))
-        .select(F.explode(months).alias("_month"), F.struct("event_name", "start_date", "end_date", names.alias("names")).alias("_window"))
-        .groupBy("_month")
-        .agg(F.collect_list("_window").alias("_candidates"))
-    )
-    date_ = F.to_date(day)
-
-    def covers(w: Column) -> Column:
-        listed = F.coalesce(w["names"].isNull() | F.array_contains(w["names"], F.col("warehouse_name")), F.lit(False))
-        return (date_ >= w["start_date"]) & (date_ <= w["end_date"]) & listed
-
-    keyed = rows.withColumn("_month", F.trunc(date_, "month"))
-    return (
-        join_spread(keyed, by_month, ["_month"], spread_by, "left")
-        .withColumn("_windows", F.filter("_candidates", covers))
-        .drop("_month", "_candidates")
-    )
+    listed = F.when(~everyone, F.transform(F.split("affected_warehouses", ","), lambda name: F.trim(name)))
+    windows = calendar.select("event_name", "start_date", "end_date", listed.alias("_listed"))
+    return with_cover(rows, windows, "warehouse_name", "_listed", F.to_date(day), "start_date", "end_date", "event_name")
 
 
 def active_blackouts(calendar: DataFrame, as_of: str | datetime) -> DataFrame:
@@ -163,11 +145,10 @@ def blackout_violations(requests: DataFrame, calendar: DataFrame) -> DataFrame:
     executed = requests.filter(F.col("executed_at").isNotNull()).select("request_id", "warehouse_name", "executed_at")
     blackouts = calendar.filter(F.col("event_type") == "BLACKOUT")
     return (
-        with_calendar_windows(executed, "executed_at", blackouts, spread_by="request_id")
-        .filter(F.size("_windows") > 0)
+        with_calendar_windows(executed, "executed_at", blackouts)
+        .filter(F.col("_windows") > 0)
         .select(
-            "request_id", "warehouse_name", "executed_at", F.size("_windows").cast("long").alias("blackout_windows"),
-            F.array_min("_windows.event_name").alias("first_window"),
+            "request_id", "warehouse_name", "executed_at", F.col("_windows").alias("blackout_windows"), F.col("_first").alias("first_window")
         )
     )
 
