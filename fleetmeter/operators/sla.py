@@ -1,7 +1,7 @@
 """SLA breach detection and reports.
 
-The hourly figures depend only on (warehouse, hour). They are aggregated first and the SLA patterns then match the
-rolled-up rows: a pattern never meets a raw query.
+The hourly figures depend only on (warehouse, hour). They are aggregated first; SLA patterns match distinct warehouse names, and
+what matches meets the rolled-up hours by name: a pattern never meets a raw query.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import sla_severity
 from ..functions.measures import count_where, ratio, seconds
+from ..functions.patterns import matched
 from ..functions.times import hour_of, last
 
 BREACH_KEYS = ["warehouse_name", "workload_class", "breach_window", "breach_type"]
 BREACH_COLUMNS = [
     "warehouse_name", "workload_class", "breach_type", "sla_threshold", "actual_value", "breach_window", "severity",
 ]
-#: Most active rules a detection takes.
-MOST_RULES = 1000
 #: breach type -> (hourly measure, SLA column that limits it)
 BREACH_TYPES = {
     "LATENCY": ("p95_sec", "max_p95_latency_sec"),
@@ -49,34 +48,25 @@ def sla_hours(queries: DataFrame, as_of: str | datetime, hours: float = 2) -> Da
 def breaches(hours: DataFrame, sla: DataFrame, *breach_types: str) -> DataFrame:
     """Rolled-up hours above the threshold of an active SLA whose LIKE pattern matches the warehouse.
 
-    The rules are a short catalogue (at most MOST_RULES, checked): each becomes an expression with a constant pattern, and
-    every hour is judged where it lies, without a join.
+    Any number of rules: patterns find warehouse names through an index (``functions/patterns.py``), and hours their rules by
+    name. A warehouse with very many hours is the large side of that join, which adaptive execution splits.
     """
     limits = [BREACH_TYPES[t][1] for t in breach_types]
     rules = (
         sla.filter(F.col("is_active") & F.col("warehouse_pattern").isNotNull())
         .select("workload_class", "warehouse_pattern", sla_severity().alias("severity"), *[F.col(c).cast("double").alias(c) for c in limits])
         .distinct()
-        .limit(MOST_RULES + 1)
-        .collect()
     )
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} active SLA rules")
-
-    def breach(rule, kind: str) -> Column:
-        measure, limit = F.col(BREACH_TYPES[kind][0]), F.lit(rule[BREACH_TYPES[kind][1]])
-        found = F.struct(
-            F.lit(rule.workload_class).alias("workload_class"), F.lit(kind).alias("breach_type"), limit.cast("double").alias("sla_threshold"),
-            measure.cast("double").alias("actual_value"), F.lit(rule.severity).alias("severity"),
-        )
-        return F.when(F.col("warehouse_name").like(rule.warehouse_pattern) & (measure > limit), found)
+    of_warehouse = matched(hours, "warehouse_name", rules, "warehouse_pattern")
 
-    shape = (
-        "array<struct<workload_class:string,breach_type:string,sla_threshold:double,actual_value:double,severity:string>>"
-    )
-    judged = F.array_compact(F.array(*[breach(rule, kind) for rule in rules for kind in breach_types]).cast(shape))
-    # two patterns of one class may both match
-    return hours.select("warehouse_name", "breach_window", F.inline(F.array_distinct(judged))).select(BREACH_COLUMNS)
+    def breach(kind: str) -> Column:
+        measure, limit = F.col(BREACH_TYPES[kind][0]), F.col(BREACH_TYPES[kind][1])
+        found = F.struct(F.lit(kind).alias("breach_type"), limit.alias("sla_threshold"), measure.cast("double").alias("actual_value"))
+        return F.when(measure > limit, found)
+
+    judged = F.inline(F.array_compact(F.array(*[breach(kind) for kind in breach_types])))
+    found = hours.join(of_warehouse, "warehouse_name").select("warehouse_name", "breach_window", "workload_class", "severity", judged)
+    return found.select(BREACH_COLUMNS).distinct()  # two patterns of one class may both match
 
 
 def sla_latency_breaches(queries: DataFrame, sla: DataFrame, as_of: str | datetime, hours: float = 2) -> DataFrame:
@@ -95,7 +85,7 @@ def sla_error_rate_breaches(queries: DataFrame, sla: DataFrame, as_of: str | dat
 
 
 def detect_sla_breaches(queries: DataFrame, sla: DataFrame, as_of: str | datetime, hours: float = 2) -> DataFrame:
-    """The scheduled detection: latency and queue breaches from one scan."""
+    """The scheduled detection: latency and queue breaches from one rollup."""
     return breaches(sla_hours(queries, as_of, hours), sla, "LATENCY", "QUEUE")
 
 
