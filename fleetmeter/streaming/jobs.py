@@ -18,14 +18,11 @@ from ..operators.governance import INITIAL_STATUS, is_legal_move
 from ..operators.lifecycle import latest_migrations
 from ..operators.rollups import with_cost_center
 from ..operators.sla import BREACH_KEYS, breaches, sla_measures
-from ..session import shared_dir
 from ..sources import schemas, store
-from ..sources.readers import read_or_empty
+from ..sources.segments import SegmentLog
 from ..sources.store import HourlyTable
 
 LATENESS = "2 hours"
-#: Folders of the table of request states.
-REQUEST_BUCKETS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -94,11 +91,15 @@ def stream_sla(queries: DataFrame, sla: DataFrame, path: str) -> DataStreamWrite
     hours = by_hour(queries, "start_time", sla_measures()).withColumnRenamed("hour_ts", "breach_window")
 
     def record(batch: DataFrame, _: int) -> None:
-        closed = batch.withColumn("breach_window", F.col("breach_window").cast("timestamp_ntz"))
-        found = breaches(closed, sla, "LATENCY", "QUEUE").select(
-            "*", F.current_timestamp().alias("detected_at"), F.lit(False).alias("acknowledged")
-        )
-        store.merge_insert_only(batch.sparkSession, path, schemas.SLA_BREACHES, found, BREACH_KEYS, "breach_window")
+        # names and hours are both read from the batch
+        closed = batch.withColumn("breach_window", F.col("breach_window").cast("timestamp_ntz")).persist()
+        try:
+            found = breaches(closed, sla, "LATENCY", "QUEUE").select(
+                "*", F.current_timestamp().alias("detected_at"), F.lit(False).alias("acknowledged")
+            )
+            store.merge_insert_only(batch.sparkSession, path, schemas.SLA_BREACHES, found, BREACH_KEYS, "breach_window")
+        finally:
+            closed.unpersist()
 
     return hours.writeStream.outputMode("append").foreachBatch(record)
 
@@ -133,65 +134,70 @@ def stream_spike_alert(metering: DataFrame, log: DataFrame, path: str, hours: in
     return spike_alerts(metering, log, hours, factor).writeStream.outputMode("append").format("parquet").option("path", path)
 
 
-def _state_rows(moves: DataFrame, illegal: Column, batch: int) -> DataFrame:
-    """State rows of some status events: associative maxima and a sum, so that states of one request can be merged."""
-    status = F.col("status")
+def _state_rows(moves: DataFrame, batch: int) -> DataFrame:
+    """A row per request of some status events: maxima and a sum, its first and last move, and illegal moves between these."""
+    status, order = F.col("status"), Window.partitionBy("request_id").orderBy("event_time", "event_id")
+    move = F.struct("event_time", "event_id", "status")
 
     def newest(which: str) -> Column:
         return F.max(F.when(status == which, F.col("event_time")))
 
+    before = F.lag("status", 1).over(order)
+    follows = F.row_number().over(order) > 1
     review = F.when(status.isin("APPROVED", "REJECTED"), F.struct("event_time", "event_id", "actor", "notes"))
-    return moves.groupBy("request_id").agg(
-        F.max(F.struct("event_time", "event_id", "status")).alias("last"), F.max(review).alias("review"),
+    marked = moves.withColumn("_illegal", follows & ~is_legal_move(before, status))
+    return marked.groupBy("request_id").agg(
+        F.min(move).alias("first"), F.max(move).alias("last"), F.max(review).alias("review"),
         newest("EXECUTED").alias("executed_at"), newest("ROLLED_BACK").alias("rollback_at"),
-        count_where(illegal).alias("illegal_moves"), F.lit(batch).cast("long").alias("batch"), F.first("bucket").alias("bucket"),
+        count_where(F.col("_illegal")).alias("illegal_moves"), F.lit(batch).cast("long").alias("batch"),
     )
 
 
 def request_state_schema(events: DataFrame) -> StructType:
     """The layout of the stored states, which depends on the events' types only."""
-    empty = events.sparkSession.createDataFrame([], events.schema).withColumn("bucket", F.lit(0))
-    return _state_rows(empty, F.lit(False), 0).schema
+    return _state_rows(events.sparkSession.createDataFrame([], events.schema), 0).schema
+
+
+def folded(states: DataFrame) -> DataFrame:
+    """States of several batches as one row a request; where two batches meet, the move between them is judged."""
+    earlier = Window.partitionBy("request_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max("last").over(earlier)
+    joint = before.isNotNull() & ~is_legal_move(before["status"], F.col("first.status"))
+    return (
+        states.withColumn("illegal_moves", F.col("illegal_moves") + F.coalesce(joint, F.lit(False)).cast("long"))
+        .groupBy("request_id")
+        .agg(
+            F.min_by("first", "batch").alias("first"), *[F.max(c).alias(c) for c in ("last", "review", "executed_at", "rollback_at")],
+            F.sum("illegal_moves").alias("illegal_moves"), F.min("batch").alias("batch"),
+        )
+        .select(states.columns)
+    )
 
 
 def stream_request_state(events: DataFrame, path: str) -> DataStreamWriter:
-    """Keep request states in a table by hash bucket; a micro-batch merges its moves into the buckets they touch.
+    """Keep request states as a log of segments: a micro-batch writes one row for each request it moves, and reads nothing.
 
-    The stream itself has no state to grow, and the table one row a request. The state a request had before a batch gives its
-    first move's predecessor, so illegal moves are counted as the batch form does while events come in order. Each row names
-    the last batch applied to it: a replayed batch skips what it did before it failed.
+    Readers fold the segments by maxima (``current_states``). Segments of FANOUT batches are folded into one of the next tier,
+    and so on, so a row is rewritten once a tier and a reader meets FANOUT segments of a tier at most. The state a request had
+    before a batch gives its first move's predecessor, so illegal moves are counted as the batch form does while events come in
+    order. A replayed batch writes its segment anew, or nothing if that was folded already.
     """
-    schema = request_state_schema(events)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        shared_dir(spark)
-        arrived = batch.withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(REQUEST_BUCKETS)).cast("int"))
-        touched = arrived.select("bucket").distinct()
-        old = read_or_empty(spark, path, schema).join(touched, "bucket", "left_semi").select([f.name for f in schema.fields])
-        known = old.select("request_id", F.col("last.status").alias("_stored"), F.col("batch").alias("_batch"))
-        fresh = arrived.join(known, "request_id", "left").filter(F.coalesce("_batch", F.lit(-1)) < batch_id)
-        moves = Window.partitionBy("request_id").orderBy("event_time", "event_id")
-        before = F.coalesce(F.lag("status").over(moves), F.col("_stored"), F.lit(INITIAL_STATUS))
-        new = _state_rows(fresh.withColumn("_before", before), ~is_legal_move(F.col("_before"), F.col("status")), batch_id)
-        merged = (
-            old.unionByName(new)
-            .groupBy("request_id", "bucket")
-            .agg(
-                *[F.max(c).alias(c) for c in ("last", "review", "executed_at", "rollback_at")],
-                F.sum("illegal_moves").alias("illegal_moves"), F.max("batch").alias("batch"),
-            )
-            .select([f.name for f in schema.fields])
-            .checkpoint(eager=True)  # no longer reads the files that the overwrite replaces
-        )
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
-    return events.writeStream.foreachBatch(merge)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        log = SegmentLog(batch.sparkSession, path)
+        if not log.holds(batch_id):
+            log.write(_state_rows(batch, batch_id), 0, batch_id, batch_id)
+            log.compact(folded)
+
+    return events.writeStream.foreachBatch(append)
 
 
 def current_states(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return read_or_empty(spark, path, schema).select(
+    """A row per request: status, review, times and the number of illegal moves, the first one of a request included."""
+    state = folded(SegmentLog(spark, path).read(schema))
+    first_illegal = ~is_legal_move(F.lit(INITIAL_STATUS), F.col("first.status"))
+    return state.select(
         "request_id", F.col("last.status").alias("status"), F.col("review.actor").alias("reviewed_by"),
         F.col("review.event_time").alias("reviewed_at"), F.col("review.notes").alias("review_notes"), "executed_at", "rollback_at",
-        "illegal_moves",
+        (F.col("illegal_moves") + F.coalesce(first_illegal, F.lit(False)).cast("long")).alias("illegal_moves"),
     )
