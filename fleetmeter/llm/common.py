@@ -99,11 +99,13 @@ def map_slices(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-    fields = to_arrow_schema(kind)
+    fields, names = to_arrow_schema(kind), df.columns
+    if any("." in n or "`" in n for n in names):  # mapInArrow takes names for expressions
+        df = df.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column, size):
+            for part in slices(batch.rename_columns(names), column, size):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in fields],

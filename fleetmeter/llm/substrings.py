@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_slices, words_of
+from .common import checkpointed, map_slices, quoted, unused, words_of
 
 #: Words of a window whose repetition removes it, and of a k-mer.
 WINDOW, KMER = 35, 6
@@ -225,21 +225,23 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     keyed = _keyed(docs, doc_id, text)
     cut = spans(keyed)
     schema = docs.schema
-    rows = docs.withColumns({"_k1": F.xxhash64(F.col(doc_id), F.col(text)), "_k2": F.xxhash64(F.col(text))})
-    met = rows.join(cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")), ["_k1", "_k2"], "left")
+    k1, k2, found = unused(docs, "k1", "k2", "spans")
+    own_text = F.col(quoted(text))
+    rows = docs.withColumns({k1: F.xxhash64(F.col(quoted(doc_id)), own_text), k2: F.xxhash64(own_text)})
+    met = rows.join(cut.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(found)), [k1, k2], "left")
 
     def work(part: pa.RecordBatch) -> dict:
         out = {f.name: part.column(f.name) for f in schema}
         texts = part.column(text).to_pylist()
-        for i, c in enumerate(part.column("_spans").to_pylist()):
+        for i, c in enumerate(part.column(found).to_pylist()):
             if c:
                 texts[i] = b" ".join(kept_words(texts[i], c)[0]).decode("utf-8", "surrogatepass")
         out[text] = texts
         if n_chars in out:
             given = part.column(n_chars).to_pylist()
             out[n_chars] = [
-                len(t) if c else n for t, n, c in zip(texts, given, part.column("_spans").to_pylist(), strict=True)
+                len(t) if c else n for t, n, c in zip(texts, given, part.column(found).to_pylist(), strict=True)
             ]
         return out
 
-    return map_slices(met.select(*docs.columns, "_spans"), text, work, schema)
+    return map_slices(met.select(*[F.col(quoted(c)) for c in docs.columns], found), text, work, schema)

@@ -106,3 +106,17 @@ def test_empty_documents_pass_every_stage(spark, sf, tmp_path):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{n}")
         docs = spark.read.parquet(f"{tmp_path}/{n}")
         assert docs.count() == 0
+
+
+def test_clashing_columns_pass_the_stages_that_filter(spark, sf):
+    """Names of working columns, names with dots and columns that can't be hashed come through as they were."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"{w}{i}" for i in range(90)) for w in ("one", "two")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, `_node` int, `_row` int, `_k1` int, k1 int, spans int, `a.b` string, m map<string,int>"
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), 1, 2, 3, 4, 5, "x", {"k": i}) for i, t in enumerate(texts)], ddl)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+        got = sorted(docs.collect())
+        assert docs.columns[5:] == ["_node", "_row", "_k1", "k1", "spans", "a.b", "m"], name
+        assert [tuple(r)[5:] for r in got] == [(1, 2, 3, 4, 5, "x", {"k": i}) for i in range(2)], name
+    assert all(passage not in r["text"] for r in got)
