@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_where, ratio, rounded_even, total
-from ..functions.times import between, day_of, instant, is_weekend, last
-from .comparison import performance_comparison
+from ..functions.times import HOUR, between, day_of, instant, is_weekend, last, moment
+from .comparison import migration_dates, performance_comparison
 from .governance import with_calendar_windows
 from .lifecycle import latest_migrations
 
@@ -110,11 +110,25 @@ def critical_spike_alert(
 
 
 def latency_regression_alert(
-    queries: DataFrame, log: DataFrame, as_of: str | datetime, hours: int = 4, regression_pct: float = 25.0
+    queries: DataFrame,
+    log: DataFrame,
+    as_of: str | datetime,
+    hours: int = 4,
+    regression_pct: float = 25.0,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Warehouses whose hourly p95 exceeded the mean PRE p95 by ``regression_pct`` in every observed recent hour."""
+    """Warehouses whose hourly p95 exceeded the mean PRE p95 by ``regression_pct`` in every observed recent hour.
+
+    The scan gets two ranges, the time up to the latest change and the recent hours: nothing between them is judged. With
+    ``stored`` hourly queries raw rows are read for the hours of changes and the newest hours only.
+    """
     now = instant(as_of)
-    hourly = performance_comparison(queries, log)
+    final = migration_dates(log).agg(F.max("migration_ts").cast("string")).first()[0]
+    judged = queries.filter(F.lit(False)) if final is None else queries.filter(
+        (F.col("start_time") < moment(queries, "start_time", instant(final)))
+        | between(queries, "start_time", now - timedelta(hours=hours), now.replace(minute=0, second=0, microsecond=0) + HOUR)
+    )
+    hourly = performance_comparison(judged, log, stored=stored)
     recent_hour = between(hourly, "hour_ts", now - timedelta(hours=hours), now)
     return (
         hourly.groupBy("warehouse_name")

@@ -2,6 +2,9 @@
 
 Three notions of "when it changed" exist and stay apart: the first MIGRATE in the log (``migration_dates``), the latest
 MIGRATE (``lifecycle.latest_migrations``) and the first conversion event (``conversion_dates``).
+
+Reports that take ``stored`` (a stored hourly table) read it for all whole hours, and raw rows only for the hours that hold a
+change or an end of its window, and for those the table doesn't hold for good (``functions/hours.py``).
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hours import split_at
 from ..functions.joins import join_per_warehouse
 from ..functions.labels import period
 from ..functions.measures import count_where, ratio, rounded, seconds, total
 from ..functions.times import between, day_of, hour_of, instant, last, moment
+from ..session import shared_dir
 from ..sources.readers import warehouse_filter
 
 
@@ -49,29 +54,68 @@ def around_changes(
     return rows if after is None else rows.filter(F.col(column) <= moment(facts, column, instant(final) + after))
 
 
-def credit_comparison(metering: DataFrame, log: DataFrame, days_before: int = 14) -> DataFrame:
+def metering_around(
+    metering: DataFrame,
+    dates: DataFrame,
+    change: str,
+    before: timedelta,
+    after: timedelta | None = None,
+    stored: DataFrame | None = None,
+) -> DataFrame:
+    """Metered rows of changed warehouses near a change, joined with it; with ``stored`` a whole hour is one row."""
+    near = around_changes(metering, "start_time", dates, change, before, after)
+    if stored is None:
+        return join_per_warehouse(near, dates, spread_by="start_time")
+    shared_dir(metering.sparkSession)
+    dates = dates.checkpoint(eager=True)  # one line per changed warehouse, read five times from here on
+    at = F.col(change)
+    edges = [at - F.lit(before), at] + ([] if after is None else [at + F.lit(after)])
+    split = split_at(stored, metering, "start_time", dates, edges)
+    rest = join_per_warehouse(near.filter(split.near), dates, spread_by="start_time").filter(split.rest)
+    hours = around_changes(stored, "hour_ts", dates, change, before, after).join(dates, "warehouse_name").filter(split.whole)
+    kinds = metering.schema
+    return rest.select("warehouse_name", "start_time", "credits_used", change).unionByName(
+        hours.select(
+            "warehouse_name", F.col("hour_ts").cast(kinds["start_time"].dataType).alias("start_time"),
+            # an hour's credits are an exact sum, so they have the raw type's digits
+            F.col("credits").cast(kinds["credits_used"].dataType).alias("credits_used"), change,
+        )
+    )
+
+
+def credit_comparison(
+    metering: DataFrame, log: DataFrame, days_before: int = 14, stored: DataFrame | None = None
+) -> DataFrame:
     """Hourly credits labelled PRE or POST; a change inside an hour gives that hour one row of each."""
-    dates = migration_dates(log)
-    near = around_changes(metering, "start_time", dates, "migration_ts", timedelta(days=days_before))
-    rows = join_per_warehouse(near, dates, spread_by="start_time").filter(
-        F.col("start_time") >= F.col("migration_ts") - F.expr(f"INTERVAL {days_before} DAYS")
+    dates, span = migration_dates(log), timedelta(days=days_before)
+    rows = metering_around(metering, dates, "migration_ts", span, stored=stored).filter(
+        F.col("start_time") >= F.col("migration_ts") - F.lit(span)
     )
     return rows.groupBy(
         "warehouse_name", hour_of(metering).alias("hour_ts"), period("start_time", "migration_ts").alias("period")
     ).agg(total("credits_used").alias("credits"))
 
 
-def performance_comparison(queries: DataFrame, log: DataFrame, days_before: int = 14) -> DataFrame:
-    """Hourly latency and queueing of successful queries, PRE and POST."""
-    dates = migration_dates(log)
-    near = around_changes(queries, "start_time", dates, "migration_ts", timedelta(days=days_before))
+def performance_comparison(
+    queries: DataFrame, log: DataFrame, days_before: int = 14, stored: DataFrame | None = None
+) -> DataFrame:
+    """Hourly latency and queueing of successful queries, PRE and POST.
+
+    In ``stored`` hours a query without a queueing time counts as one that didn't queue.
+    """
+    dates, span = migration_dates(log), timedelta(days=days_before)
+    near = around_changes(queries, "start_time", dates, "migration_ts", span)
+    split = None
+    if stored is not None:
+        split = split_at(stored, queries, "start_time", dates, [F.col("migration_ts") - F.lit(span), F.col("migration_ts")])
+        near = near.filter(split.near)
     ok = near.filter(F.col("execution_status") == "SUCCESS").select(
         "warehouse_name", "start_time", "total_elapsed_time", "queued_overload_time"
     )
-    rows = join_per_warehouse(ok, dates, spread_by="start_time").filter(
-        F.col("start_time") >= F.col("migration_ts") - F.expr(f"INTERVAL {days_before} DAYS")
-    )
-    return rows.groupBy(
+    rows = join_per_warehouse(ok, dates, spread_by="start_time").filter(F.col("start_time") >= F.col("migration_ts") - F.lit(span))
+    if split is not None:
+        rows = rows.filter(split.rest)
+    measured = rows.groupBy(
         "warehouse_name", period("start_time", "migration_ts").alias("period"), hour_of(queries).alias("hour_ts")
     ).agg(
         F.count(F.lit(1)).alias("query_count"),
@@ -80,6 +124,21 @@ def performance_comparison(queries: DataFrame, log: DataFrame, days_before: int
         seconds(F.avg("queued_overload_time")).alias("avg_queue_sec"),
         count_where(F.col("queued_overload_time") > 0).alias("queued_count"),
     )
+    if split is None:
+        return measured
+    hours = around_changes(stored, "hour_ts", dates, "migration_ts", span).filter("query_count > 0").join(dates, "warehouse_name")
+    return measured.unionByName(
+        hours.filter((F.col("hour_ts") >= F.col("migration_ts") - F.lit(span)) & split.whole).select(
+            "warehouse_name",
+            period("hour_ts", "migration_ts").alias("period"),
+            F.col("hour_ts").cast(measured.schema["hour_ts"].dataType).alias("hour_ts"),
+            "query_count",
+            seconds(F.col("avg_elapsed_ms")).alias("avg_latency_sec"),
+            seconds(F.col("p95_elapsed_ms")).alias("p95_latency_sec"),
+            seconds(ratio(F.col("total_queue_ms"), F.col("query_count"))).alias("avg_queue_sec"),
+            F.col("queued_queries").alias("queued_count"),
+        )
+    )
 
 
 def daily_savings(comparison: DataFrame) -> DataFrame:
@@ -107,7 +166,9 @@ def daily_savings(comparison: DataFrame) -> DataFrame:
     )
 
 
-def before_after(metering: DataFrame, events: DataFrame, days: int = 30) -> DataFrame:
+def before_after(
+    metering: DataFrame, events: DataFrame, days: int = 30, stored: DataFrame | None = None
+) -> DataFrame:
     """Credits of the ``days`` before and after conversion; a row exactly at the conversion counts on both sides.
 
     First (warehouse, day) rows with conditional sums, then one row per warehouse: days are counted without a
@@ -118,8 +179,7 @@ def before_after(metering: DataFrame, events: DataFrame, days: int = 30) -> Data
     before = start.between(change - window, change)
     after = start.between(change, change + window)
     dates, span = conversion_dates(events), timedelta(days=days)
-    near = around_changes(metering, "start_time", dates, "migration_date", span, span)
-    rows = join_per_warehouse(near, dates, spread_by="start_time").filter(
+    rows = metering_around(metering, dates, "migration_date", span, span, stored).filter(
         start.between(change - window, change + window)
     )
     per_day = rows.groupBy("warehouse_name", F.to_date("start_time").alias("_day")).agg(

@@ -72,8 +72,8 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select([column(f) for f in df.schema.fields])
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a job under ``name``, with the SQL that must give the same rows."""
+def query(name: str, sql: str | None = None, like: str | None = None) -> Callable[[Query], Query]:
+    """Register a job under ``name``, with the SQL that must give the same rows, or that of the query it must equal."""
 
     def register(job: Query) -> Query:
         if name in QUERIES:
@@ -86,6 +86,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = decimal_rounding(with_views(sql))
+        elif like is not None:
+            ORACLES[name] = ORACLES[like]
         return job
 
     return register

@@ -8,13 +8,14 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..functions.times import instant, moment
-from ..operators import lifecycle, rollups, sla
+from ..operators import anomaly, comparison, lifecycle, rollups, sla
 from ..session import shared_dir
 from ..sources import schemas, seeds, store
 from ..sources.readers import read_or_empty, resolve_source
 from . import views as v
 from .anomaly_jobs import LATENCY, QUEUE, breach_sql
 from .cost_jobs import HQ_COLUMNS, NOW, hm
+from .performance_jobs import queries_of
 from .registry import query, r
 from .views import AS_OF
 
@@ -84,6 +85,51 @@ def source_resolver_staged(spark, sf):
     return kept
 
 
+def deployed(spark, sf, table, source):
+    """A stored hourly table of the newest 30 days, and its folder."""
+    path = new_folder(spark, table.name)
+    store.refresh(spark, path, table, source, AS_OF)
+    return store.load(spark, path, table), path
+
+
+@query("staged_credit_comparison", like="credit_comparison")
+def staged_credit_comparison(spark, sf):
+    """Whole hours from the stored table, raw rows for the hours of changes; the same rows as from raw ones alone."""
+    metering = v.metering(spark, sf)
+    stored, path = deployed(spark, sf, store.METERING, metering)
+    return finished(spark, comparison.credit_comparison(metering, v.migration_log(spark, sf), stored=stored), path)
+
+
+@query("staged_daily_savings", like="daily_savings")
+def staged_daily_savings(spark, sf):
+    metering = v.metering(spark, sf)
+    stored, path = deployed(spark, sf, store.METERING, metering)
+    compared = comparison.credit_comparison(metering, v.migration_log(spark, sf), stored=stored)
+    return finished(spark, comparison.daily_savings(compared), path)
+
+
+@query("staged_before_after", like="before_after")
+def staged_before_after(spark, sf):
+    metering = v.metering(spark, sf)
+    stored, path = deployed(spark, sf, store.METERING, metering)
+    return finished(spark, comparison.before_after(metering, v.events_history(spark, sf), stored=stored), path)
+
+
+@query("staged_performance_comparison", like="performance_comparison")
+def staged_performance_comparison(spark, sf):
+    queries = queries_of(spark, sf)
+    stored, path = deployed(spark, sf, store.QUERIES, queries)
+    return finished(spark, comparison.performance_comparison(queries, v.migration_log(spark, sf), stored=stored), path)
+
+
+@query("staged_latency_regression_alert", like="latency_regression_alert")
+def staged_latency_regression_alert(spark, sf):
+    queries = queries_of(spark, sf)
+    stored, path = deployed(spark, sf, store.QUERIES, queries)
+    found = anomaly.latency_regression_alert(queries, v.migration_log(spark, sf), AS_OF, hours=48, stored=stored)
+    return finished(spark, found, path)
+
+
 @query(
     "incremental_window",
     f"""SELECT warehouse_name, date_trunc('hour', start_time) AS hour_ts, {r('CAST(sum(credits_used) AS DOUBLE)', 'credits')}

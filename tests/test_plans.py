@@ -7,7 +7,7 @@ import pytest
 from fleetmeter.plans import catalog, views
 from fleetmeter.operators import comparison
 
-WRITING = ("stream", "merge", "append", "seed", "incremental", "retention", "late", "source_resolver_staged")
+WRITING = ("stream", "merge", "append", "seed", "incremental", "retention", "late", "source_resolver_staged", "staged")
 PLAIN = sorted(n for n in catalog.queries() if not n.startswith(WRITING))
 
 
