@@ -2,8 +2,8 @@
 
 A table is a folder of Parquet files partitioned by ``day`` (the date of ``hour_ts``) and sorted by hour and
 warehouse inside, so look-backs prune whole days and row groups. Plain Parquet has no MERGE: an upsert rewrites only the
-days it touches, through dynamic partition overwrite, after a reliable checkpoint has cut the new rows loose from
-the files they replace. One writer per table is assumed, as with the scheduled refresh. Checkpoint files of finished
+days it touches, staged beside the table and swapped in by a publication that the next writer can finish
+(``publication.py``). One writer per table is assumed, as with the scheduled refresh. Checkpoint files of finished
 runs go away with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
@@ -22,7 +22,7 @@ from ..operators.rollups import (
     event_measures, events_by_hour, metering_by_hour, metering_measures, queries_by_hour, query_measures, with_cost_center,
 )
 from ..session import shared_dir
-from . import schemas
+from . import publication, schemas
 from .readers import read_or_empty
 
 EPOCH = datetime(2020, 1, 1)
@@ -81,12 +81,7 @@ def watermark(spark: SparkSession, path: str, table: HourlyTable) -> datetime:
 
 def stored_days(spark: SparkSession, path: str) -> list[date]:
     """The days a table has a folder for, by listing them."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
-    return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day=") and n[4:5].isdigit())
+    return publication.days_in(publication.Folder(spark, path))
 
 
 def window_start(mark: datetime, as_of: str | datetime) -> datetime:
@@ -126,6 +121,7 @@ def merge_upsert(
     Only days that have an update are read and rewritten.
     """
     shared_dir(spark)
+    publication.recover(spark, path)
     new = stamped(updates, table, loaded_at)
     kept = (
         read_or_empty(spark, path, table.stored_schema)
@@ -134,20 +130,12 @@ def merge_upsert(
         .join(new.select(*table.keys), list(table.keys), "left_anti")
         .select(new.columns)
     )
-    # the checkpoint is written to the shared folder: the overwrite below no longer reads the files it replaces
-    merged = kept.unionByName(new).checkpoint(eager=True)
-    _write_days(merged, path)
-
-
-def _write_days(rows: DataFrame, path: str) -> None:
-    (
-        rows.repartitionByRange("day", "hour_ts", "warehouse_name")
-        .sortWithinPartitions("day", "hour_ts", "warehouse_name")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
+    # the checkpoint is written to the shared folder: ordering the rows by range samples them, and reads them there
+    publication.publish(spark, path, _ordered(kept.unionByName(new).checkpoint(eager=True)))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("day", "hour_ts", "warehouse_name").sortWithinPartitions("day", "hour_ts", "warehouse_name")
 
 
 def merge_insert_only(
@@ -232,29 +220,24 @@ def retention_prune(
 ) -> list[date]:
     """Drop whole expired days and rewrite the boundary day. Returns the days dropped.
 
-    Listing the day values reads no row data; the boundary day is rewritten like an upsert.
+    The days come from a listing; the boundary day is rewritten like an upsert, and all of it is published at once.
     """
     shared_dir(spark)
+    publication.recover(spark, path)
     cutoff = retention_cutoff(as_of, days)
-    stored = read_or_empty(spark, path, table.stored_schema)
-    found = stored.filter(F.col("day") <= F.lit(cutoff.date())).select("day").distinct().orderBy("day").collect()
-    expired = [row.day for row in found if row.day < cutoff.date()]
-    if any(row.day == cutoff.date() for row in found):
-        boundary = stored.filter(F.col("day") == F.lit(cutoff.date()))
-        left = retained(boundary, as_of, days).checkpoint(eager=True)
+    found = stored_days(spark, path)
+    expired, left = [d for d in found if d < cutoff.date()], None
+    if cutoff.date() in found:
+        stored = read_or_empty(spark, path, table.stored_schema)
+        left = retained(stored.filter(F.col("day") == F.lit(cutoff.date())), as_of, days).checkpoint(eager=True)
         if left.isEmpty():
-            expired.append(cutoff.date())
+            expired, left = [*expired, cutoff.date()], None
         else:
-            _write_days(left.select([f.name for f in table.stored_schema.fields]), path)
-    _drop_days(spark, path, expired)
+            left = _ordered(left.select([f.name for f in table.stored_schema.fields]))
+    publication.publish(spark, path, left, expired)
     return expired
 
 
-def _drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
-    for day in days:
-        delete_folder(spark, f"{path}/day={day.isoformat()}")
-
-
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -271,9 +254,10 @@ def refresh(
 ) -> datetime:
     """One scheduled run for one table: re-read the open window, aggregate, upsert, prune. Returns the window start.
 
-    Running it twice leaves the same rows. Metering takes ``tags`` for its cost centre. ``rebuild_from`` widens the
-    window, for example to repair days after a run was killed while it swapped them.
+    Running it twice leaves the same rows, and a run after one that was killed finishes or undoes what that one left.
+    Metering takes ``tags`` for its cost centre. ``rebuild_from`` widens the window, for example for very late rows.
     """
+    publication.recover(spark, path)
     mark = watermark(spark, path, table)
     if rebuild_from is not None:
         mark = min(mark, rebuild_from + LATENESS)
