@@ -1,7 +1,12 @@
 """Derived records, their links and digests, and round trips through WARC files."""
 
 import base64
+import gzip
 import hashlib
+import zlib
+
+import pytest
+import zstandard
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +95,111 @@ def test_files_round_trip(spark, tmp_path):
 def test_text_never_has_scripts_or_fails(page):
     text = warc.plain_text(page)
     assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or text == ""
+
+
+PAGE = "<title>T</title><p>hello wörld</p>" * 40
+
+
+def chunked(data, size=7):
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    return b"".join(b"%x;x=1\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\nTrailer: t\r\n\r\n"
+
+
+def bare(data):
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+WHOLE = PAGE.encode()
+ENCODED = {
+    "Transfer-Encoding: chunked": chunked(WHOLE),
+    "Content-Encoding: gzip": gzip.compress(WHOLE),
+    "Content-Encoding: x-gzip\r\nTransfer-Encoding: chunked": chunked(gzip.compress(WHOLE)),
+    "content-encoding:GZIP\r\nX: y": gzip.compress(WHOLE[:300]) + gzip.compress(WHOLE[300:]),
+    "Content-Encoding: deflate": zlib.compress(WHOLE),
+    "Content-Encoding: Deflate": bare(WHOLE),
+    "Content-Encoding: zstd": zstandard.compress(WHOLE),
+    "Content-Encoding: ZSTD": zstandard.compress(WHOLE[:300]) + zstandard.compress(WHOLE[300:]),
+    "Content-Encoding: deflate, gzip": gzip.compress(zlib.compress(WHOLE)),
+    "Content-Encoding: identity": WHOLE,
+    # unpacked by the archiver, the header left
+    "Content-Encoding: gzip\r\nTransfer-Encoding: chunked": WHOLE,
+    "Content-Encoding: br": WHOLE,
+    "no colon here": WHOLE,
+}
+
+
+@pytest.mark.parametrize("field", ENCODED)
+def test_encodings_are_undone(field):
+    head, payload = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{field}\r\n\r\n", ENCODED[field]
+    meta, text = warc.derive("<urn:x>", "http://h/", None, head, payload)
+    assert text["block"] == warc.plain_text(PAGE) and "title: T\r\n" in meta["block"] and "content-problem" not in meta["block"]
+    assert text["source_payload_digest"] == sha(payload)  # of the bytes as archived
+    assert text["source_block_digest"] == sha(head.encode() + payload)
+
+
+def test_what_cannot_be_undone_is_said():
+    def problem(field, payload):
+        meta, text = warc.derive("<urn:x>", None, None, f"HTTP/1.1 200 OK\r\n{field}\r\n\r\n", payload)
+        return [x[17:] for x in meta["block"].split("\r\n") if x.startswith("content-problem: ")], text["block"]
+
+    packed = gzip.compress(b"<p>" + bytes(range(32, 127)) * 50)
+    said, text = problem("Content-Encoding: gzip", packed[:-12])
+    assert said == ["deflate: cut off"] and text.startswith("!")
+    assert problem("Content-Encoding: gzip", packed[:-8] + b"12345678")[0] == ["deflate: damaged"]
+    assert problem("Transfer-Encoding: chunked", b"5\r\nhello\r\n9\r\nwor") == (["chunked: cut off"], "hellowor")
+    assert problem("Transfer-Encoding: chunked", b"5\r\nhello\r\nzz\r\n") == (["chunked: not a size"], "hello")
+    assert problem("Content-Encoding: br", b"\x0b\x02\x80") == (["br: unknown coding"], "")
+    assert problem("Content-Encoding: zstd", zstandard.compress(b"abc")[:-2])[0] == ["zstd: cut off"]
+    assert problem("Content-Encoding: zstd", zstandard.compress(b"abc")[:4] + b"\xff" * 20)[0] == ["zstd: damaged"]
+    assert problem("Content-Encoding: gzip", b"") == ([], "")
+
+
+def records(n=5):
+    out = []
+    for i in range(n):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + f"<p>page {i}</p>".encode() * 50
+        out.append(warc.header("response", [("WARC-Record-ID", f"<urn:{i}>")], len(block)).encode() + block + b"\r\n\r\n")
+    return out
+
+
+def ids(data):
+    return [f["warc-record-id"][5:-1] for f, _ in warc.parse(data)], [(at, p) for at, f, _, p in warc.scan(data) if f is None]
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_a_damaged_member_costs_its_own_record_only(n):
+    members = [warc._gzip(r) for r in records()]
+    start = sum(map(len, members[:n]))
+    left = [str(i) for i in range(5) if i != n]
+    middle = len(members[n]) // 2
+    for bad in (
+        members[n][:middle] + b"\xff" * 9 + members[n][middle + 9 :], members[n][:middle], members[n][:-6] + b"\0" * 6,
+        b"\x1f\x8b\x08" + b"\xff" * 40,
+    ):
+        assert ids(b"".join([*members[:n], bad, *members[n + 1 :]])) == (left, [(start, "damaged member")])
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_a_malformed_record_costs_itself_only(n):
+    whole = records()
+    start, left = sum(map(len, whole[:n])), [str(i) for i in range(5) if i != n]
+    for length in (b"many", b"-1", b"", "²".encode()):
+        bad = whole[n].replace(b"Content-Length: 669", b"Content-Length: " + length)
+        assert bad != whole[n]
+        assert ids(b"".join([*whole[:n], bad, *whole[n + 1 :]])) == (left, [(start, "no valid Content-Length")])
+        packed = [warc._gzip(r) for r in [*whole[:n], bad, *whole[n + 1 :]]]
+        assert ids(b"".join(packed)) == (left, [(sum(map(len, packed[:n])), "no valid Content-Length")])
+    got, problems = ids(b"".join([*whole[:n], b"rubbish\r\n\r\n", *whole[n:]]))
+    assert got == list("01234") and problems == [(start, "no record")]
+
+
+def test_damages_are_rows(spark, tmp_path):
+    whole = records(3)
+    members = [warc._gzip(r) for r in whole]
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + members[1][:-9] + members[2])
+    (tmp_path / "b.warc").write_bytes(b"".join(whole)[:-100])
+    (tmp_path / "c.warc").write_bytes(b"")
+    found = sorted((r["path"][-9:].split("/")[-1], r["offset"], r["problem"]) for r in warc.damages(spark, str(tmp_path)).collect())
+    assert found == [("a.warc.gz", len(members[0]), "damaged member"), ("b.warc", len(whole[0] + whole[1]), "record cut off")]
+    assert warc.read(spark, str(tmp_path)).count() == 4
