@@ -94,9 +94,11 @@ def _vectors(df: DataFrame, host: Column, path: Column) -> DataFrame:
 def fit(labelled: DataFrame) -> LogisticRegressionModel | str:
     """The model of a labelled table (``host``, ``path``, ``verdict``), or a verdict for all where there is nothing to learn.
 
-    Only verdicts ``block`` and ``allow`` count. Without rows everything is allowed; with rows of one verdict that one holds.
+    Only verdicts ``block`` and ``allow`` count. Without rows everything is allowed; with rows of one verdict that one holds. Of
+    more than SAMPLE rows those with the least hashes are taken, so that the same table gives the same model.
     """
-    table = labelled.where(F.col("verdict").isin("block", "allow")).limit(SAMPLE)
+    usable = labelled.where(F.col("verdict").isin("block", "allow"))
+    table = usable.orderBy(F.xxhash64("host", "path"), "host", "path", "verdict").limit(SAMPLE)
     table = checkpointed(table.select("host", "path", (F.col("verdict") == "block").cast("double").alias("label")))
     kinds = [r[0] for r in table.select("label").distinct().collect()]
     if len(kinds) < 2:

@@ -1,7 +1,11 @@
 """Hosts, paths and rules against a plain version; what the model learns; awkward URLs."""
 
+import math
 import re
 
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import functions as F
+
 from fleetmeter.llm import queries, urls
 
 RULES = queries.RULES
@@ -71,3 +75,46 @@ def test_nothing_to_learn(spark):
 def test_no_python_on_executors(spark, sf):
     plan = queries.queries()["op4_url_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_grams(host, path):
+    out = []
+    for text, mark in ((host, "@"), (path, "/")):
+        framed = mark + text + "$"
+        for n in urls.GRAMS:
+            out += [f"{mark}{n}:{framed[i : i + n]}" for i in range(max(len(framed) - n + 1, 1))]
+    return out
+
+
+def test_scores_are_those_of_the_plain_model(spark):
+    rows = [(f"shop{i}.com", "/casino/win/", "block") for i in range(30)] + [(f"uni{i}.com", "/paper/ß𝄞/", "allow") for i in range(30)]
+    model = urls.fit(spark.createDataFrame(rows, "host string, path string, verdict string"))
+    given = ["http://new.com/casino/top/", "http://uni.de/paper/𝄞/", "", None, "http://a", "http://" + "x" * 300 + "/" + "ab/" * 300]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    index, weights, bias = HashingTF(numFeatures=urls.DIMENSIONS).indexOf, model.coefficients.toArray(), model.intercept
+    for r in urls.verdicts(pages, [], model).collect():
+        sum_ = bias + sum(float(weights[index(g)]) for g in plain_grams(*plain(given[r["page_id"]])))
+        p = 1 / (1 + math.exp(-sum_)) if sum_ > -700 else 0.0
+        assert abs(r["p_block"] - p) < 1e-9 and r["verdict"] == ("block" if p >= urls.THRESHOLD else "allow")
+
+
+def test_a_large_labelled_table_gives_one_model(spark):
+    """Of more than SAMPLE rows the same ones are taken, however they arrive."""
+    n = urls.SAMPLE + 1000
+    rows = [(f"h{i}.com", f"/{'casino' if i % 2 else 'paper'}/{i % 97}/", "block" if i % 2 else "allow") for i in range(n)]
+    table = spark.createDataFrame(rows, "host string, path string, verdict string")
+    one, two = urls.fit(table.coalesce(1)), urls.fit(table.repartition(7).sortWithinPartitions("path"))
+    assert max(abs(one.coefficients.toArray() - two.coefficients.toArray())) < 1e-6 and abs(one.intercept - two.intercept) < 1e-6
+
+
+def test_held_out_accuracy(spark, sf):
+    """Labels come from rules; a fifth of the labelled URLs, by hash, is kept from the model, which then judges it without rules."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    labelled = urls.labelled_by_rules(pages, RULES).withColumn("fold", F.expr("pmod(xxhash64(path, host), 5)"))
+    model = urls.fit(labelled.where("fold <> 0").drop("fold"))
+    held = labelled.where("fold = 0").collect()
+    frame = spark.createDataFrame([(i, f"http://{r['host']}{r['path']}") for i, r in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(frame, [], model).collect()}
+    right = sum(got[i] == r["verdict"] for i, r in enumerate(held))
+    print("held out:", right, "of", len(held), "blocked", sum(r["verdict"] == "block" for r in held))
+    assert len(held) >= 8 and right >= 0.9 * len(held)
