@@ -1,19 +1,22 @@
 """Removing long word sequences that occur more than once, over a compacted de Bruijn graph of word k-mers.
 
-A window is WINDOW consecutive words. Nodes of the graph are word k-mers, thinned out to the minimisers of all windows: of
-the k-mers inside a window the one with the least hash stands for it, and equal windows choose the same. The windows in a row
-that one occurrence of a k-mer stands for, joined, are its path; what leaves and enters a node are the paths through it.
-
-* A k-mer that occurs once is on no repeated path. These are most of all and go no further.
-* If every occurrence of a k-mer has one and the same path, the node doesn't branch: the whole path is repeated and becomes
-  one span per occurrence, without a look at its windows.
-* Elsewhere the graph branches: a repeat begins or ends, or differs by a word. Each different path is taken once, with its
-  coordinates in one document, and the windows at these coordinates are read from the text and counted. A path that occurs
-  twice is repeated whole; of one that occurs once the windows that others have are.
-
-Spans that touch or overlap are one span in the end. k-mers, paths and windows meet in joins and grouped sums only; no
-occurrences of a hot passage are gathered. k-mers, paths and windows are 64-bit hashes, paths and windows only ever compared
-among those of the same k-mer.
+A window is WINDOW consecutive words; windows are the edges of the graph. They are kept in runs: of the word k-mers inside a
+window the one with the least hash, its minimiser, stands for it, and the windows in a row that one occurrence of a minimiser
+stands for are one run. Equal windows choose the same k-mer, so they meet under it.
+
+1. Runs whose k-mer occurs once hold no repeated window. These are most of all and go no further.
+2. The others are counted by their words. A run that occurs twice or more is repeated whole.
+3. Compaction: if a repeated run is followed by one and the same run wherever it occurs, and that one occurs as often, the
+   two don't branch and belong to one path. A join finds these links. As links keep the order of occurrences, the runs of a
+   path lie one behind the other in the text where the path occurs first, and its coordinates there join them to one row.
+4. Verification: the words at a path's source coordinates are read and digested. Occurrences of a path's first run get one
+   span, as long as the path, with that digest; before a span is cut, the words at its own coordinates have to match it.
+5. Where the graph branches (a k-mer has unlike runs: a repeat begins or ends, or a word differs), the windows of each
+   different run are read at its source coordinates and counted; of a run that occurs once those windows go that others have.
+
+Spans that touch or overlap are one span in the end. k-mers, runs and windows meet in joins and grouped sums only; no
+occurrences of a hot passage are gathered. A window of step 5 is a 64-bit hash, compared among those of one k-mer (64 bits
+too); whole paths are also compared by 128 bits of SHA-256 over their words.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices, quoted, unused, words_of
@@ -78,13 +81,14 @@ def _leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
 
 
 def paths(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """The k-mers that stand for the windows of some texts: ``row``, ``kmer``, ``path``, ``first`` and ``last`` window."""
+    """The runs of some texts: ``row``, ``kmer``, ``path`` (hash of the words), ``next`` (the text's next run's ``path``,
+    masked in the last), ``first`` and ``last`` window."""
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     flat = [w for words in split for w in words]
-    none = np.zeros(0, np.int64)
+    nothing = {name: np.zeros(0, np.int64) for name in ("row", "kmer", "path", "next", "first", "last")}
     if len(flat) < WINDOW:
-        return {"row": none, "kmer": none, "path": none, "first": none, "last": none}
+        return nothing
     rolling, starts = Rolling(flat), np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(len(flat) - KMER + 1)
     kmers = rolling.of(at, at + KMER)
@@ -93,12 +97,13 @@ def paths(texts: list[str | None]) -> dict[str, np.ndarray]:
     inside = np.flatnonzero(row[: len(least)] == row[WINDOW - 1 :])  # windows of one text
     chosen = least[inside]
     if not len(chosen):
-        return {"row": none, "kmer": none, "path": none, "first": none, "last": none}
+        return nothing
     turns = np.flatnonzero(chosen[1:] != chosen[:-1])
     first, last = inside[np.concatenate(([0], turns + 1))], inside[np.concatenate((turns, [len(chosen) - 1]))]
+    path, of = rolling.of(first, last + WINDOW).view(np.int64), row[first]
     return {
-        "row": row[first], "kmer": kmers[least[first]].view(np.int64),
-        "path": rolling.of(first, last + WINDOW).view(np.int64),
+        "row": of, "kmer": kmers[least[first]].view(np.int64), "path": path,
+        "next": np.ma.array(np.roll(path, -1), mask=np.append(of[1:] != of[:-1], True)),
         "first": first - starts[row[first]], "last": last - starts[row[first]],
     }
 
@@ -117,75 +122,115 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
         row = pa.array(found["row"])
         return {
             "k1": part.column("k1").take(row), "k2": part.column("k2").take(row), "kmer": found["kmer"],
-            "path": found["path"], "place": found["first"] * 64 + (found["last"] - found["first"]),
+            "path": found["path"], "next": pa.array(found["next"]),
+            "place": found["first"] * 64 + (found["last"] - found["first"]),
         }
 
-    return map_slices(keyed.select("text", "k1", "k2"), "text", work, "k1 long, k2 long, kmer long, path long, place long")
+    schema = "k1 long, k2 long, kmer long, path long, next long, place long"
+    return map_slices(keyed.select("text", "k1", "k2"), "text", work, schema)
 
 
-def _window_hashes(met: DataFrame) -> DataFrame:
-    """The hashes of the windows at each given path's coordinates."""
-    names = ("kmer", "n", "times", "place")
+def compacted(runs: DataFrame) -> DataFrame:
+    """Nonbranching paths of repeated runs: ``k1``, ``k2``, ``start``, ``end`` at the source, ``kmer``, ``path``, ``n`` of the first run.
+
+    ``runs`` has a row per different run with ``times``, ``source`` and the least and greatest ``next`` of its occurrences.
+    """
+    repeated = runs.where("times > 1")
+    links = repeated.where("low = high and followed = times").select(F.col("low").alias("path"), "times").distinct()
+    marked = repeated.join(links.withColumn("linked", F.lit(True)), ["path", "times"], "left")
+    # one group is the runs that have their source in one text
+    along = Window.partitionBy("source.k1", "source.k2").orderBy("source.place")
+    return (
+        marked.withColumn("chain", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(along))
+        .groupBy("source.k1", "source.k2", "chain")
+        .agg(
+            F.min(F.struct("source.place", "kmer", "path", "n")).alias("head"),
+            F.max(F.expr("(source.place >> 6) + (source.place & 63)")).alias("last"),
+        )
+        .select("k1", "k2", F.expr("head.place >> 6").alias("start"), (F.col("last") + WINDOW).alias("end"),
+                "head.kmer", "head.path", "head.n")
+    )
+
+
+def digest(words: list[bytes], start: int, end: int) -> bytes:
+    """What words have to match to be taken for the same: half of the SHA-256 of them joined by a space."""
+    return hashlib.sha256(b" ".join(words[start:end])).digest()[:16]
+
+
+def _at_sources(met: DataFrame) -> DataFrame:
+    """What the texts hold at the coordinates in ``given``: the digest of a whole path, else the hashes of a run's windows."""
+    names = ("kmer", "path", "n", "times", "start", "end", "whole")
 
     def work(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("k1", "k2", *names, "hashes")}
+        out: dict[str, list] = {name: [] for name in ("k1", "k2", *names, "hashes", "digest")}
         columns = (part.column(c).to_pylist() for c in ("k1", "k2", "text", "given"))
         for k1, k2, text, given in zip(*columns, strict=True):
-            rolling = Rolling(words_of(text))
+            words = words_of(text)
+            rolling = Rolling(words)
             for g in given:
-                at = np.arange(g["place"] >> 6, (g["place"] >> 6) + (g["place"] & 63) + 1)
-                row = {"k1": k1, "k2": k2, "hashes": rolling.of(at, at + WINDOW).view(np.int64)} | {c: g[c] for c in names}
+                at = np.arange(g["start"], g["end"] - WINDOW + 1)
+                row = {
+                    "k1": k1, "k2": k2, **g, "digest": digest(words, g["start"], g["end"]) if g["whole"] else None,
+                    "hashes": None if g["whole"] else rolling.of(at, at + WINDOW).view(np.int64),
+                }
                 for name, value in row.items():
                     out[name].append(value)
         return out
 
-    schema = "k1 long, k2 long, kmer long, n long, times long, place long, hashes array<long>"
-    return map_slices(met, "text", work, schema)
+    return map_slices(
+        met, "text", work, "k1 long, k2 long, kmer long, path long, n long, times long, start long, end long, whole boolean, "
+        "hashes array<long>, digest binary",
+    )
 
 
 def spans(keyed: DataFrame) -> DataFrame:
-    """``k1``, ``k2``, ``spans``: an array of (start, end) word places to remove, for rows that have any."""
+    """``k1``, ``k2``, ``spans``: an array of (start, end, digest) word places to remove, for rows that have any.
+
+    The digest is null for single windows, which were compared by hash.
+    """
     occurrences = _occurrences(keyed)
-    nodes = occurrences.groupBy("kmer").agg(
-        F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")
-    )
-    repeated = checkpointed(nodes.where("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("branches"), "n"))
-    found = checkpointed(occurrences.join(repeated, "kmer"))
+    nodes = occurrences.groupBy("kmer").agg(F.count("*").alias("n"))
+    found = checkpointed(occurrences.join(checkpointed(nodes.where("n > 1")), "kmer"))
     first, last = F.expr("place >> 6"), F.expr("(place >> 6) + (place & 63)")
-    compact = found.where("not branches").select("k1", "k2", first.alias("start"), (last + WINDOW).alias("end"))
+    runs = checkpointed(found.groupBy("kmer", "path", "n").agg(
+        F.count("*").alias("times"), F.min("next").alias("low"), F.max("next").alias("high"), F.count("next").alias("followed"),
+        F.min(F.struct("k1", "k2", "place")).alias("source"),
+    ))
+    given = ("kmer", "path", "n", "times", "start", "end", "whole")
+    whole = compacted(runs).withColumns({"times": F.lit(None).cast("long"), "whole": F.lit(True)})
+    branching = runs.where("times < n").select("source.*", "kmer", "path", "n", "times").select(
+        "k1", "k2", first.alias("start"), (last + WINDOW).alias("end"), "kmer", "path", "n", "times", F.lit(False).alias("whole")
+    )
+    asked = whole.unionByName(branching).groupBy("k1", "k2").agg(F.collect_list(F.struct(*given)).alias("given"))
+    read = checkpointed(_at_sources(keyed.join(asked, ["k1", "k2"])))
 
     # A frequent k-mer's rows are dealt over as many salts as its count asks for; its other side is repeated per salt.
     salt = lambda *by: F.pmod(F.xxhash64(*by), F.expr(f"1 + n div {SALTED}")).alias("salt")
     salts = F.explode(F.expr(f"sequence(0L, n div {SALTED})")).alias("salt")
-    branching = found.where("branches")
-    different = branching.groupBy("kmer", "path", "n").agg(
-        F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source")
-    )
-    # a path that occurs twice is repeated whole, as where nothing branches
-    whole = different.where("times > 1").select("kmer", "path", salts)
-    again = (
-        branching.select("k1", "k2", "kmer", "path", "place", salt("k1")).join(whole, ["kmer", "path", "salt"])
-        .select("k1", "k2", first.alias("start"), (last + WINDOW).alias("end"))
-    )
-    # of a path that occurs once, those windows are that other paths have too
-    given = different.groupBy("source.k1", "source.k2").agg(
-        F.collect_list(F.struct("kmer", "n", "times", F.col("source.place").alias("place"))).alias("given")
+    heads = read.where("whole").select("kmer", "path", (F.col("end") - F.col("start")).alias("words"), "digest", "n").distinct()
+    repeats = (
+        found.select("k1", "k2", "kmer", "path", first.alias("start"), salt("k1"))
+        .join(heads.select("kmer", "path", "words", "digest", salts), ["kmer", "path", "salt"])
+        .select("k1", "k2", "start", (F.col("start") + F.col("words")).alias("end"), "digest")
     )
-    windows = _window_hashes(keyed.join(given, ["k1", "k2"])).select(
-        "k1", "k2", "kmer", "n", "times", first.alias("first"), F.posexplode("hashes").alias("j", "h")
+    # of a run that occurs once, those windows are repeated that other runs have too
+    windows = read.where("not whole").select(
+        "k1", "k2", "kmer", "n", "times", F.col("start").alias("first"), F.posexplode("hashes").alias("j", "h")
     )
     twice = windows.groupBy("kmer", "h", "n").agg(F.sum("times").alias("total")).where("total > 1").select("kmer", "h", salts)
     start = F.col("first") + F.col("j")
     alone = (
         windows.where("times = 1").select("k1", "k2", "kmer", "h", start.alias("start"), salt("k1", "first"))
-        .join(twice, ["kmer", "h", "salt"]).select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"))
+        .join(twice, ["kmer", "h", "salt"])
+        .select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"), F.lit(None).cast("binary").alias("digest"))
     )
-    return compact.union(again).union(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return repeats.union(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "digest")).alias("spans"))
 
 
 def kept_words(text: str | None, cut: list[dict] | None) -> tuple[list[bytes], int]:
-    """The words that stay, and the number of words that go."""
+    """The words that stay, and the number of words that go. A span whose words differ from its source's stays."""
     words = words_of(text)
+    cut = [c for c in cut or () if c["digest"] is None or c["digest"] == digest(words, c["start"], c["end"])]
     if not cut:
         return words, 0
     depth = np.zeros(len(words) + 1, np.int64)

@@ -88,3 +88,24 @@ def test_rows_after_the_cut(documents):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {
         1: ("one end", 7), 2: ("two", 3), 3: (" kept  as\tit is ", 16), 4: (None, None)
     }
+
+
+def test_long_passages_become_one_span_each(documents):
+    passage = [f"p{i}" for i in range(3000)]
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(40)] + passage + [f"b{i}_{j}" for j in range(40)]), "s") for i in range(4)]
+    docs = documents([*rows, (9, " ".join(passage[500:900]), "s")])
+    check(docs)
+    keyed = substrings._keyed(docs, "doc_id", "text")
+    found = {r.doc_id: sorted(map(tuple, r.spans)) for r in keyed.join(substrings.spans(keyed), ["k1", "k2"]).collect()}
+    # paths end where document 9's text begins and ends; each has about 200 runs of windows
+    whole = {i: [s for s in found[i] if s[2] is not None] for i in range(4)}
+    assert all(len(w) <= 8 and max(e - s for s, e, _ in w) > 1500 for w in whole.values())
+    assert all(sum(e - s > 300 for s, e, _ in w) <= 4 for w in whole.values())
+
+
+def test_a_span_unlike_its_source_stays():
+    words = " ".join(f"w{i}" for i in range(50))
+    same = substrings.digest(words.encode().split(), 5, 45)
+    assert substrings.kept_words(words, [{"start": 5, "end": 45, "digest": same}])[1] == 40
+    assert substrings.kept_words(words, [{"start": 6, "end": 46, "digest": same}])[1] == 0
+    assert substrings.kept_words(words, [{"start": 0, "end": 35, "digest": None}])[1] == 35
