@@ -133,10 +133,10 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
 def compacted(runs: DataFrame) -> DataFrame:
     """Nonbranching paths of repeated runs: ``k1``, ``k2``, ``start``, ``end`` at the source, ``kmer``, ``path``, ``n`` of the first run.
 
-    ``runs`` has a row per different run with ``times``, ``source`` and the least and greatest ``next`` of its occurrences.
+    ``runs`` has a row per different run with ``times``, ``source`` and the one ``next`` of its occurrences (null: none or several).
     """
     repeated = runs.where("times > 1")
-    links = repeated.where("low = high and followed = times").select(F.col("low").alias("path"), "times").distinct()
+    links = repeated.where("next is not null").select(F.col("next").alias("path"), "times").distinct()
     marked = repeated.join(links.withColumn("linked", F.lit(True)), ["path", "times"], "left")
     # one group is the runs that have their source in one text
     along = Window.partitionBy("source.k1", "source.k2").orderBy("source.place")
@@ -157,30 +157,26 @@ def digest(words: list[bytes], start: int, end: int) -> bytes:
     return hashlib.sha256(b" ".join(words[start:end])).digest()[:16]
 
 
-def _at_sources(met: DataFrame) -> DataFrame:
-    """What the texts hold at the coordinates in ``given``: the digest of a whole path, else the hashes of a run's windows."""
-    names = ("kmer", "path", "n", "times", "start", "end", "whole")
+def _at_sources(met: DataFrame, whole: bool) -> DataFrame:
+    """What the texts hold at the coordinates in ``given``: digests of whole paths, or the hashes of single runs' windows."""
+    names = ("kmer", "path", "n", "times", "start", "end")
 
     def work(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("k1", "k2", *names, "hashes", "digest")}
+        out: dict[str, list] = {name: [] for name in ("k1", "k2", *names, "held")}
         columns = (part.column(c).to_pylist() for c in ("k1", "k2", "text", "given"))
         for k1, k2, text, given in zip(*columns, strict=True):
-            words = words_of(text)
-            rolling = Rolling(words)
-            for g in given:
+            wanted = [g for g in given if g["whole"] == whole]
+            words = words_of(text) if wanted else []
+            rolling = None if whole or not wanted else Rolling(words)
+            for g in wanted:
                 at = np.arange(g["start"], g["end"] - WINDOW + 1)
-                row = {
-                    "k1": k1, "k2": k2, **g, "digest": digest(words, g["start"], g["end"]) if g["whole"] else None,
-                    "hashes": None if g["whole"] else rolling.of(at, at + WINDOW).view(np.int64),
-                }
-                for name, value in row.items():
+                held = digest(words, g["start"], g["end"]) if whole else rolling.of(at, at + WINDOW).view(np.int64)
+                for name, value in ({"k1": k1, "k2": k2, "held": held} | {c: g[c] for c in names}).items():
                     out[name].append(value)
         return out
 
-    return map_slices(
-        met, "text", work, "k1 long, k2 long, kmer long, path long, n long, times long, start long, end long, whole boolean, "
-        "hashes array<long>, digest binary",
-    )
+    schema = "k1 long, k2 long, kmer long, path long, n long, times long, start long, end long, held "
+    return map_slices(met, "text", work, schema + ("binary" if whole else "array<long>"))
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -193,8 +189,8 @@ def spans(keyed: DataFrame) -> DataFrame:
     found = checkpointed(occurrences.join(checkpointed(nodes.where("n > 1")), "kmer"))
     first, last = F.expr("place >> 6"), F.expr("(place >> 6) + (place & 63)")
     runs = checkpointed(found.groupBy("kmer", "path", "n").agg(
-        F.count("*").alias("times"), F.min("next").alias("low"), F.max("next").alias("high"), F.count("next").alias("followed"),
-        F.min(F.struct("k1", "k2", "place")).alias("source"),
+        F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source"),
+        F.when((F.min("next") == F.max("next")) & (F.count("next") == F.count("*")), F.min("next")).alias("next"),
     ))
     given = ("kmer", "path", "n", "times", "start", "end", "whole")
     whole = compacted(runs).withColumns({"times": F.lit(None).cast("long"), "whole": F.lit(True)})
@@ -202,20 +198,23 @@ def spans(keyed: DataFrame) -> DataFrame:
         "k1", "k2", first.alias("start"), (last + WINDOW).alias("end"), "kmer", "path", "n", "times", F.lit(False).alias("whole")
     )
     asked = whole.unionByName(branching).groupBy("k1", "k2").agg(F.collect_list(F.struct(*given)).alias("given"))
-    read = checkpointed(_at_sources(keyed.join(asked, ["k1", "k2"])))
+    # no checkpoint here: in one plan with the join that cuts the spans, the texts are shuffled once for both
+    met = keyed.join(asked, ["k1", "k2"])
 
     # A frequent k-mer's rows are dealt over as many salts as its count asks for; its other side is repeated per salt.
     salt = lambda *by: F.pmod(F.xxhash64(*by), F.expr(f"1 + n div {SALTED}")).alias("salt")
     salts = F.explode(F.expr(f"sequence(0L, n div {SALTED})")).alias("salt")
-    heads = read.where("whole").select("kmer", "path", (F.col("end") - F.col("start")).alias("words"), "digest", "n").distinct()
+    heads = _at_sources(met, True).select(
+        "kmer", "path", (F.col("end") - F.col("start")).alias("words"), F.col("held").alias("digest"), "n"
+    ).distinct()
     repeats = (
         found.select("k1", "k2", "kmer", "path", first.alias("start"), salt("k1"))
         .join(heads.select("kmer", "path", "words", "digest", salts), ["kmer", "path", "salt"])
         .select("k1", "k2", "start", (F.col("start") + F.col("words")).alias("end"), "digest")
     )
     # of a run that occurs once, those windows are repeated that other runs have too
-    windows = read.where("not whole").select(
-        "k1", "k2", "kmer", "n", "times", F.col("start").alias("first"), F.posexplode("hashes").alias("j", "h")
+    windows = _at_sources(met, False).select(
+        "k1", "k2", "kmer", "n", "times", F.col("start").alias("first"), F.posexplode("held").alias("j", "h")
     )
     twice = windows.groupBy("kmer", "h", "n").agg(F.sum("times").alias("total")).where("total > 1").select("kmer", "h", salts)
     start = F.col("first") + F.col("j")
