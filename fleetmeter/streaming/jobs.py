@@ -94,6 +94,9 @@ def stream_sla(queries: DataFrame, sla: DataFrame, path: str) -> DataStreamWrite
         # names and hours are both read from the batch
         closed = batch.withColumn("breach_window", F.col("breach_window").cast("timestamp_ntz")).persist()
         try:
+            # hours close in a batch without input, whose size counts as 0: only kept rows have a size by which joins are chosen
+            if closed.count() == 0:
+                return
             found = breaches(closed, sla, "LATENCY", "QUEUE").select(
                 "*", F.current_timestamp().alias("detected_at"), F.lit(False).alias("acknowledged")
             )
