@@ -115,6 +115,17 @@ def test_closed_sla_hours_have_a_size(spark, split_events, tmp_path, monkeypatch
     assert seen and all(0 < rows <= size for size, rows in seen)
 
 
+@pytest.mark.parametrize("hours,factor", [(4, 1.5), (6, 2.0)])
+def test_closed_alert_windows_are_not_broadcast(spark, sf, split_events, tmp_path, hours, factor):
+    metering = stream_of(spark, split_events).select(views.spark_columns(views.METERING))
+    writer = jobs.stream_spike_alert(metering, views.migration_log(spark, sf), str(tmp_path / "a"), hours, factor)
+    started = jobs.start(writer, str(tmp_path / "checkpoint"))
+    started.awaitTermination()
+    plan = started._jsq.explainInternal(False)  # of the last batch, which has no input
+    assert "SortMergeJoin [warehouse_name" in plan and "BroadcastHashJoin [warehouse_name" not in plan
+    assert spark.read.parquet(str(tmp_path / "a")).count() > 0
+
+
 def test_request_state_stream_equals_batch(spark, split_events, tmp_path):
     path = str(tmp_path / "r")
     events = views.request_events_of(stream_of(spark, split_events))
