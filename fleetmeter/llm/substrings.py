@@ -2,7 +2,8 @@
 
 A window is WINDOW consecutive words; windows are the edges of the graph. They are kept in runs: of the word k-mers inside a
 window the one with the least hash, its minimiser, stands for it, and the windows in a row that one occurrence of a minimiser
-stands for are one run. Equal windows choose the same k-mer, so they meet under it.
+stands for are one run. Equal windows choose the same k-mer, so they meet under it. Where a text goes round in a short circle,
+equal runs follow each other: they are one row with the number of laps, not a row per lap.
 
 1. Runs whose k-mer occurs once hold no repeated window. These are most of all and go no further.
 2. The others are counted by their words. A run that occurs twice or more is repeated whole.
@@ -82,11 +83,12 @@ def _leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
 
 def paths(texts: list[str | None]) -> dict[str, np.ndarray]:
     """The runs of some texts: ``row``, ``kmer``, ``path`` (hash of the words), ``next`` (the text's next run's ``path``,
-    masked in the last), ``first`` and ``last`` window."""
+    masked in the last), ``first`` and ``last`` window, and ``laps``: equal runs in a row are one row, of the first one's
+    windows, and masked in ``next`` too, as some are followed by themselves and the last isn't."""
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     flat = [w for words in split for w in words]
-    nothing = {name: np.zeros(0, np.int64) for name in ("row", "kmer", "path", "next", "first", "last")}
+    nothing = {name: np.zeros(0, np.int64) for name in ("row", "kmer", "path", "next", "first", "last", "laps")}
     if len(flat) < WINDOW:
         return nothing
     rolling, starts = Rolling(flat), np.concatenate(([0], np.cumsum(sizes)))
@@ -101,10 +103,14 @@ def paths(texts: list[str | None]) -> dict[str, np.ndarray]:
     turns = np.flatnonzero(chosen[1:] != chosen[:-1])
     first, last = inside[np.concatenate(([0], turns + 1))], inside[np.concatenate((turns, [len(chosen) - 1]))]
     path, of = rolling.of(first, last + WINDOW).view(np.int64), row[first]
+    again = (of[1:] == of[:-1]) & (path[1:] == path[:-1]) & (np.diff(last - first) == 0)
+    begin = np.flatnonzero(np.append(True, ~again))
+    laps = np.diff(np.append(begin, len(path)))
+    first, last, path, of = first[begin], last[begin], path[begin], of[begin]
     return {
         "row": of, "kmer": kmers[least[first]].view(np.int64), "path": path,
-        "next": np.ma.array(np.roll(path, -1), mask=np.append(of[1:] != of[:-1], True)),
-        "first": first - starts[row[first]], "last": last - starts[row[first]],
+        "next": np.ma.array(np.roll(path, -1), mask=np.append(of[1:] != of[:-1], True) | (laps > 1)),
+        "first": first - starts[row[first]], "last": last - starts[row[first]], "laps": laps,
     }
 
 
@@ -123,10 +129,10 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
         return {
             "k1": part.column("k1").take(row), "k2": part.column("k2").take(row), "kmer": found["kmer"],
             "path": found["path"], "next": pa.array(found["next"]),
-            "place": found["first"] * 64 + (found["last"] - found["first"]),
+            "place": found["first"] * 64 + (found["last"] - found["first"]), "laps": found["laps"],
         }
 
-    schema = "k1 long, k2 long, kmer long, path long, next long, place long"
+    schema = "k1 long, k2 long, kmer long, path long, next long, place long, laps long"
     return map_slices(keyed.select("text", "k1", "k2"), "text", work, schema)
 
 
@@ -185,11 +191,11 @@ def spans(keyed: DataFrame) -> DataFrame:
     The digest is null for single windows, which were compared by hash.
     """
     occurrences = _occurrences(keyed)
-    nodes = occurrences.groupBy("kmer").agg(F.count("*").alias("n"))
+    nodes = occurrences.groupBy("kmer").agg(F.sum("laps").alias("n"))
     found = checkpointed(occurrences.join(checkpointed(nodes.where("n > 1")), "kmer"))
     first, last = F.expr("place >> 6"), F.expr("(place >> 6) + (place & 63)")
     runs = checkpointed(found.groupBy("kmer", "path", "n").agg(
-        F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source"),
+        F.sum("laps").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("source"),
         F.when((F.min("next") == F.max("next")) & (F.count("next") == F.count("*")), F.min("next")).alias("next"),
     ))
     given = ("kmer", "path", "n", "times", "start", "end", "whole")
@@ -208,9 +214,9 @@ def spans(keyed: DataFrame) -> DataFrame:
         "kmer", "path", (F.col("end") - F.col("start")).alias("words"), F.col("held").alias("digest"), "n"
     ).distinct()
     repeats = (
-        found.select("k1", "k2", "kmer", "path", first.alias("start"), salt("k1"))
+        found.select("k1", "k2", "kmer", "path", first.alias("start"), F.expr("(place & 63) + 1").alias("lap"), "laps", salt("k1"))
         .join(heads.select("kmer", "path", "words", "digest", salts), ["kmer", "path", "salt"])
-        .select("k1", "k2", "start", (F.col("start") + F.col("words")).alias("end"), "digest")
+        .select("k1", "k2", "start", (F.col("start") + F.col("words")).alias("end"), "digest", "lap", "laps")
     )
     # of a run that occurs once, those windows are repeated that other runs have too
     windows = _at_sources(met, False).select(
@@ -221,9 +227,12 @@ def spans(keyed: DataFrame) -> DataFrame:
     alone = (
         windows.where("times = 1").select("k1", "k2", "kmer", "h", start.alias("start"), salt("k1", "first"))
         .join(twice, ["kmer", "h", "salt"])
-        .select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"), F.lit(None).cast("binary").alias("digest"))
+        .select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"), F.lit(None).cast("binary").alias("digest"),
+                F.lit(1).cast("long").alias("lap"), F.lit(1).cast("long").alias("laps"))
     )
-    return repeats.union(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "digest")).alias("spans"))
+    found_in = repeats.union(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "digest", "lap", "laps")).alias("every"))
+    return found_in.select("k1", "k2", F.expr("""flatten(transform(every, s -> transform(sequence(0L, s.laps - 1), i ->
+        named_struct('start', s.start + i * s.lap, 'end', s.end + i * s.lap, 'digest', s.digest))))""").alias("spans"))
 
 
 def kept_words(text: str | None, cut: list[dict] | None) -> tuple[list[bytes], int]:

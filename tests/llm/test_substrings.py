@@ -103,6 +103,19 @@ def test_long_passages_become_one_span_each(documents):
     assert all(sum(e - s > 300 for s, e, _ in w) <= 4 for w in whole.values())
 
 
+def test_circles_are_a_row_each(documents):
+    """Texts that repeat a line, alone, beside other words, with a broken lap, and with a circle of many words."""
+    line, wide = "is one. " * 300, " ".join(f"c{i}" for i in range(45)) + " "
+    rows = [(i, f"{' '.join(f'a{i}_{j}' for j in range(i * 9))} {line} {' '.join(f'b{i}_{j}' for j in range(i * 7))}", "s") for i in range(8)]
+    rows += [(20, line * 2, "s"), (21, "is one. " * 20 + "odd " + line, "s"), (22, "w x y " * 40, "s"), (23, wide * 3, "s"), (24, "z y x " * 12, "s")]
+    docs = documents(rows)
+    assert sum(1 for g in check(docs) if g[2]) == 12
+    lone = substrings.paths([line])
+    assert len(lone["row"]) <= 3 and lone["laps"].sum() > 250
+    found = substrings._occurrences(substrings._keyed(docs, "doc_id", "text"))
+    assert found.count() < 250 < 2500 < found.agg({"laps": "sum"}).first()[0]
+
+
 def test_a_span_unlike_its_source_stays():
     words = " ".join(f"w{i}" for i in range(50))
     same = substrings.digest(words.encode().split(), 5, 45)
