@@ -16,9 +16,10 @@ a hash of row key, sample, place and piece length: results depend on the row alo
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,37 @@ class Vocabulary:
         out[keys[:upto]] = nodes[:upto]
         return out
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The trie's keys and nodes by hash, each in the first free slot from its hash on; -1 is free."""
+        keys, nodes, _, _ = self.trie
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        slots, held = np.full(size, -1, keys.dtype), np.zeros(size, nodes.dtype)
+        left, at = np.arange(len(keys)), _slots(keys, size)
+        while len(left):
+            _, won = np.unique(at, return_index=True)
+            won = won[slots[at[won]] < 0]
+            slots[at[won]], held[at[won]] = keys[left[won]], nodes[left[won]]
+            left, at = np.delete(left, won), (np.delete(at, won) + 1) & (size - 1)
+        return slots, held
+
+    def nodes_at(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes that some keys lead to, 0 for none."""
+        slots, held = self.table
+        at = _slots(keys, len(slots))
+        there = slots[at]
+        out = np.where(there == keys, held[at], held.dtype.type(0))
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[on]
+        while len(on):
+            at = (at + 1) & (len(slots) - 1)
+            there = slots[at]
+            same = there == keys[on]
+            out[on[same]] = held[at[same]]
+            more = ~same & (there >= 0)
+            on, at = on[more], at[more]
+        return out
+
     @cached_property
     def number_of(self) -> np.ndarray:
         """The number of every code point among the vocabulary's characters, or -1."""
@@ -135,7 +167,7 @@ class Vocabulary:
     def __getstate__(self):
         # computed once, sent with the broadcast
         self.chars, self.trie, self.byte_log, self.words, self.spelled  # noqa: B018
-        return {k: v for k, v in self.__dict__.items() if k not in ("number_of", "roots")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("number_of", "roots", "table")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -161,6 +193,18 @@ class Vocabulary:
             out += words
         return out
 
+    def same(self, texts: list[str], values: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether decoding the ids between two offsets gives the text again, for many texts at once."""
+        spelled = pa.array(self.spelled, pa.large_binary()).take(pa.array(values))
+        ends, held = np.frombuffer(spelled.buffers()[1], np.int64, len(values) + 1)[offsets].tolist(), spelled.buffers()[2]
+        joined, out = held.to_pybytes() if held else b"", []
+        for i, text in enumerate(texts):
+            start, end = ends[i], ends[i + 1]
+            # the space in front, which encoding puts there, and then the text to the byte; else what characters come of it
+            plain = joined[start:end] == b" " + text.encode("utf-8", "surrogatepass")
+            out.append(plain or self.decode(values[offsets[i] : offsets[i + 1]].tolist()) == text)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that encoding puts in front is taken off again."""
         spelled = self.spelled
@@ -197,7 +241,7 @@ class Lattice:
 
     def _arcs(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First arc of each place; place, length and piece (-1: bytes) of each arc. All places walk the trie together."""
-        keys, nodes, ends, longest = vocabulary.trie
+        keys, _, ends, longest = vocabulary.trie
         width = keys.dtype.type(len(vocabulary.chars))
         number = vocabulary.number_of[self.codes]
         alive, node = np.arange(len(self.codes), dtype=np.int32), keys[:0]
@@ -214,11 +258,10 @@ class Lattice:
                 inside = np.flatnonzero(left[alive] >= length)
                 alive, node = alive[inside], node[inside]
                 char = number[alive + (length - 1)]
-                key = node * width + char
-                at = np.searchsorted(keys, key)
-                at[at == len(keys)] = 0
-                hit = np.flatnonzero((keys[at] == key) & (char >= 0))
-                alive, node = alive[hit], nodes[at[hit]]
+                known = np.flatnonzero(char >= 0)
+                alive, node = alive[known], vocabulary.nodes_at(node[known] * width + char[known])
+                hit = np.flatnonzero(node)
+                alive, node = alive[hit], node[hit]
             piece = ends[node]
             ended = piece >= 0
             found.append((alive[ended], piece[ended]))
@@ -255,6 +298,11 @@ class Lattice:
             ahead[at[cut]] = top + np.log(np.add.reduceat(share, cut))
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """A slot of a table of a power of two slots for each key."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -282,9 +330,9 @@ class Sampler:
         keys = [vocabulary.keys(t or "") for t in texts]
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
         flat = list(chain.from_iterable(keys))
-        known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        words = [k[1:] if k[0] == "\n" else SPACE + k for k in known]
+        known: dict[str, int] = defaultdict(count().__next__)
         self.of = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        words = [k[1:] if k[0] == "\n" else SPACE + k for k in known]
         self.samples, self.seeds = samples, np.array(seeds, np.uint64)
         self.begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
         self.text = np.repeat(np.arange(len(texts)), counts)
@@ -487,7 +535,7 @@ def segmentations(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, d
         return {
             "doc_id": part.column("doc_id").take(pa.array([i for i, _, _ in rows], pa.int64())), "sample": [k for _, k, _ in rows],
             "n_pieces": [len(x) for x in ids], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(LIST),
-            "round_trip": [v.decode(s["ids"].tolist()) == (texts[i] or "") for i, _, s in rows],
+            "round_trip": v.same([texts[i] or "" for i, _, _ in rows], values, offsets),
         } | {name: [s[name] for _, _, s in rows] for name in ("log_prob", "perturbed", "inclusion")}
 
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -148,3 +148,20 @@ def test_library_encoding_and_decoding(documents):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {i: None if t is None else library.encode(t) for i, t in rows}
     assert {r["doc_id"]: r["text"] for r in pieces.decoded(coded.drop("text")).collect()} == dict(rows)
+
+
+def test_trie_by_hash_and_many_round_trips():
+    """Hashed steps lead where the sorted keys do; ids are compared to many texts at once as one by one."""
+    v = pieces.Vocabulary.load()
+    keys, nodes, _, _ = v.trie
+    asked = np.concatenate((keys, np.arange(0, int(keys[-1]), 997, dtype=keys.dtype)))
+    at = np.searchsorted(keys, asked)
+    assert np.array_equal(v.nodes_at(asked), np.where(keys[at] == asked, nodes[at], 0))
+    texts = ["", " ", "plain words", "▁ raw", "line\nend\n", "ä \U0001f600 �", "\x00"]
+    wrong = ["x", "", "plain word", " raw", "line end\n", "ä", ""]
+    ids = [np.array(s["ids"], np.int64) for t in texts for s in pieces.sample(v, [t], ["k"], 1)[0]]
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+    values = np.concatenate(ids).astype(np.int32)
+    for given in (texts, wrong):
+        assert v.same(given, values, offsets) == [v.decode(i.tolist()) == t for i, t in zip(ids, given, strict=True)]
+    assert v.same([""], values[:0], np.zeros(2, np.int32)) == [True]
